@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from leadwright.llm.common import table
 from leadwright.llm.exact_dedup import exact_duplicates
+from leadwright.llm.html_extract import extract_text
 from leadwright.llm.mixing import mix
 from leadwright.llm.simhash import simhash_groups
+from leadwright.llm.suffix_dedup import remove_repeats
+from leadwright.llm.token_output import token_files
 from leadwright.llm.url_filter import filter_urls, rule_table
 
 
+def op1_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_simhash_dedup(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -25,7 +38,11 @@ def op9_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op7_simhash_dedup, op8_exact_dedup, op9_url_filter)}
+def op10_token_output(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_mixing, op4_suffix_dedup, op7_simhash_dedup, op8_exact_dedup, op9_url_filter, op10_token_output)}
 
 SQL = {
     "op8_exact_dedup": r"""
