@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 
 from leadwright.llm.common import table
+from leadwright.llm.embedding_dedup import embedding_groups
 from leadwright.llm.exact_dedup import exact_duplicates
 from leadwright.llm.html_extract import extract_text
+from leadwright.llm.language_id import identify_held_out
 from leadwright.llm.mixing import mix
+from leadwright.llm.sentencepiece_codec import encode_texts
 from leadwright.llm.simhash import simhash_groups
 from leadwright.llm.suffix_dedup import remove_repeats
 from leadwright.llm.token_output import token_files
@@ -18,6 +21,10 @@ def op1_html_extraction(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_language_id(spark, sf_dir):
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -26,6 +33,14 @@ def op4_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_sentencepiece(spark, sf_dir):
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("text")
+
+
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_dedup(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -42,7 +57,16 @@ def op10_token_output(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_mixing, op4_suffix_dedup, op7_simhash_dedup, op8_exact_dedup, op9_url_filter, op10_token_output)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_extraction, op2_language_id, op3_mixing, op4_suffix_dedup, op5_sentencepiece, op6_embedding_dedup, op7_simhash_dedup, op8_exact_dedup, op9_url_filter, op10_token_output, pipeline)
+}
 
 SQL = {
     "op8_exact_dedup": r"""
