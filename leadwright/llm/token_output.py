@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leadwright.llm.common import new_path
 
 #: Pieces whose ids a task remembers; when full, it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 400_000
 #: Bytes of a row group and rows of a page of the files.
 ROW_GROUP, PAGE_ROWS = 16 << 20, 256
 
@@ -41,31 +41,40 @@ class Encoder:
         added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.split = regex.compile(split).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.known: dict[str, np.ndarray] = {}
+        tokens = self.model.get_vocab()
+        self.spaced = np.zeros(max(tokens.values()) + 1, bool)
+        self.spaced[[i for t, i in tokens.items() if t[0] == "Ġ"]] = True
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
             return self.split(text)
         return [p for i, part in enumerate(self.special.split(text)) for p in ([part] if i % 2 else self.split(part))]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces that are not known yet. Words after a space go to the library in one text, which it splits again before each space; no other token holds one."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part):
+                raw, edges = ids.tobytes(), [*(starts * 4).tolist(), 4 * len(ids)]
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+        rest = [p for p in pieces if p not in self.known]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            self.known.update(zip(part, (np.array(e.ids, np.int32).tobytes() for e in self.model.encode_batch_fast(part, add_special_tokens=False))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
         split = [self.pieces(t) for t in texts]
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({p for pieces in split for p in pieces})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, (e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False))))
-        out = []
-        for pieces in split:
-            ids: list[int] = []
-            for p in map(known.__getitem__, pieces):
-                ids += p
-            out.append(np.array(ids, np.int32))
-        return out
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set().union(*split)
+        self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end: int) -> DataFrame:
@@ -81,11 +90,10 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end: i
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                ends = np.cumsum([len(x) + 1 for x in ids])
-                flat = np.full(int(ends[-1]), end, np.int32)
-                for x, stop in zip(ids, ends):
-                    flat[stop - 1 - len(x) : stop - 1] = x
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+                last = np.array([end], np.int32).tobytes()
+                flat = np.frombuffer(last.join([*ids, b""]), np.int32)
+                ends = np.cumsum([0, *(len(x) // 4 + 1 for x in ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
