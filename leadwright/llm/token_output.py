@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +37,11 @@ class Encoder:
         kind = spec["pre_tokenizer"]
         if spec["model"]["type"] != "BPE" or kind["type"] != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True) or spec.get("normalizer"):
             raise ValueError("a byte-level BPE without normalizer or prefix space is needed")
-        # The split pattern of byte-level BPE (fixed value), after the special tokens of the file.
-        split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        # The split pattern of byte-level BPE (fixed value), words first as they are most; then the same for Latin text alone.
+        split = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        letters, numbers = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+        self.beyond_latin = re.compile("[^\\n\\t\\r\\x20-\\x7e\\xa1-\u024f]").search
+        self.split_latin = re.compile(rf" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+").findall
         added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.split = regex.compile(split).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
@@ -47,15 +51,16 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        split = self.split if self.beyond_latin(text) else self.split_latin
         if self.special is None or not self.special.search(text):
-            return self.split(text)
-        return [p for i, part in enumerate(self.special.split(text)) for p in ([part] if i % 2 else self.split(part))]
+            return split(text)
+        return [p for i, part in enumerate(self.special.split(text)) for p in ([part] if i % 2 else split(part))]
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet. Words after a space go to the library in one text, which it splits again before each space; no other token holds one."""
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        for at in range(0, len(words), 64):  # short texts are split fastest
+            part = words[at : at + 64]
             ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(part):
