@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from leadwright.llm.common import new_path
 
-#: Pieces whose ids a task remembers; when full, it starts anew.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker process remembers, about 200 bytes each.
+REMEMBERED = 600_000
 #: Bytes of a row group and rows of a page of the files.
 ROW_GROUP, PAGE_ROWS = 16 << 20, 256
 
@@ -75,11 +75,22 @@ class Encoder:
         """The ids of each text, four bytes each."""
         split = [self.pieces(t) for t in texts]
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*split)
         self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        ids = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        if len(self.known) > REMEMBERED:  # frequent pieces came first; these are encoded again when they are met again
+            for p in new:
+                del self.known[p]
+        return ids
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker process. It is held by the library's module, as that stays when Spark gives the process another task."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_encoders_by_file", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end: int) -> DataFrame:
@@ -91,7 +102,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end: i
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(vocabulary)
+            encoder = encoder or worker_encoder(vocabulary)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
