@@ -172,9 +172,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.lit(5)).alias("h"))
-    share = labelled.groupBy("lang").agg(F.count("*").alias("docs"))
+    share = labelled.groupBy("lang").agg(F.count("*").alias("docs")).collect()  # a row for each language, as the models are
+    if not share:
+        return Identifier({})
+    number = F.element_at(F.create_map(*(F.lit(x) for row in share for x in (row["lang"], row["docs"]))), F.col("lang"))
     point = F.pmod(F.col("h"), F.lit(1_000_003)) / 1_000_003.0
-    drawn = labelled.join(share, "lang").withColumn("at", point * F.col("docs") / sample).where("at < 2").withColumn("counted", F.col("at") < F.least(F.lit(1.0), F.col("docs") / sample * 0.7))
+    drawn = labelled.withColumn("at", point * number / sample).where("at < 2").withColumn("counted", F.col("at") < F.least(F.lit(1.0), number / sample * 0.7))
     letters = _letters()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
