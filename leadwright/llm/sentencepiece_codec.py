@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: The key of a marker that stands in a text itself; no part of a text has a marker after another character.
+OWN_MARK = "x▁"
 #: What an unknown character costs below the least score, as in the unigram model.
 UNKNOWN = 10.0
-#: Words whose ids a task remembers; when full, it starts anew.
-REMEMBERED = 1 << 18
+#: Parts whose ids a worker process remembers, about 200 bytes each.
+REMEMBERED = 800_000
 
 
 class DoubleArray:
@@ -97,7 +100,9 @@ class Codec:
         # No piece goes from another character to a marker, and none holds these: the best segmentation is that of the parts.
         alone = "".join(c for c in "\n\t\r\f\v" if c not in self.trie.codes)
         self.split = re.compile(f"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {OWN_MARK: array("i", [self.byte_ids[x] for x in MARK.encode()]).tobytes()}
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[self.byte_ids] = True
         plain = [p.replace(MARK, " ").encode() if not special[i] else b"" for i, p in enumerate(self.pieces)]
         for i, b in self.bytes_of.items():
             plain[i] = bytes([b])
@@ -139,39 +144,47 @@ class Codec:
             n = a
         return tuple(reversed(ids))
 
-    def encode(self, text: str) -> list[int]:
+    def parts(self, text: str) -> list[str]:
+        """What is encoded apart: a text with its space before and its spaces as markers, cut before each run of markers and around what no piece holds. A marker of the text itself is OWN_MARK."""
         if not text:
             return []
-        if MARK in text:  # a marker of the text itself is written as bytes
-            ids: list[int] = []
-            for i, part in enumerate(text.split(MARK)):
-                if i:
-                    ids += [self.byte_ids[x] for x in MARK.encode()]
-                if part or not i:
-                    ids += self._parts((MARK if not i else "") + part.replace(" ", MARK))
-            return ids
-        return self._parts(MARK + text.replace(" ", MARK))
-
-    def _parts(self, text: str) -> list[int]:
-        known = self.known
-        ids: list[int] = []
-        for part in self.split(text):
-            found = known.get(part)
-            if found is None:
-                found = self.best(part)
-                if len(part) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = found
-            ids += found
+        if MARK not in text:
+            return self.split(MARK + text.replace(" ", MARK))
+        out: list[str] = []
+        for i, part in enumerate(text.split(MARK)):
+            out += [OWN_MARK] * (i > 0)
+            out += self.split(("" if i else MARK) + part.replace(" ", MARK))
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [self.parts(t) for t in texts]
+        new = set().union(*split).difference(self.known)
+        for part in new:
+            self.known[part] = array("i", self.best(part)).tobytes()
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32) for parts in split]
+        if len(self.known) > REMEMBERED:  # frequent words came first; these are encoded again when they are met again
+            for part in new:
+                del self.known[part]
+            self.known[OWN_MARK] = array("i", [self.byte_ids[x] for x in MARK.encode()]).tobytes()
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids in UTF-8: byte pieces as they are, markers as spaces, without the space before the text."""
-        text = b"".join(map(self.plain.__getitem__, ids))
+        text = b"".join(map(self.plain.__getitem__, ids.tolist()))
         return text[1:] if text[:1] == b" " else text
 
 
+def worker_codec(model_file: str) -> Codec:
+    """The codec of this worker process. It is held by the library's module, as that stays when Spark gives the process another task."""
+    import sentencepiece
+
+    held = vars(sentencepiece).setdefault("_codecs_by_file", {})
+    if model_file not in held:
+        held[model_file] = Codec(model_file)
+    return held[model_file]
+
+
 def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """The columns of docs with n_tokens, n_bytes (ids of byte pieces), ids_crc32, decoded_sha256 and, with_ids, ids.
 
@@ -184,20 +197,15 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(model_file)
+            codec = codec or worker_codec(model_file)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows, flat, ends = [], [], [0]
-                for text in part.column(part.num_columns - 1).to_pylist():
-                    ids = codec.encode(text or "")
-                    array = np.array(ids, "<u4")
-                    rows.append((len(ids), len(codec.bytes_of.keys() & set(ids)) and sum(map(codec.bytes_of.__contains__, ids)), zlib.crc32(array.tobytes()), hashlib.sha256(codec.decode(ids)).hexdigest()))
-                    if with_ids:
-                        flat.append(array.astype(np.int32))
-                        ends.append(ends[-1] + len(ids))
+                found = codec.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
+                rows = [(len(ids), int(codec.is_byte[ids].sum()), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), hashlib.sha256(codec.decode(ids)).hexdigest()) for ids in found]
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))))
+                    ends = np.cumsum([0, *map(len, found)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found))))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *kinds])
 
     kept = [c for c in docs.columns if c not in kinds]
