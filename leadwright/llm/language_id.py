@@ -18,7 +18,7 @@ SAMPLE = 2000
 #: How many times as far off as the worst calibration document a text may be before it is rejected.
 SLACK = 3.0
 #: Text that is scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _letters() -> np.ndarray:

@@ -19,7 +19,7 @@ OWN_MARK = "x▁"
 #: What an unknown character costs below the least score, as in the unigram model.
 UNKNOWN = 10.0
 #: Parts whose ids a worker process remembers, about 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 
 class DoubleArray:
