@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leadwright.llm.common import new_path
 
 #: Pieces whose ids a worker process remembers, about 200 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bytes of a row group and rows of a page of the files.
 ROW_GROUP, PAGE_ROWS = 16 << 20, 256
 
