@@ -70,6 +70,10 @@ class _Page(HTMLParser):
         if node.parent:
             self.at = node.parent
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections such as `<![if x]>` are comments."""
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         self.at.items.append(data)
 

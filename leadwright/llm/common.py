@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows whose texts a task holds as Python objects at once.
+AT_ONCE = 256
+
+
+def mapped(df: DataFrame, source: str | Column, kinds: dict[str, str], make: Callable[[], Callable[[list], list[pa.Array]]], keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all by default) and new ones, computed from the source column in Arrow batches.
+
+    make is called once in a task; what it returns turns a list of the source's values into the new columns' arrays. The
+    kept columns pass through as they are, and the function runs once for each row whatever follows. kinds: the new
+    columns' names and types; they replace columns of the same names.
+    """
+    kept = [c for c in (df.columns if keep is None else keep) if c not in kinds]
+    there = isinstance(source, str) and source in kept
+    rows = df.select(*(f"`{c}`" for c in kept)) if there else df.select(*(f"`{c}`" for c in kept), (F.col(source) if isinstance(source, str) else source).alias("_source"))
+    place = kept.index(source) if there else len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            work = work or make()
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *work(part.column(place).to_pylist())], names=[*kept, *kinds])
+
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {k}" for c, k in kinds.items()]))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from leadwright.llm.common import mapped
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -115,6 +115,10 @@ class Lines(HTMLParser):
         if tag not in VOID and (depth := self.depth_of(tag)):
             self.cut(depth)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections such as `<![if x]>` are comments."""
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         if not self.out:
             self.pieces.append(data)
@@ -179,11 +183,11 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     text and n_chars are replaced. One page at a time is held in a task, so a very long page costs its own length.
     """
 
-    @F.pandas_udf("string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([main_text(x) for x in batch], dtype="object")
+    def make():
+        def read(htmls: list[str | None]) -> list[pa.Array]:
+            texts = [main_text(x) for x in htmls]
+            return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+        return read
 
-    read = pages.drop("text", "n_chars") if html not in ("text", "n_chars") else pages
-    read = read.withColumn("text", of(F.col(html))).withColumn("n_chars", F.char_length("text").cast("long"))
-    return read.drop(html) if html not in ("text", "n_chars") else read
+    return mapped(pages, html, {"text": "string", "n_chars": "long"}, make, [c for c in pages.columns if c != html])

@@ -6,11 +6,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadwright.llm.common import mapped
+
 #: Characters of the longest n-gram; a key holds 16 bits of each.
 ORDER = 4
 #: Labelled documents of a language that its model is fitted on, about, and as many that its rejection is calibrated on.
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list] = {}
+            by: dict[str, list] = {}  # bounded as the sample is
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
@@ -216,26 +217,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fitted
 
 
-def identify(docs: DataFrame, model: Identifier, text_col: str = "text") -> DataFrame:
-    """The columns of docs with lang_pred, score (0 to 1), bits (a character) and rejected.
+def identify(docs: DataFrame, model: Identifier, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those to keep) with lang_pred, score (0 to 1), bits (a character) and rejected.
 
     The language whose model has the lowest cross-entropy a character. score weighs the others' distance from it by the
     square root of the text's length. A text is rejected that is further off than calibration texts ever were and nearer
-    to random letters than to its language. Null texts and
-    texts without a letter are `und` with score 0 and rejected, as are all texts if no language was learned; repeated
-    rows are judged each; an empty table gives an empty one; columns of these names are replaced.
+    to random letters than to its language. Null texts and texts without a letter are `und` with score 0 and rejected, as
+    are all texts if no language was learned; repeated rows are judged each; an empty table gives an empty one; columns of
+    these names are replaced.
     """
     told = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, bits double, rejected boolean")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [row for _, group in _groups(batch.tolist()) for row in told.value.predict(group)]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "bits", "rejected"]).astype({"lang_pred": object, "score": float, "bits": float, "rejected": bool})
+    def make():
+        def judge(texts: list[str | None]) -> list[pa.Array]:
+            rows = [row for _, group in _groups(texts) for row in told.value.predict(group)]
+            return [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
+
+        return judge
 
-    new = ("lang_pred", "score", "bits", "rejected")
-    judged = docs.withColumn("_judged", of(F.col(text_col))).drop(*(c for c in new if c in docs.columns))
-    return judged.select(*(c for c in judged.columns if c != "_judged"), *(F.col(f"_judged.{c}").alias(c) for c in new))
+    return mapped(docs, text_col, {"lang_pred": "string", "score": "double", "bits": "double", "rejected": "boolean"}, make, keep)
 
 
 def fold(doc_id: Column) -> Column:
@@ -247,4 +247,4 @@ def identify_held_out(docs: DataFrame) -> DataFrame:
     """Learn from labelled documents whose fold is not 2 and judge all: doc_id, held_out, lang_pred, score, bits and rejected."""
     model = fit(docs.where(fold(F.col("doc_id")) != 2).select("doc_id", "text", "lang"))
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
-    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])

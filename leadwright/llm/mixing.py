@@ -87,7 +87,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = placed.withColumn("start", F.col("bucket_start") + F.col("in_bucket")).drop("bucket", "in_bucket", "bucket_start", "n_docs")
 
     # What each source is asked for, and how its slots fall to the output shards.
-    asked = sources.where("source_size > 0").select("source_key", "source_size", F.floor("target").alias("asked"), F.ceil(F.col("source_size") / block).alias("blocks"))
+    filled = F.greatest("source_size", F.lit(1))  # sources without words are left out, but may be computed before they are
+    asked = sources.where("source_size > 0").select("source_key", filled.alias("source_size"), F.floor("target").alias("asked"), F.ceil(filled / block).alias("blocks"))
     asked = asked.withColumn("short", F.col("blocks") * block - F.col("source_size")).withColumn("passes", F.expr("asked div source_size"))
     asked = asked.withColumn("rest", F.col("asked") - F.col("passes") * F.col("source_size"))
     last_at = permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("source_key", F.lit(seed)), inverse=True)  # the slot that takes the short block

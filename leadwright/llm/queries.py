@@ -34,7 +34,7 @@ def op4_suffix_dedup(spark, sf_dir):
 
 
 def op5_sentencepiece(spark, sf_dir):
-    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("text")
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, keep=["doc_id"])
 
 
 def op6_embedding_dedup(spark, sf_dir):

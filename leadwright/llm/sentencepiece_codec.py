@@ -6,12 +6,12 @@ import hashlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from leadwright.llm.common import mapped
 
 MARK = "▁"
 #: The key of a marker that stands in a text itself; no part of a text has a marker after another character.
@@ -185,8 +185,8 @@ def worker_codec(model_file: str) -> Codec:
     return held[model_file]
 
 
-def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """The columns of docs with n_tokens, n_bytes (ids of byte pieces), ids_crc32, decoded_sha256 and, with_ids, ids.
+def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those to keep) with n_tokens, n_bytes (ids of byte pieces), ids_crc32, decoded_sha256 and, with_ids, ids.
 
     ids are the text's pieces; ids_crc32 is the CRC-32 of the ids as little-endian unsigned 32-bit integers, and
     decoded_sha256 the SHA-256 of what the ids decode to, which is the text's own. Null and empty texts have no ids;
@@ -194,21 +194,17 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_
     """
     kinds = {"n_tokens": "long", "n_bytes": "long", "ids_crc32": "long", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
-        for batch in batches:
-            codec = codec or worker_codec(model_file)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = codec.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
-                rows = [(len(ids), int(codec.is_byte[ids].sum()), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), hashlib.sha256(codec.decode(ids)).hexdigest()) for ids in found]
-                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-                if with_ids:
-                    ends = np.cumsum([0, *map(len, found)])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *kinds])
-
-    kept = [c for c in docs.columns if c not in kinds]
-    rows = docs.select(*kept, F.col(text_col).alias("_text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {k}" for c, k in kinds.items()])
-    return rows.mapInArrow(run, schema)
+    def make():
+        codec = worker_codec(model_file)
+
+        def encode(texts: list[str | None]) -> list[pa.Array]:
+            found = codec.encode([t or "" for t in texts])
+            rows = [(len(ids), int(codec.is_byte[ids].sum()), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), hashlib.sha256(codec.decode(ids)).hexdigest()) for ids in found]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found))))
+            return columns
+
+        return encode
+
+    return mapped(docs, text_col, kinds, make, keep)

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadwright.llm.common import written
+from leadwright.llm.common import mapped, written
 from leadwright.llm.components import connected_components
 
 #: Shingle hashes whose bits are counted at once: bounds the memory that a very long text takes.
@@ -40,13 +39,13 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    @F.pandas_udf("long")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([fingerprint(x, words) for x in batch], dtype="int64")
+def fingerprints(docs: DataFrame, text_col: str, words: int, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs and simhash."""
 
-    return docs.withColumn("simhash", of(F.col(text_col).cast("binary")))
+    def make():
+        return lambda texts: [pa.array([fingerprint(x, words) for x in texts], pa.int64())]
+
+    return mapped(docs, F.col(text_col).cast("binary"), {"simhash": "long"}, make, keep)
 
 
 def linked(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -77,7 +76,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts and texts of white space have fingerprint zero and are linked like any other; repeated rows are
     returned each; rows without an id get the component of their fingerprint; an empty table gives an empty one.
     """
-    prints = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words).select("id", "simhash"), "fingerprints")
+    prints = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words, ["id"]), "fingerprints")
     smallest = prints.groupBy("simhash").agg(F.min("id").alias("least"))
     nodes = connected_components(linked(prints.select("simhash"), radius))
     roots = smallest.join(nodes, F.col("simhash") == F.col("node"), "left").select("simhash", "least", F.coalesce("component", "simhash").alias("root"))
