@@ -115,6 +115,19 @@ class Identifier:
         self.worst = 1.0
         self.letters = _letters()
 
+    def state(self) -> dict:
+        """Plain values and arrays that stand for it in a broadcast, so that workers need not import this module."""
+        return vars(self) | {"models": [vars(m) for m in self.models]}
+
+    @classmethod
+    def of(cls, state: dict) -> Identifier:
+        out = cls.__new__(cls)
+        vars(out).update(state, models=[])
+        for values in state["models"]:
+            out.models.append(Model.__new__(Model))
+            vars(out.models[-1]).update(values)
+        return out
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits a character under each language (texts x languages), the texts' keys and their letters."""
         keys, n, letters = keys_of(texts, self.letters)
@@ -201,14 +214,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     fitted = Identifier(by_lang)
     if not fitted.langs:
         return fitted
-    told = docs.sparkSession.sparkContext.broadcast(fitted)
+    told = docs.sparkSession.sparkContext.broadcast(fitted.state())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Identifier.of(told.value)
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, group in _groups(texts):
-                bits, n, letters_of = told.value.entropies(group)
-                rows = [(lang, float(bits[i, told.value.langs.index(lang)]), int(n[i])) for i, lang in enumerate(langs[at : at + len(group)]) if letters_of[i] and lang in told.value.langs]
+                bits, n, letters_of = model.entropies(group)
+                rows = [(lang, float(bits[i, model.langs.index(lang)]), int(n[i])) for i, lang in enumerate(langs[at : at + len(group)]) if letters_of[i] and lang in model.langs]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["lang", "bits", "n"])
 
     held = drawn.where("not counted").select("lang", "text").mapInArrow(measure, "lang string, bits double, n long").toPandas()
@@ -226,11 +240,13 @@ def identify(docs: DataFrame, model: Identifier, text_col: str = "text", keep: l
     are all texts if no language was learned; repeated rows are judged each; an empty table gives an empty one; columns of
     these names are replaced.
     """
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    told = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def make():
+        fitted = Identifier.of(told.value)
+
         def judge(texts: list[str | None]) -> list[pa.Array]:
-            rows = [row for _, group in _groups(texts) for row in told.value.predict(group)]
+            rows = [row for _, group in _groups(texts) for row in fitted.predict(group)]
             return [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
 
         return judge
