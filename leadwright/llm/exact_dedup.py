@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadwright.llm.common import SPACE, new_path
+from leadwright.llm.common import SPACE, new_path, written
 from leadwright.llm.url_filter import BlockedBloom
 
 
@@ -49,8 +49,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of docs: id, keep_id, group_size, kept and text_sha256 of the normalised text.
 
     Texts are equal when they are the same bytes after normalised(). The row with the smallest id of a group stays. The
-    index finds the candidates by a 64-bit digest; then the bytes of every hit are compared with the bytes of the row
-    that stays. Only hits take part in that shuffle: a blocked Bloom filter of the repeated digests lets the others go
+    index finds the candidates by a 64-bit digest; then the bytes of every hit are compared: hits fold by digest and bytes,
+    first in the task that reads them, so that of a group of any size a body a task is shuffled, and a digest with more
+    than one body is a collision. Only hits take part: a blocked Bloom filter of the repeated digests lets the others go
     before it. Digests that cover different texts are grouped anew by the bytes themselves.
 
     Null counts as empty text, and empty texts are equal to each other. Rows that repeat an id with the same text share
@@ -64,20 +65,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index.compact()
     merged = index.merged()
 
-    repeated = merged.where("group_size > 1")
-    hits = BlockedBloom(repeated.select("digest"), "digest", n_blocks).possible(plain, "digest").join(repeated, "digest")
-    stays = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("body").alias("keep_body"))
-    differing = hits.join(stays, "digest").where("body <> keep_body").select("digest").distinct()
-    collided = new_path(spark, "collided-digests")
-    differing.write.parquet(collided)
-    differing = spark.read.schema("digest long").parquet(collided)
+    # A digest's hits are the same bytes or more than one body is left of them; equal bodies fold in the task that reads them.
+    hits = BlockedBloom(merged.where("group_size > 1").select("digest"), "digest", n_blocks).possible(plain, "digest")
+    bodies = hits.select("digest", "body").distinct()
+    differing = bodies.groupBy("digest").agg(F.count("*").alias("bodies")).where("bodies > 1").select("digest")
+    differing = written(differing, "collided-digests")
 
     told = index.runs()
     if differing.isEmpty():
         told = told.join(merged, "digest").select("id", "keep_id", "group_size", "text_sha256")
     else:
         alike = told.join(differing, "digest", "left_anti").join(merged, "digest").select("id", "keep_id", "group_size", "text_sha256")
-        bodies = plain.join(differing, "digest", "left_semi")
-        groups = bodies.groupBy("body").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        told = alike.union(bodies.join(groups, "body").select("id", "keep_id", "group_size", F.sha2("body", 256)))
+        collided = plain.join(differing, "digest", "left_semi")
+        groups = collided.groupBy("body").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+        told = alike.union(collided.join(groups, "body").select("id", "keep_id", "group_size", F.sha2("body", 256)))
     return told.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
