@@ -17,6 +17,8 @@ BLOCK = 256
 SHARD = 4096
 #: Documents of a source that are numbered together on average.
 BUCKET = 20_000
+#: Output shards whose slots a task makes, and the most tasks that they are dealt to.
+TASK_SHARDS, MOST_TASKS = 16, 20_000
 #: Rounds of the permutation.
 ROUNDS = 20
 
@@ -98,11 +100,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     asked = asked.withColumn("slots", F.col("passes") * F.col("blocks") + slots_rest)
     total = asked.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, total // shard)
-    runs = asked.where("slots > 0").select("source_key", "slots", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {shard}"))).alias("run")).repartition("source_key", "run")
+    tasks = min(MOST_TASKS, -(-shards // TASK_SHARDS))  # a row stands for thousands of slots, so its bytes do not tell the work
+    runs = asked.where("slots > 0").select("source_key", "slots", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {shard}"))).alias("run")).repartition(tasks, "source_key", "run")
     ids = runs.select("source_key", F.explode(F.sequence(F.col("run") * shard, F.least(F.col("slots"), (F.col("run") + 1) * shard) - 1)).alias("i"))
     drawn = ids.groupBy("source_key", F.pmod(F.xxhash64("source_key", "i", F.lit(seed)), F.lit(shards)).alias("shard")).agg(F.count("*").alias("draws"))
     upto = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("draws").over(upto), F.lit(0))).repartition("source_key", "shard")
+    drawn = drawn.withColumn("first", F.coalesce(F.sum("draws").over(upto), F.lit(0))).repartition(tasks, "source_key", "shard")
 
     # Slots to blocks, and blocks to documents, both by index.
     slots = drawn.join(asked, "source_key").select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("slot"))
