@@ -16,8 +16,12 @@ from leadwright.llm.common import mapped
 ORDER = 4
 #: Labelled documents of a language that its model is fitted on, about, and as many that its rejection is calibrated on.
 SAMPLE = 2000
-#: How many times as far off as the worst calibration document a text may be before it is rejected.
-SLACK = 3.0
+#: A text may be SLACK times as far off its language as this share of the calibration texts of about its length are.
+QUANTILE, SLACK = 0.95, 2.5
+#: The share of the way from the language to random letters that a rejected text is beyond, at any length.
+BEYOND = 1 / 3
+#: Calibration texts of a range of lengths, at least: shorter ranges join the next.
+IN_RANGE = 50
 #: Text that is scored at once.
 CHUNK = 1 << 18
 
@@ -112,7 +116,7 @@ class Identifier:
         self.known = np.unique(np.concatenate([m.orders[0][1] for m in self.models])) if self.models else np.zeros(0, np.uint64)
         self.table = np.stack([np.log2(m.probability(self.known)) for m in self.models], 1) if self.models else np.zeros((0, 0))
         self.limits = {lang: (np.inf, -np.log2(m.uniform)) for lang, m in zip(self.langs, self.models)}
-        self.worst = 1.0
+        self.ranges: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.letters = _letters()
 
     def state(self) -> dict:
@@ -140,15 +144,29 @@ class Identifier:
         return -sums / n[:, None], n, letters
 
     def calibrate(self, lang: str, bits: np.ndarray, n: np.ndarray) -> None:
-        """Learn the language's mean, and how far from its mean, for its length, the worst calibration text of any language lies."""
-        mean = float(np.average(bits, weights=n))
-        self.limits[lang] = mean, self.limits[lang][1]
-        self.worst = max(self.worst, float(np.max((bits - mean) * np.sqrt(n), initial=1.0)))
+        """Learn the language's weighted median, and by doubling ranges of length how far from it, times the root of the length, QUANTILE of its texts lie."""
+        order = np.argsort(bits)
+        upto = np.cumsum(n[order])
+        middle = float(bits[order][np.searchsorted(upto, upto[-1] / 2)])
+        self.limits[lang] = middle, self.limits[lang][1]
+        away, doublings = (bits - middle) * np.sqrt(n), np.floor(np.log2(n))
+        starts, far, first = [], [], 0.0
+        for d in np.unique(doublings):
+            within = (doublings >= first) & (doublings <= d)
+            left = (doublings > d).sum()
+            if within.sum() >= IN_RANGE and left >= IN_RANGE or not left:
+                starts.append(2.0**first)
+                far.append(max(1.0, float(np.quantile(away[within], QUANTILE))))
+                first = d + 1
+        self.ranges[lang] = np.array(starts), np.array(far)
 
     def rejects(self, lang: str, bits: float, n: int) -> bool:
-        """Whether a text is SLACK times further off than any calibration text was, and nearer to random letters than to the language."""
-        mean, random = self.limits[lang]
-        return (bits - mean) * np.sqrt(n) > SLACK * self.worst and bits > (mean + random) / 2
+        """Whether a text is SLACK times further off than QUANTILE of the language's calibration texts of its length, and BEYOND the way to random letters."""
+        if lang not in self.ranges:
+            return False
+        (middle, random), (starts, far) = self.limits[lang], self.ranges[lang]
+        limit = far[max(0, np.searchsorted(starts, n, "right") - 1)]
+        return (bits - middle) * np.sqrt(n) > SLACK * limit and bits - middle > BEYOND * (random - middle)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """Language, score, bits a character and whether it is rejected, for each text."""
@@ -222,7 +240,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, group in _groups(texts):
                 bits, n, letters_of = model.entropies(group)
-                rows = [(lang, float(bits[i, model.langs.index(lang)]), int(n[i])) for i, lang in enumerate(langs[at : at + len(group)]) if letters_of[i] and lang in model.langs]
+                best = bits.argmin(1)  # a text that another language fits better may be labelled wrongly and sets no limit
+                rows = [(lang, float(bits[i, best[i]]), int(n[i])) for i, lang in enumerate(langs[at : at + len(group)]) if letters_of[i] and lang == model.langs[best[i]]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["lang", "bits", "n"])
 
     held = drawn.where("not counted").select("lang", "text").mapInArrow(measure, "lang string, bits double, n long").toPandas()
@@ -235,8 +254,8 @@ def identify(docs: DataFrame, model: Identifier, text_col: str = "text", keep: l
     """The columns of docs (or those to keep) with lang_pred, score (0 to 1), bits (a character) and rejected.
 
     The language whose model has the lowest cross-entropy a character. score weighs the others' distance from it by the
-    square root of the text's length. A text is rejected that is further off than calibration texts ever were and nearer
-    to random letters than to its language. Null texts and texts without a letter are `und` with score 0 and rejected, as
+    square root of the text's length. A text is rejected that is further off than its language's calibration texts of about
+    its length are (rejects). Null texts and texts without a letter are `und` with score 0 and rejected, as
     are all texts if no language was learned; repeated rows are judged each; an empty table gives an empty one; columns of
     these names are replaced.
     """
