@@ -58,7 +58,7 @@ class Policy:
     high_rungs: tuple = HIGH_RUNGS
     context_chars: int = 200
     proximity_chars: int = 300
-    max_input_chars: int = 200_000
+    max_input_chars: int = 0  # characters of a page's text that are scanned for addresses; 0: all
     skip_extensions: tuple = SKIP_EXTENSIONS
     priority_keywords: tuple = PRIORITY_KEYWORDS
     js_indicators: tuple = JS_INDICATORS

@@ -1,6 +1,7 @@
 import json
 
 from leadwright.operators.extract import extract_leads, page_links
+from leadwright.policy import Policy
 
 URL = "https://tn.gov.in/contact"
 
@@ -62,3 +63,18 @@ def test_many_recipients_and_broken_pages(spark):
 def test_links_are_absolute(spark):
     pages = spark.createDataFrame([(1, "https://a.org/d/p", '<a href="../x" rel="Next nofollow"> Go <b>ON</b></a><a href="">n</a><a href="http://b.c/">z</a>')], "page_id long, url string, html string")
     assert [(r.pos, r.url, r.text, r.rel) for r in page_links(pages).orderBy("pos").collect()] == [(0, "https://a.org/x", "go on", ["next", "nofollow"]), (1, "http://b.c/", "z", [])]
+
+
+def test_addresses_far_into_a_page(spark):
+    html = "<p>first@tn.gov.in " + "word " * 50_000 + "plain@tn.gov.in and marked [at] tn [dot] gov [dot] in</p>"
+    assert set(leads_of(spark, html)) == {"first@tn.gov.in", "plain@tn.gov.in", "marked@tn.gov.in"}
+    pages = spark.createDataFrame([(1, URL, html)], "page_id long, url string, html string")
+    assert [r.email for r in extract_leads(pages, Policy(max_input_chars=200_000)).collect()] == ["first@tn.gov.in"]
+
+
+def test_registered_query_reads_whole_pages(spark, tmp_path):
+    from leadwright.plans.catalogue import extract_leads_dom
+
+    html = "<p>" + "word " * 50_000 + "last@mail.com</p>"
+    spark.createDataFrame([(1, "https://a.com/x", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r.email for r in extract_leads_dom(spark, str(tmp_path)).collect()] == ["last@mail.com"]
