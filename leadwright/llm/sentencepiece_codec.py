@@ -6,12 +6,15 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from leadwright.llm.common import mapped
+from leadwright.llm.common import mapped, written
 
 MARK = "▁"
 #: The key of a marker that stands in a text itself; no part of a text has a marker after another character.
@@ -20,6 +23,12 @@ OWN_MARK = "x▁"
 UNKNOWN = 10.0
 #: Parts whose ids a worker process remembers, about 200 bytes each.
 REMEMBERED = 250_000
+#: Rounds of expectation and maximisation, and what a piece counts at least.
+EM_ROUNDS, LEAST = 2, 0.01
+#: Expected counts of a part are rounded to a share of 1 / SCALE, so that their sums do not depend on the order.
+SCALE = 1 << 20
+#: Characters whose lattice is held at once, and distinct parts that a task counts before it hands them on.
+LATTICE, COUNTED = 1 << 17, 200_000
 
 
 class DoubleArray:
@@ -72,9 +81,10 @@ class DoubleArray:
 
 
 class Codec:
-    """Encodes and decodes texts with the pieces and log scores of a SentencePiece model file.
+    """Encodes and decodes texts with the pieces of a SentencePiece model file and log probabilities of a unigram model.
 
-    A text gets a space before it, spaces become the whitespace marker, and the segmentation with the highest sum of
+    The file's own scores are negative merge ranks if it is a BPE model, so only their order is used: by default the piece
+    of rank r has a probability in proportion to 1 / r; fit_scores estimates probabilities from texts. A text gets a space before it, spaces become the whitespace marker, and the segmentation with the highest sum of
     scores is chosen; of equal ones, that with the longest last piece. A character that no piece covers costs UNKNOWN
     below the least score and becomes its UTF-8 bytes' pieces; so does a marker that stands in the text itself, which
     makes decoding exact. No normalisation is done. An empty text has no ids.
@@ -94,13 +104,15 @@ class Codec:
         words = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         if any(MARK in p.lstrip(MARK) for p in words):
             raise ValueError("a piece has a marker after another character")
-        self.scores = [model.get_score(i) for i in range(n)]
-        self.unknown = min(self.scores[i] for i in words.values()) - UNKNOWN
+        self.vocabulary = np.array(sorted(words.values(), key=lambda i: (-model.get_score(i), i)))
+        self.by_rank = np.zeros(n)
+        self.by_rank[self.vocabulary] = -np.log(np.arange(1, len(words) + 1)) - np.log((1.0 / np.arange(1, len(words) + 1)).sum())
+        self.known: dict[str, bytes] = {}
+        self.use(self.by_rank)
         self.trie = DoubleArray(words)
         # No piece goes from another character to a marker, and none holds these: the best segmentation is that of the parts.
         alone = "".join(c for c in "\n\t\r\f\v" if c not in self.trie.codes)
         self.split = re.compile(f"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, bytes] = {OWN_MARK: array("i", [self.byte_ids[x] for x in MARK.encode()]).tobytes()}
         self.is_byte = np.zeros(n, bool)
         self.is_byte[self.byte_ids] = True
         plain = [p.replace(MARK, " ").encode() if not special[i] else b"" for i, p in enumerate(self.pieces)]
@@ -108,6 +120,86 @@ class Codec:
             plain[i] = bytes([b])
         self.plain = plain
 
+    def use(self, scores: np.ndarray) -> None:
+        """Take these log scores, one for each piece of the file."""
+        self.scores = scores.tolist()
+        self.unknown = float(scores[self.vocabulary].min()) - UNKNOWN
+        self.known = {OWN_MARK: array("i", [self.byte_ids[x] for x in MARK.encode()]).tobytes()}
+
+    def expected(self, parts: list[str], times: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the parts under the scores, each part `times` over, in SCALE-ths: forward and backward sums over all segmentations."""
+        total = np.zeros(len(self.pieces), np.int64)
+        order = sorted((i for i, part in enumerate(parts) if part != OWN_MARK), key=lambda i: len(parts[i]))
+        at = size = 0
+        for k, i in enumerate(order):
+            if size + len(parts[i]) > LATTICE and k > at:
+                total += self._expected([parts[j] for j in order[at:k]], times[order[at:k]])
+                at, size = k, 0
+            size += len(parts[i])
+        return total + self._expected([parts[j] for j in order[at:]], times[order[at:]]) if len(order) > at else total
+
+    def _expected(self, parts: list[str], times: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "arrays"):
+            code_of = np.zeros(0x110000, np.int64)
+            code_of[[ord(c) for c in self.trie.codes]] = list(self.trie.codes.values())
+            self.arrays = code_of, np.array(self.trie.base), np.array(self.trie.check), np.array(self.trie.value)
+        code_of, base, check, value = self.arrays
+        scores = np.array(self.scores)
+        sizes = np.array([len(p) for p in parts])
+        code = code_of[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        owner = np.repeat(np.arange(len(parts)), sizes)  # of each character
+        stop, first = np.cumsum(sizes)[owner], np.cumsum(sizes + 1) - (sizes + 1)  # a part of n characters has n + 1 nodes
+        last = first + sizes
+        place = np.arange(last[-1] + 1) - np.repeat(first, sizes + 1)
+        at, state, depth = np.arange(len(code)), np.zeros(len(code), np.int64), 0
+        single = np.zeros(len(code), bool)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while True:
+            inside = at + depth < stop[at]
+            at, state = at[inside], state[inside]
+            c = code[at + depth]
+            to = base[state] + c
+            there = (c > 0) & (to < self.trie.length)
+            there[there] = check[to[there]] == state[there]
+            at, state = at[there], to[there]
+            if not len(at):
+                break
+            hit = value[state] >= 0
+            depth += 1
+            found.append((at[hit], np.full(hit.sum(), depth), value[state[hit]]))
+            if depth == 1:
+                single[at[hit]] = True
+        bare = np.flatnonzero(~single)
+        found.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), -1)))
+        char, length, piece = map(np.concatenate, zip(*found))
+        source = char + owner[char]
+        target = source + length
+        weight = np.where(piece >= 0, scores[piece], self.unknown)
+
+        def sums(start: np.ndarray, end: np.ndarray, seed: np.ndarray, far: np.ndarray) -> np.ndarray:
+            """For each node, the log of the sum over all ways from the seeds along the edges; far: the nodes' steps from where they begin."""
+            out = np.full(len(place), -np.inf)
+            out[seed] = 0.0
+            order = np.lexsort((end, far[end]))
+            s, e, w = start[order], end[order], weight[order]
+            bounds = np.searchsorted(far[e], np.arange(1, sizes.max() + 2))
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                if high > low:
+                    v, ends = out[s[low:high]] + w[low:high], e[low:high]
+                    new = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+                    most = np.maximum.reduceat(v, new)
+                    out[ends[new]] = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, np.diff(np.append(new, high - low)))), new))
+            return out
+
+        ahead = sums(source, target, first, place)
+        back = sums(target, source, last, np.repeat(sizes, sizes + 1) - place)
+        part = owner[char]
+        chance = np.exp(ahead[source] + weight + back[target] - ahead[last[part]])
+        known = piece >= 0
+        out = np.zeros(len(self.pieces), np.int64)
+        np.add.at(out, piece[known], np.rint(chance[known] * SCALE).astype(np.int64) * times[part[known]])
+        return out
+
     def best(self, word: str) -> tuple[int, ...]:
         """The ids of a part of a text, by Viterbi over its characters."""
         base, check, value, codes, scores, length = self.trie.base, self.trie.check, self.trie.value, self.trie.codes, self.scores, self.trie.length
@@ -175,27 +267,83 @@ class Codec:
         return text[1:] if text[:1] == b" " else text
 
 
-def worker_codec(model_file: str) -> Codec:
-    """The codec of this worker process. It is held by the library's module, as that stays when Spark gives the process another task."""
+def worker_codec(model_file: str, scores: np.ndarray | None = None) -> Codec:
+    """The codec of this worker process, with these scores. It is held by the library's module, as that stays when Spark gives the process another task."""
     import sentencepiece
 
     held = vars(sentencepiece).setdefault("_codecs_by_file", {})
     if model_file not in held:
         held[model_file] = Codec(model_file)
-    return held[model_file]
+    codec = held[model_file]
+    wanted = codec.by_rank if scores is None else scores
+    if codec.scores != wanted.tolist():
+        codec.use(wanted)
+    return codec
+
+
+def fit_scores(docs: DataFrame, model_file: str, text_col: str = "text", rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces by expectation and maximisation over all documents, one for each piece of the file.
+
+    The distinct parts of all texts are counted once. Each round sums the pieces' expected counts over the segmentations
+    of every part; what reaches the driver is a number a piece. No piece counts less than LEAST, so all stay possible.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = worker_codec(model_file)
+        seen: Counter = Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            parts, n = list(seen), list(seen.values())
+            for at in range(0, len(parts), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(parts[at : at + 10_000], pa.string()), pa.array(n[at : at + 10_000], pa.int64())], names=["part", "n"])
+            seen.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                seen.update(codec.parts(batch.column(0)[i].as_py() or ""))
+                if len(seen) > COUNTED:
+                    yield from told()
+        yield from told()
 
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "part string, n long")
+    parts = written(counted.groupBy("part").agg(F.sum("n").alias("n")), "piece-parts")
+    codec = worker_codec(model_file)
+    scores = codec.by_rank
+    for _ in range(rounds):
+        told = docs.sparkSession.sparkContext.broadcast(scores)
 
-def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = worker_codec(model_file, told.value)
+            total = np.zeros(len(own.pieces), np.int64)
+            for batch in batches:
+                total += own.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["piece", "n"])
+
+        sums = parts.mapInArrow(expect, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros(len(scores))
+        counts[sums["piece"].to_numpy()] = sums["n"].to_numpy() / SCALE
+        if not counts.any():
+            break
+        counts = np.maximum(counts[codec.vocabulary], LEAST)
+        scores = np.zeros(len(scores))
+        scores[codec.vocabulary] = np.log(counts / counts.sum())
+    return scores
+
+
+def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_ids: bool = True, keep: list[str] | None = None, scores: np.ndarray | None = None) -> DataFrame:
     """The columns of docs (or those to keep) with n_tokens, n_bytes (ids of byte pieces), ids_crc32, decoded_sha256 and, with_ids, ids.
 
-    ids are the text's pieces; ids_crc32 is the CRC-32 of the ids as little-endian unsigned 32-bit integers, and
-    decoded_sha256 the SHA-256 of what the ids decode to, which is the text's own. Null and empty texts have no ids;
-    repeated rows are encoded each; an empty table gives an empty one; columns of these names are replaced.
+    scores: log scores of the pieces, by default those that fit_scores estimates from docs. ids are the text's pieces;
+    ids_crc32 is the CRC-32 of the ids as little-endian unsigned 32-bit integers, and decoded_sha256 the SHA-256 of what
+    the ids decode to, which is the text's own. Null and empty texts have no ids; repeated rows are encoded each; an empty
+    table gives an empty one; columns of these names are replaced.
     """
+    told = docs.sparkSession.sparkContext.broadcast(fit_scores(docs, model_file, text_col) if scores is None else scores)
     kinds = {"n_tokens": "long", "n_bytes": "long", "ids_crc32": "long", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
 
     def make():
-        codec = worker_codec(model_file)
+        codec = worker_codec(model_file, told.value)
 
         def encode(texts: list[str | None]) -> list[pa.Array]:
             found = codec.encode([t or "" for t in texts])
