@@ -148,7 +148,7 @@ def main_text(html: str | None) -> str:
 
     Parser events give lines; those of surrounding elements (menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, reader comments) are left out. The others have a ratio of characters to tags; the ratios are smoothed
-    and split into two clusters. The content region is the smallest element that holds all lines of the upper cluster,
+    and their logarithms split into two clusters. The content region is the smallest element that holds all lines of the upper cluster,
     or the article or main around it; all its lines are kept, so a short paragraph between long ones stays.
     """
     page = Lines()
@@ -157,7 +157,7 @@ def main_text(html: str | None) -> str:
     page.flush()
     if not page.lines:
         return ""
-    values = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in page.lines]))
+    values = np.log(smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in page.lines])))  # one very long paragraph is not a cluster of its own
     least = threshold(values)
 
     def above(element: int) -> list[int]:
