@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +58,28 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def worker_state() -> dict:
+    """A dict of this worker process that stays for its further tasks. Functions travel by value with each, so a module of its own holds it."""
+    return vars(sys.modules.setdefault("_leadwright_worker", types.ModuleType("_leadwright_worker")))
+
+
+#: Bytes of texts that are worked on at once, or one longer text.
+GROUP_BYTES = 2 << 20
+
+
+def text_groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about GROUP_BYTES of text, with the bytes of its texts (no nulls) end to end and where each begins, and the end."""
+    texts = batch.column(column)
+    _, where, what = texts.buffers()
+    offsets = np.frombuffer(where, np.int32 if pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(what, np.uint8) if what is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + GROUP_BYTES, "right")) - 1)
+        yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1].astype(np.int64) - int(offsets[at])
+        at = to
+
+
 #: Rows whose texts a task holds as Python objects at once.
 AT_ONCE = 256
 

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadwright.llm.common import new_path
+from leadwright.llm.common import new_path, text_groups, worker_state
+from leadwright.llm.stretches import ROOM, StretchTable
 
-#: Pieces whose ids a worker process remembers, about 200 bytes each.
-REMEMBERED = 300_000
 #: Bytes of a row group and rows of a page of the files.
 ROW_GROUP, PAGE_ROWS = 16 << 20, 256
 
 
+def _table(*values: int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[*range(9, 14), *values]] = True
+    return out
+
+
+#: Bytes that may end white space other than a space, and that may begin white space: of ASCII, or of the longer characters of White_Space (fixed values).
+ENDS, BEGINS = _table(*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF), _table(0x20, 0xC2, 0xE1, 0xE2, 0xE3)
+
+
 class Encoder:
     """The ids of texts by a byte-level BPE of the tokenizers library, without its special tokens being added.
 
-    Byte-level BPE works on each piece of its split pattern alone, so the library encodes each distinct piece once, and a
-    text's ids are its pieces' ids in turn. Special tokens that stand in a text are one id, as the library makes them.
+    Byte-level BPE works on each piece of its split pattern alone. A space after another character than a space begins a
+    piece, unless other white space is before it and white space after it. So a text is cut before such spaces, and the
+    library encodes each distinct stretch once. Special tokens that stand in a text are one id, as the library makes them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = ROOM):
         import json
 
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.model = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
@@ -45,10 +57,17 @@ class Encoder:
         added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.split = regex.compile(split).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
+        self.added = [t.encode() for t in added]
+        self.held_back = regex.compile(r"[^\S ] (?!\S)").search
         tokens = self.model.get_vocab()
         self.spaced = np.zeros(max(tokens.values()) + 1, bool)
         self.spaced[[i for t, i in tokens.items() if t[0] == "Ġ"]] = True
-        self.known: dict[str, bytes] = {}
+        # Words are handed to the same model cut already, in its own letters: bytes as printable characters (fixed values).
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*plain}))} | {32: " Ġ"}
+        self.words = Tokenizer(self.model.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
+        self.table = StretchTable(self.stretch_ids, room)
 
     def pieces(self, text: str) -> list[str]:
         split = self.split if self.beyond_latin(text) else self.split_latin
@@ -56,38 +75,66 @@ class Encoder:
             return split(text)
         return [p for i, part in enumerate(self.special.split(text)) for p in ([part] if i % 2 else split(part))]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not known yet. Words after a space go to the library in one text, which it splits again before each space; no other token holds one."""
+    def piece_ids(self, pieces: list[str]) -> dict[str, bytes]:
+        """The library's ids of pieces. Words after a space go to the model side by side; no token but a word's first starts with a space."""
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for at in range(0, len(words), 64):  # short texts are split fastest
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), 64):  # short texts are encoded fastest
             part = words[at : at + 64]
-            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            shown = "".join(part)
+            shown = shown.replace(" ", " Ġ") if shown.isascii() else shown.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int32)
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(part):
                 raw, edges = ids.tobytes(), [*(starts * 4).tolist(), 4 * len(ids)]
-                self.known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
-        rest = [p for p in pieces if p not in self.known]
+                found.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+        rest = [p for p in pieces if p not in found]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            self.known.update(zip(part, (np.array(e.ids, np.int32).tobytes() for e in self.model.encode_batch_fast(part, add_special_tokens=False))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four bytes each."""
-        split = [self.pieces(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        self.learn(list(new))
-        ids = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
-        if len(self.known) > REMEMBERED:  # frequent pieces came first; these are encoded again when they are met again
-            for p in new:
-                del self.known[p]
-        return ids
+            found.update(zip(part, (np.array(e.ids, np.int32).tobytes() for e in self.model.encode_batch_fast(part, add_special_tokens=False))))
+        return found
+
+    def stretch_ids(self, stretches: list[bytes], head: list[bool]) -> list[bytes]:
+        split = [[s] if s[:1] == " " and s[1:].isalpha() else self.pieces(s) for s in (x.decode() for x in stretches)]
+        known = self.piece_ids(list(set().union(*split))).__getitem__
+        return [known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for p in split]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of each text's; text i is data[offsets[i]:offsets[i + 1]] in UTF-8, and offsets begin at 0."""
+        mark = self.table.mark()
+        space = data == 32
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        inner = offsets[:-1][offsets[:-1] < offsets[1:]]
+        cut[inner] = True  # every text begins a stretch
+        doubt = np.flatnonzero(cut[1:-1] & space[1:-1] & ENDS[data[:-2]] & BEGINS[data[2:]]) + 1
+        last = offsets[1:][np.diff(offsets) > 1] - 1
+        doubt = np.concatenate([doubt, last[space[last] & ENDS[data[last - 1]]]])
+        texts = np.searchsorted(offsets, doubt, "right") - 1
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                texts = np.append(texts, np.searchsorted(offsets, at, "right") - 1)
+                at = raw.find(token, at + 1)
+        for i in np.unique(texts):
+            a, b = offsets[i], offsets[i + 1]
+            text = raw[a:b].decode()
+            if self.held_back(text) or self.special is not None and self.special.search(text):
+                cut[a + 1 : b] = False  # one stretch
+        start = np.flatnonzero(cut)
+        head = np.zeros(len(data), bool)
+        head[inner] = True
+        entries = self.table.entries(data, start, head[start])
+        flat, sizes = self.table.ids(entries)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, offsets)]
+        self.table.forget(mark)
+        return flat, np.diff(upto)
 
 
 def worker_encoder(path: str) -> Encoder:
-    """The encoder of this worker process. It is held by the library's module, as that stays when Spark gives the process another task."""
-    import tokenizers
-
-    held = vars(tokenizers).setdefault("_encoders_by_file", {})
+    """The encoder of this worker process."""
+    held = worker_state().setdefault("encoders", {})
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
@@ -100,20 +147,39 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = None
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
-            encoder = encoder or worker_encoder(vocabulary)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                last = np.array([end], np.int32).tobytes()
-                flat = np.frombuffer(last.join([*ids, b""]), np.int32)
-                ends = np.cumsum([0, *(len(x) // 4 + 1 for x in ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            for part, data, offsets in text_groups(batch, 1):
+                flat, sizes = encoder.encode(data, offsets)
+                ends = np.cumsum(sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]), pa.int32()), pa.array(np.insert(flat, ends, end)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+
+
+def ordered(rows: DataFrame, id_col: str) -> DataFrame:
+    """The rows in ascending order of a number over the partitions and in each, nulls last.
+
+    The bounds are approximate quantiles of the column alone, a sketch a task; the rows are read once, to be shuffled. A row
+    looks its place up in two steps, among the firsts of groups of bounds and then in one group.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    cuts = sorted(set(found or []))
+    if not cuts:
+        return rows.repartitionById(1, F.lit(0)).sortWithinPartitions(F.col(id_col).asc_nulls_last())
+    width = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+
+    def below(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda x: x < F.col(id_col)))
+
+    rank = below(F.lit([g[0] for g in groups]))
+    fine = (rank - 1) * width + below(F.element_at(F.array(*map(F.lit, groups)), rank))
+    place = F.when(F.col(id_col).isNull(), len(cuts)).when(F.col(id_col) <= cuts[0], 0).otherwise(fine)
+    return rows.repartitionById(len(cuts) + 1, place.cast("int")).sortWithinPartitions(F.col(id_col).asc_nulls_last())
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2) -> None:
@@ -123,8 +189,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
     PAGE_ROWS rows, so that a reader that wants some ids, or only the numbers, reads those pages and columns alone. Ids
     are dictionary-encoded while a group's dictionary is small and delta-encoded otherwise.
     """
-    order = F.col(id_col).asc_nulls_last()
-    rows = docs.select(id_col, text_col).repartitionByRange(order).sortWithinPartitions(order)
+    rows = ordered(docs.select(id_col, text_col), id_col)
     (
         encoded(rows, vocabulary, id_col, text_col, end)
         .select("id", F.size("ids").cast("long").alias("n_tokens"), "ids")
