@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,21 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadwright.llm.common import mapped, written
+from leadwright.llm.common import text_groups, worker_state, written
+from leadwright.llm.stretches import ROOM, StretchTable
 
 MARK = "▁"
 #: The key of a marker that stands in a text itself; no part of a text has a marker after another character.
 OWN_MARK = "x▁"
 #: What an unknown character costs below the least score, as in the unigram model.
 UNKNOWN = 10.0
-#: Parts whose ids a worker process remembers, about 200 bytes each.
-REMEMBERED = 250_000
 #: Rounds of expectation and maximisation, and what a piece counts at least.
 EM_ROUNDS, LEAST = 2, 0.01
 #: Expected counts of a part are rounded to a share of 1 / SCALE, so that their sums do not depend on the order.
 SCALE = 1 << 20
-#: Characters whose lattice is held at once, and distinct parts that a task counts before it hands them on.
-LATTICE, COUNTED = 1 << 17, 200_000
+#: Distinct stretches that a task counts before it hands them on; the table has room for twice as many.
+COUNTED = 1 << 18
+#: In a lattice, a character that no piece covers.
+UNCOVERED = -2
+#: Characters whose lattice is held at once, and those of the longest part that is cut with others.
+LATTICE, TOGETHER = 1 << 16, 100
 
 
 class DoubleArray:
@@ -90,7 +92,7 @@ class Codec:
     makes decoding exact. No normalisation is done. An empty text has no ids.
     """
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, room: int = ROOM):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -107,9 +109,13 @@ class Codec:
         self.vocabulary = np.array(sorted(words.values(), key=lambda i: (-model.get_score(i), i)))
         self.by_rank = np.zeros(n)
         self.by_rank[self.vocabulary] = -np.log(np.arange(1, len(words) + 1)) - np.log((1.0 / np.arange(1, len(words) + 1)).sum())
-        self.known: dict[str, bytes] = {}
-        self.use(self.by_rank)
         self.trie = DoubleArray(words)
+        self.code_of = np.zeros(0x110000, np.int32)
+        self.code_of[[ord(c) for c in self.trie.codes]] = list(self.trie.codes.values())
+        self.base, self.check, self.value = (np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self.longest = max(map(len, words))
+        self.room = room
+        self.use(self.by_rank)
         # No piece goes from another character to a marker, and none holds these: the best segmentation is that of the parts.
         alone = "".join(c for c in "\n\t\r\f\v" if c not in self.trie.codes)
         self.split = re.compile(f"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
@@ -124,82 +130,115 @@ class Codec:
         """Take these log scores, one for each piece of the file."""
         self.scores = scores.tolist()
         self.unknown = float(scores[self.vocabulary].min()) - UNKNOWN
-        self.known = {OWN_MARK: array("i", [self.byte_ids[x] for x in MARK.encode()]).tobytes()}
+        self.table = StretchTable(self.stretch_ids, self.room)
+
+    def _groups(self, parts: list[str], among: list[int]) -> Iterator[list[int]]:
+        """Places of parts of about one length, as many as LATTICE characters hold, or one part."""
+        sizes = np.array([len(parts[i]) for i in among])
+        order, at = np.argsort(sizes, kind="stable"), 0
+        sizes = sizes[order]
+        while at < len(order):
+            fits = (np.arange(1, len(order) - at + 1) * sizes[at:] <= LATTICE)[: LATTICE + 1]
+            to = at + max(1, int(fits.sum()))  # n parts of the last one's size; that grows with n
+            yield [among[i] for i in order[at:to]]
+            at = to
+
+    def _lattice(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts' sizes, and at [d - 1, i, a] the piece of d characters that part i has from character a on, or -1; UNCOVERED is a single character that no piece covers."""
+        sizes = np.array([len(p) for p in parts])
+        width = int(sizes.max())
+        there = np.arange(width) < sizes[:, None]
+        code = np.zeros((len(parts), width), np.int32)
+        code[there] = self.code_of[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        code = code.ravel()
+        piece = np.full((min(self.longest, width), len(parts) * width), -1, np.int32)
+        at, state = np.flatnonzero(there), np.zeros(there.sum(), np.int32)
+        ends = (np.arange(len(parts)) * width + sizes).repeat(sizes)
+        for depth in range(len(piece)):
+            c = code[at + depth]
+            to = self.base[state] + c
+            go = (c > 0) & (to < self.trie.length)
+            go[go] = self.check[to[go]] == state[go]
+            if depth == 0:
+                single = np.zeros(len(code), bool)
+                single[at[go]] = self.value[to[go]] >= 0
+                piece[0, at[~single[at]]] = UNCOVERED
+            at, state, ends = at[go], to[go], ends[go]
+            hit = self.value[state] >= 0
+            piece[depth, at[hit]] = self.value[state[hit]]
+            inside = at + depth + 1 < ends
+            at, state, ends = at[inside], state[inside], ends[inside]
+            if not len(at):
+                break
+        return sizes, piece.reshape(len(piece), len(parts), width)
+
+    def _weights(self, piece: np.ndarray) -> np.ndarray:
+        """The log scores of the lattice, in which no piece has -inf and an uncovered character its cost."""
+        scores = np.concatenate([self.scores, [self.unknown, -np.inf]])  # UNCOVERED is the last but one place, -1 the last
+        return scores[piece]
 
     def expected(self, parts: list[str], times: np.ndarray) -> np.ndarray:
         """How often each piece is expected in the parts under the scores, each part `times` over, in SCALE-ths: forward and backward sums over all segmentations."""
         total = np.zeros(len(self.pieces), np.int64)
-        order = sorted((i for i, part in enumerate(parts) if part != OWN_MARK), key=lambda i: len(parts[i]))
-        at = size = 0
-        for k, i in enumerate(order):
-            if size + len(parts[i]) > LATTICE and k > at:
-                total += self._expected([parts[j] for j in order[at:k]], times[order[at:k]])
-                at, size = k, 0
-            size += len(parts[i])
-        return total + self._expected([parts[j] for j in order[at:]], times[order[at:]]) if len(order) > at else total
+        for some in self._groups(parts, [i for i, p in enumerate(parts) if p != OWN_MARK]):
+            total += self._expected([parts[i] for i in some], times[some])
+        return total
 
     def _expected(self, parts: list[str], times: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "arrays"):
-            code_of = np.zeros(0x110000, np.int64)
-            code_of[[ord(c) for c in self.trie.codes]] = list(self.trie.codes.values())
-            self.arrays = code_of, np.array(self.trie.base), np.array(self.trie.check), np.array(self.trie.value)
-        code_of, base, check, value = self.arrays
-        scores = np.array(self.scores)
-        sizes = np.array([len(p) for p in parts])
-        code = code_of[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        owner = np.repeat(np.arange(len(parts)), sizes)  # of each character
-        stop, first = np.cumsum(sizes)[owner], np.cumsum(sizes + 1) - (sizes + 1)  # a part of n characters has n + 1 nodes
-        last = first + sizes
-        place = np.arange(last[-1] + 1) - np.repeat(first, sizes + 1)
-        at, state, depth = np.arange(len(code)), np.zeros(len(code), np.int64), 0
-        single = np.zeros(len(code), bool)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while True:
-            inside = at + depth < stop[at]
-            at, state = at[inside], state[inside]
-            c = code[at + depth]
-            to = base[state] + c
-            there = (c > 0) & (to < self.trie.length)
-            there[there] = check[to[there]] == state[there]
-            at, state = at[there], to[there]
-            if not len(at):
-                break
-            hit = value[state] >= 0
-            depth += 1
-            found.append((at[hit], np.full(hit.sum(), depth), value[state[hit]]))
-            if depth == 1:
-                single[at[hit]] = True
-        bare = np.flatnonzero(~single)
-        found.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), -1)))
-        char, length, piece = map(np.concatenate, zip(*found))
-        source = char + owner[char]
-        target = source + length
-        weight = np.where(piece >= 0, scores[piece], self.unknown)
-
-        def sums(start: np.ndarray, end: np.ndarray, seed: np.ndarray, far: np.ndarray) -> np.ndarray:
-            """For each node, the log of the sum over all ways from the seeds along the edges; far: the nodes' steps from where they begin."""
-            out = np.full(len(place), -np.inf)
-            out[seed] = 0.0
-            order = np.lexsort((end, far[end]))
-            s, e, w = start[order], end[order], weight[order]
-            bounds = np.searchsorted(far[e], np.arange(1, sizes.max() + 2))
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                if high > low:
-                    v, ends = out[s[low:high]] + w[low:high], e[low:high]
-                    new = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-                    most = np.maximum.reduceat(v, new)
-                    out[ends[new]] = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, np.diff(np.append(new, high - low)))), new))
-            return out
-
-        ahead = sums(source, target, first, place)
-        back = sums(target, source, last, np.repeat(sizes, sizes + 1) - place)
-        part = owner[char]
-        chance = np.exp(ahead[source] + weight + back[target] - ahead[last[part]])
-        known = piece >= 0
+        sizes, piece = self._lattice(parts)
+        weight = self._weights(piece)
+        depth, n, width = weight.shape
+        ahead, back = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        ahead[0] = 0.0
+
+        def log_sum(terms: list[np.ndarray]) -> np.ndarray:
+            top = np.maximum(np.max(terms, axis=0), -1e300)
+            return top + np.log(np.sum([np.exp(t - top) for t in terms], axis=0), out=np.full(n, -np.inf), where=top > -1e300)
+
+        for b in range(1, width + 1):
+            ahead[b] = log_sum([ahead[b - d] + weight[d - 1, :, b - d] for d in range(1, min(depth, b) + 1)])
+        for a in range(width, -1, -1):
+            steps = [weight[d - 1, :, a] + back[a + d] for d in range(1, min(depth, width - a) + 1)]
+            back[a] = np.where(sizes == a, 0.0, log_sum(steps) if steps else -np.inf)
+        whole = ahead[sizes, np.arange(n)]
         out = np.zeros(len(self.pieces), np.int64)
-        np.add.at(out, piece[known], np.rint(chance[known] * SCALE).astype(np.int64) * times[part[known]])
+        for d in range(1, depth + 1):
+            i, a = np.nonzero(piece[d - 1] >= 0)
+            chance = np.exp(ahead[a, i] + weight[d - 1, i, a] + back[a + d, i] - whole[i])
+            np.add.at(out, piece[d - 1, i, a], np.rint(chance * SCALE).astype(np.int64) * times[i])
         return out
 
+    def best_of(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of each part as bytes of int32. Viterbi over all parts of about one length together; long parts and those with an uncovered character each alone."""
+        found = {OWN_MARK: np.array([self.byte_ids[x] for x in MARK.encode()], np.int32).tobytes()}
+        alone = [i for i, p in enumerate(parts) if len(p) > TOGETHER and p != OWN_MARK]
+        for some in self._groups(parts, [i for i, p in enumerate(parts) if len(p) <= TOGETHER and p != OWN_MARK]):
+            group = [parts[i] for i in some]
+            sizes, piece = self._lattice(group)
+            weight = self._weights(piece)
+            depth, n, width = weight.shape
+            top, came = np.full((width + 1, n), -np.inf), np.zeros((width + 1, n), np.int64)
+            top[0] = 0.0
+            for b in range(1, width + 1):
+                for d in range(min(depth, b), 0, -1):  # of equal sums, the one with the longest last piece
+                    sum_ = top[b - d] + weight[d - 1, :, b - d]
+                    better = sum_ > top[b]
+                    top[b][better] = sum_[better]
+                    came[b][better] = d
+            row, place, steps = np.arange(n), sizes.copy(), []
+            while place.any():
+                d = came[place, row]
+                ids = np.where(place > 0, piece[d - 1, row, np.maximum(place - d, 0)], -1)
+                place = np.maximum(place - d, 0)
+                steps.append(ids)
+            ids = np.stack(steps[::-1], 1)
+            alone += [some[i] for i in np.flatnonzero((ids == UNCOVERED).any(1))]
+            flat = ids[ids != -1].tobytes()
+            ends = (4 * np.cumsum((ids != -1).sum(1))).tolist()
+            found.update(zip(group, map(flat.__getitem__, map(slice, [0, *ends], ends))))
+        found.update((parts[i], np.array(self.best(parts[i]), np.int32).tobytes()) for i in alone)
+        return found
+
     def best(self, word: str) -> tuple[int, ...]:
         """The ids of a part of a text, by Viterbi over its characters."""
         base, check, value, codes, scores, length = self.trie.base, self.trie.check, self.trie.value, self.trie.codes, self.scores, self.trie.length
@@ -237,9 +276,7 @@ class Codec:
         return tuple(reversed(ids))
 
     def parts(self, text: str) -> list[str]:
-        """What is encoded apart: a text with its space before and its spaces as markers, cut before each run of markers and around what no piece holds. A marker of the text itself is OWN_MARK."""
-        if not text:
-            return []
+        """What is encoded apart: a text after a space, its spaces as markers, cut before each run of markers and around what no piece holds. A marker of the text itself is OWN_MARK."""
         if MARK not in text:
             return self.split(MARK + text.replace(" ", MARK))
         out: list[str] = []
@@ -248,18 +285,28 @@ class Codec:
             out += self.split(("" if i else MARK) + part.replace(" ", MARK))
         return out
 
+    def stretch_parts(self, stretches: list[bytes], head: list[bool]) -> list[list[str]]:
+        return [self.parts(x.decode() if h else x[1:].decode()) for x, h in zip(stretches, head)]
+
+    def stretch_ids(self, stretches: list[bytes], head: list[bool]) -> list[bytes]:
+        split = self.stretch_parts(stretches, head)
+        known = self.best_of(list(set().union(*split))).__getitem__
+        return [known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for p in split]
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of each text's; text i is data[offsets[i]:offsets[i + 1]] in UTF-8, and offsets begin at 0."""
+        mark = self.table.mark()
+        start, head = cut_at_spaces(data, offsets)
+        flat, sizes = self.table.ids(self.table.entries(data, start, head))
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, offsets)]
+        self.table.forget(mark)
+        return flat, np.diff(upto)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [self.parts(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        for part in new:
-            self.known[part] = array("i", self.best(part)).tobytes()
-        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32) for parts in split]
-        if len(self.known) > REMEMBERED:  # frequent words came first; these are encoded again when they are met again
-            for part in new:
-                del self.known[part]
-            self.known[OWN_MARK] = array("i", [self.byte_ids[x] for x in MARK.encode()]).tobytes()
-        return ids
+        data = [t.encode() for t in texts]
+        flat, sizes = self.encode_bytes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        return np.split(flat, np.cumsum(sizes)[:-1]) if texts else []
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids in UTF-8: byte pieces as they are, markers as spaces, without the space before the text."""
@@ -267,11 +314,22 @@ class Codec:
         return text[1:] if text[:1] == b" " else text
 
 
-def worker_codec(model_file: str, scores: np.ndarray | None = None) -> Codec:
-    """The codec of this worker process, with these scores. It is held by the library's module, as that stays when Spark gives the process another task."""
-    import sentencepiece
+def cut_at_spaces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the stretches of texts start, each a run of spaces and what follows it, and which of them begin a text."""
+    space = data == 32
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    inner = offsets[:-1][offsets[:-1] < offsets[1:]]
+    cut[inner] = True
+    head = np.zeros(len(data), bool)
+    head[inner] = True
+    start = np.flatnonzero(cut)
+    return start, head[start]
+
 
-    held = vars(sentencepiece).setdefault("_codecs_by_file", {})
+def worker_codec(model_file: str, scores: np.ndarray | None = None) -> Codec:
+    """The codec of this worker process, with these scores."""
+    held = worker_state().setdefault("codecs", {})
     if model_file not in held:
         held[model_file] = Codec(model_file)
     codec = held[model_file]
@@ -290,22 +348,34 @@ def fit_scores(docs: DataFrame, model_file: str, text_col: str = "text", rounds:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(model_file)
-        seen: Counter = Counter()
+        table, names, seen = None, [], np.zeros(0, np.int64)
+
+        def name(stretches: list[bytes], head: list[bool]) -> list[bytes]:
+            names.extend(codec.stretch_parts(stretches, head))
+            return [b""] * len(stretches)
 
         def told() -> Iterator[pa.RecordBatch]:
-            parts, n = list(seen), list(seen.values())
+            total: Counter = Counter()
+            for parts, n in zip(names, seen.tolist()):
+                for part in parts:
+                    total[part] += n
+            parts, n = list(total), list(total.values())
             for at in range(0, len(parts), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(parts[at : at + 10_000], pa.string()), pa.array(n[at : at + 10_000], pa.int64())], names=["part", "n"])
-            seen.clear()
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                seen.update(codec.parts(batch.column(0)[i].as_py() or ""))
-                if len(seen) > COUNTED:
+            for _, data, offsets in text_groups(batch, 0):
+                table = table or StretchTable(name, COUNTED)
+                found = np.bincount(table.entries(data, *cut_at_spaces(data, offsets)), minlength=table.count)
+                found[: len(seen)] += seen
+                seen = found
+                if table.count > COUNTED // 2:  # handed on, and counted anew
                     yield from told()
+                    table, seen = None, np.zeros(0, np.int64)
+                    names.clear()
         yield from told()
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "part string, n long")
+    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, "part string, n long")
     parts = written(counted.groupBy("part").agg(F.sum("n").alias("n")), "piece-parts")
     codec = worker_codec(model_file)
     scores = codec.by_rank
@@ -341,18 +411,25 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_
     """
     told = docs.sparkSession.sparkContext.broadcast(fit_scores(docs, model_file, text_col) if scores is None else scores)
     kinds = {"n_tokens": "long", "n_bytes": "long", "ids_crc32": "long", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in kinds]
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(model_file, told.value)
-
-        def encode(texts: list[str | None]) -> list[pa.Array]:
-            found = codec.encode([t or "" for t in texts])
-            rows = [(len(ids), int(codec.is_byte[ids].sum()), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), hashlib.sha256(codec.decode(ids)).hexdigest()) for ids in found]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found))))
-            return columns
-
-        return encode
-
-    return mapped(docs, text_col, kinds, make, keep)
+        for batch in batches:
+            for part, data, offsets in text_groups(batch, len(kept)):
+                flat, sizes = codec.encode_bytes(data, offsets)
+                ends = np.cumsum(sizes)
+                fallback = np.concatenate([[0], np.cumsum(codec.is_byte[flat])])
+                each = np.split(flat, ends[:-1])
+                columns = [
+                    pa.array(sizes, pa.int64()),
+                    pa.array(fallback[ends] - fallback[ends - sizes], pa.int64()),
+                    pa.array([zlib.crc32(ids.astype("<u4", copy=False).tobytes()) for ids in each], pa.int64()),
+                    pa.array([hashlib.sha256(codec.decode(ids)).hexdigest() for ids in each], pa.string()),
+                ]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=[*kept, *kinds])
+
+    rows = docs.select(*(f"`{c}`" for c in kept), F.coalesce(F.col(text_col), F.lit("")).alias("_source"))
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {k}" for c, k in kinds.items()]))

@@ -103,15 +103,37 @@ def encoder():
     return Encoder(BPE)
 
 
-def test_encoder_is_the_library(encoder, monkeypatch):
-    from leadwright.llm import token_output
-
-    r = random.Random(6)
-    chars = [chr(i) for i in range(1, 0x250)] + list(" \n\t  'sdtlmé") * 20 + [chr(r.randrange(0x250, 0x3100)) for _ in range(80)] + ["\u2003", "\x85", "\xa0", "😀"]
-    texts = ["", "<|endoftext|>", "a<|endoftext|> b", "  x  ", "\n\n a \n b"] + ["".join(r.choice(chars) for _ in range(r.randrange(40))) for _ in range(1500)]
-    monkeypatch.setattr(token_output, "REMEMBERED", 500)
-    got = [np.frombuffer(x, np.int32).tolist() for at in range(0, len(texts), 100) for x in encoder.encode(texts[at : at + 100])]
+def ids_of(encoder, texts):
+    data = [t.encode() for t in texts]
+    flat, sizes = encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+
+@pytest.mark.parametrize("room", [1 << 20, 64])
+def test_encoder_is_the_library(monkeypatch, room):
+    """room 64: most stretches are forgotten again; small parts, so that long texts are cut."""
+    from leadwright.llm import stretches
+
+    monkeypatch.setattr(stretches, "AT_ONCE", 256)
+    encoder, r = Encoder(BPE, room), random.Random(6)
+    chars = [chr(i) for i in range(1, 0x250)] + list(" \n\t  'sdtlmé") * 20 + [chr(r.randrange(0x250, 0x3100)) for _ in range(80)] + ["\u2003", "\x85", "\xa0", "😀"] * 5
+    texts = ["", "<|endoftext|>", "a<|endoftext|> b", "  x  ", "\n\n a \n b", " ", "\n ", "\n  b", "a \xa0 b", "é é", "x" * 3000, " y" * 2000, ""]
+    texts += ["".join(r.choice(chars) for _ in range(r.randrange(40))) for _ in range(1500)] + ["".join(r.choice("ab \n\u3000\x85.") for _ in range(r.randrange(12))) for _ in range(800)]
+    got = [x for at in range(0, len(texts), 100) for x in ids_of(encoder, texts[at : at + 100])]
     assert got == [encoder.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.table.count <= max(room, 1)
+
+
+def test_stretches_with_one_hash_keep_apart(monkeypatch):
+    """The first hash tells nothing; the second one decides."""
+    from leadwright.llm.stretches import StretchTable
+
+    table = StretchTable(lambda new, head: [np.array([sum(x), len(x)], np.int32).tobytes() for x in new])
+    real = table.hashes
+    monkeypatch.setattr(table, "hashes", lambda data, start, which: real(data, start, which) if which else np.full(len(start), 5, np.uint64))
+    data = np.frombuffer(b"aabcabcaab", np.uint8)
+    for _ in range(2):
+        assert table.ids(table.entries(data, np.array([0, 2, 4, 7]), np.zeros(4, bool)))[0].tolist() == [194, 2, 197, 2, 294, 3, 292, 3]
 
 
 def test_token_files(spark, encoder, tmp_path):
@@ -137,6 +159,21 @@ def test_token_files(spark, encoder, tmp_path):
             assert all(meta.row_group(0).column(c).has_column_index for c in range(2))
 
 
+def test_order_over_partitions(spark):
+    from leadwright.llm.token_output import ordered
+
+    r = random.Random(2)
+    values = [r.choice([r.randrange(-50, 50), r.randrange(10**12)]) for _ in range(400)] + [7] * 200 + [None] * 3
+    df = spark.createDataFrame([(v,) for v in values], "doc_id long")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        parts = ordered(df, "doc_id").rdd.glom().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = [row.doc_id for part in parts for row in part]
+    assert got == sorted(values, key=lambda v: (v is None, v)) and sum(bool(p) for p in parts) > 5
+
+
 # Pieces
 
 
@@ -177,9 +214,11 @@ def best_brute(codec, word):
 
 def test_viterbi_is_optimal(codec):
     r = random.Random(3)
-    words = [MARK + "".join(r.choice("thereandinogs") for _ in range(r.randrange(1, 12))) for _ in range(150)] + ["▁▁▁", "日本語x", "é\ud7a3☃a"]
+    words = [MARK + "".join(r.choice("thereandinogs") for _ in range(r.randrange(1, 12))) for _ in range(150)] + ["▁▁▁", "日本語x", "é\ud7a3☃a", MARK + "water" * 40]
+    together = codec.best_of(words)
     for word in words:
         ids, score, run = codec.best(word), 0.0, b""
+        assert tuple(np.frombuffer(together[word], np.int32)) == ids
         for i in ids:
             if i in codec.bytes_of:
                 run += bytes([codec.bytes_of[i]])
@@ -193,16 +232,19 @@ def test_viterbi_is_optimal(codec):
         assert score == pytest.approx(best_brute(codec, word)) and b"".join(codec.plain[i] for i in ids).decode().replace(" ", MARK) == word
 
 
-def test_round_trip(codec, monkeypatch):
+def test_round_trip(monkeypatch):
     from leadwright.llm import sentencepiece_codec
 
     r = random.Random(4)
     chars = list("abc  ▁▁\n\t é😀\x00x") + [chr(r.randrange(1, 0x3000)) for _ in range(60)]
     texts = ["", " ", "▁", "▁▁ ▁", "a▁b", "x▁"] + ["".join(r.choice(chars) for _ in range(r.randrange(30))) for _ in range(800)]
-    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 100)
+    monkeypatch.setattr(sentencepiece_codec, "LATTICE", 300)
+    codec = Codec(PIECES, room=64)
     for at in range(0, len(texts), 50):
         part = texts[at : at + 50]
-        assert [codec.decode(x) for x in codec.encode(part)] == [t.encode() for t in part]
+        ids = codec.encode(part)
+        assert [codec.decode(x) for x in ids] == [t.encode() for t in part]
+        assert [x.tolist() for x in ids] == [[i for p in (codec.parts(t) if t else []) for i in np.frombuffer(codec.best_of([p])[p], np.int32).tolist()] for t in part]
 
 
 def test_encode_frame(spark):
