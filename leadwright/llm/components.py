@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v")).distinct())
+
+
+def smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches over pairs (i, j), inside one task."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadwright.llm.common import WORD, written
+from leadwright.llm.common import SPACE, WORD, written
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -16,7 +16,7 @@ BLOCK = 256
 #: Slots of an output shard on average.
 SHARD = 4096
 #: Documents of a source that are numbered together on average.
-BUCKET = 20_000
+BUCKET = 4_000
 #: Output shards whose slots a task makes, and the most tasks that they are dealt to.
 TASK_SHARDS, MOST_TASKS = 16, 20_000
 #: Rounds of the permutation.
@@ -61,66 +61,116 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
     return first.select("source_key", "source_size", "n_docs", F.least("cap", F.col("share") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = 7) -> DataFrame:
-    """One row for each row of docs: id, size, source, source_size, target and taken.
+class Mixture:
+    """A mix of the sources of docs: fixed-length blocks of words, dealt to output shards.
 
-    size is the number of words, taken the words that the mix takes, repeats counted. A source's documents lie end to
-    end in a pseudorandom order and are cut into blocks of `block` words. The target asks for a number of slots; how many
-    of them each output shard gets is a multinomial draw (every slot picks a shard by hash, so that a source's slots add
-    up to its target); the slots are numbered through the shards, and slot g takes block permutation(g mod blocks). Full
-    passes come first, the last slot is cut to the words still asked for, so a source's words meet its target to a word,
-    and no word is taken more than `most` times. Draws and permutations are hashes of the seed: reruns agree.
+    A source's documents lie end to end in a pseudorandom order and are cut into blocks of `block` words. The target asks
+    for a number of slots; how many of them each output shard gets is a multinomial draw (every slot picks a shard by
+    hash, so that a source's slots add up to its target); the slots are numbered through the shards, and slot g takes
+    block permutation(g mod blocks). Full passes come first, the last slot is cut to the words still asked for, so a
+    source's words meet its target to a word, and no word is taken more than `most` times. In a shard the slots of all
+    sources stand in a pseudorandom order. Draws, permutations and orders are hashes of the seed: reruns agree.
 
-    Sources rank by code point with null last; null texts have size 0; documents of size 0 are taken 0 times; a source of
-    size 0 has target 0; repeated rows are placed each on their own; an empty table gives an empty one.
+    placed: a row for each row of docs, with its size, source and target, and where it starts in its source. blocks: the
+    blend, a row (shard, place, source_key, slot, block, words) for each slot; words is how many it takes of its block.
+    Both are written tables.
+
+    Sources rank by code point with null last; null texts have size 0; documents of size 0 are in no block; a source of
+    size 0 has target 0; repeated rows are placed each on their own; an empty table has no blocks.
     """
-    key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("source_key"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    sources = written(source_targets(sizes, weights, most), "mix-sources")
-
-    # Where each document starts in its source: buckets by hash are numbered apart, then their sums are added up.
-    bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET))
-    placed = sizes.join(sources, "source_key").withColumn("bucket", bucket)
-    within = Window.partitionBy("source_key", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("source_key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start"))
-    placed = placed.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_key", "bucket"])
-    placed = placed.withColumn("start", F.col("bucket_start") + F.col("in_bucket")).drop("bucket", "in_bucket", "bucket_start", "n_docs")
-
-    # What each source is asked for, and how its slots fall to the output shards.
-    filled = F.greatest("source_size", F.lit(1))  # sources without words are left out, but may be computed before they are
-    asked = sources.where("source_size > 0").select("source_key", filled.alias("source_size"), F.floor("target").alias("asked"), F.ceil(filled / block).alias("blocks"))
-    asked = asked.withColumn("short", F.col("blocks") * block - F.col("source_size")).withColumn("passes", F.expr("asked div source_size"))
-    asked = asked.withColumn("rest", F.col("asked") - F.col("passes") * F.col("source_size"))
-    last_at = permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("source_key", F.lit(seed)), inverse=True)  # the slot that takes the short block
-    asked = asked.withColumn("last_at", last_at)
-    slots_rest = F.ceil(F.col("rest") / block)
-    slots_rest = slots_rest + F.when((F.col("last_at") < slots_rest) & (slots_rest * block - F.col("short") < F.col("rest")), 1).otherwise(0)
-    asked = asked.withColumn("slots", F.col("passes") * F.col("blocks") + slots_rest)
-    total = asked.agg(F.sum("slots")).first()[0] or 0
-    shards = max(1, total // shard)
-    tasks = min(MOST_TASKS, -(-shards // TASK_SHARDS))  # a row stands for thousands of slots, so its bytes do not tell the work
-    runs = asked.where("slots > 0").select("source_key", "slots", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {shard}"))).alias("run")).repartition(tasks, "source_key", "run")
-    ids = runs.select("source_key", F.explode(F.sequence(F.col("run") * shard, F.least(F.col("slots"), (F.col("run") + 1) * shard) - 1)).alias("i"))
-    drawn = ids.groupBy("source_key", F.pmod(F.xxhash64("source_key", "i", F.lit(seed)), F.lit(shards)).alias("shard")).agg(F.count("*").alias("draws"))
-    upto = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("draws").over(upto), F.lit(0))).repartition(tasks, "source_key", "shard")
-
-    # Slots to blocks, and blocks to documents, both by index.
-    slots = drawn.join(asked, "source_key").select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("slot"))
-    slots = slots.withColumn("turn", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
-    cut = F.col("rest") - (F.col("at") * block - F.when(F.col("last_at") < F.col("at"), F.col("short")).otherwise(0))
-    full = F.lit(block) - F.when(F.col("at") == F.col("last_at"), F.col("short")).otherwise(0)
-    words = F.when(F.col("turn") < F.col("passes"), full).otherwise(F.greatest(F.lit(0), F.least(full, cut)))
-    slots = slots.select("source_key", permuted(F.col("at"), F.col("blocks"), F.xxhash64("source_key", F.lit(seed))).alias("block"), words.alias("words"))
-    uses = slots.groupBy("source_key", "block").agg(F.collect_list("words").alias("uses"))  # at most `most` + 1 of them
-
-    pieces = placed.where("size > 0").select("*", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    lo = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
-    hi = F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block)
-    overlap = F.aggregate("uses", F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.lit(0), F.least(w.cast("long"), hi) - lo))
-    took = pieces.join(uses, ["source_key", "block"]).groupBy("source_key", "start").agg(F.sum(overlap).alias("taken"))
-    some = placed.where("size > 0").join(took, ["source_key", "start"], "left")
-    told = some.unionByName(placed.where("size = 0"), allowMissingColumns=True)
-    return told.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).alias("taken"))
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = 7):
+        self.docs, self.id_col, self.text_col, self.source_col, self.block = docs, id_col, text_col, source_col, block
+        rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), self.source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"))
+        sizes = written(rows, "mix-sizes")
+        sources = written(source_targets(sizes, weights, most), "mix-sources")
+        self.placed = written(self._placed(sizes, sources, seed), "mix-places")
+        self.blocks = written(self._dealt(self._asked(sources, seed), shard, seed), "mix-blocks")
+
+    @staticmethod
+    def source_key(source: Column) -> Column:
+        return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+    def _placed(self, sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+        """Where each document starts in its source: buckets by hash are numbered apart, then their sums are added up."""
+        bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n_docs") / BUCKET))
+        rows = sizes.join(sources, "source_key").withColumn("bucket", bucket)
+        within = Window.partitionBy("source_key", "bucket").orderBy("id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
+        before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.select("source_key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start"))
+        rows = rows.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_key", "bucket"])
+        return rows.withColumn("start", F.col("bucket_start") + F.col("in_bucket")).drop("bucket", "in_bucket", "bucket_start", "n_docs")
+
+    def _asked(self, sources: DataFrame, seed: int) -> DataFrame:
+        """What each source is asked for: passes over all its blocks, and slots that take the rest."""
+        filled = F.greatest("source_size", F.lit(1))  # sources without words are left out, but may be computed before they are
+        asked = sources.where("source_size > 0").select("source_key", filled.alias("source_size"), F.floor("target").alias("asked"), F.ceil(filled / self.block).alias("blocks"))
+        asked = asked.withColumn("short", F.col("blocks") * self.block - F.col("source_size")).withColumn("passes", F.expr("asked div source_size"))
+        asked = asked.withColumn("rest", F.col("asked") - F.col("passes") * F.col("source_size")).withColumn("key", F.xxhash64("source_key", F.lit(seed)))
+        asked = asked.withColumn("last_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("key"), inverse=True))  # the slot that takes the short block
+        slots_rest = F.ceil(F.col("rest") / self.block)
+        slots_rest = slots_rest + F.when((F.col("last_at") < slots_rest) & (slots_rest * self.block - F.col("short") < F.col("rest")), 1).otherwise(0)
+        return asked.withColumn("slots", F.col("passes") * F.col("blocks") + slots_rest)
+
+    def _dealt(self, asked: DataFrame, shard: int, seed: int) -> DataFrame:
+        """The slots of all sources, dealt to shards and mapped to blocks."""
+        total = asked.agg(F.sum("slots")).first()[0] or 0
+        shards = max(1, total // shard)
+        tasks = min(MOST_TASKS, -(-shards // TASK_SHARDS))  # a row stands for thousands of slots, so its bytes do not tell the work
+        runs = asked.where("slots > 0").select("source_key", "slots", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {shard}"))).alias("run")).repartition(tasks, "source_key", "run")
+        tickets = runs.select("source_key", F.explode(F.sequence(F.col("run") * shard, F.least(F.col("slots"), (F.col("run") + 1) * shard) - 1)).alias("i"))
+        drawn = tickets.groupBy("source_key", F.pmod(F.xxhash64("source_key", "i", F.lit(seed)), F.lit(shards)).alias("shard")).agg(F.count("*").alias("draws"))
+        upto = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        drawn = drawn.withColumn("first", F.coalesce(F.sum("draws").over(upto), F.lit(0))).repartition(tasks, "source_key", "shard")
+
+        slots = drawn.join(asked, "source_key").select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("slot"))
+        slots = slots.withColumn("turn", F.expr("slot div blocks")).withColumn("at", F.expr("slot % blocks"))
+        cut = F.col("rest") - (F.col("at") * self.block - F.when(F.col("last_at") < F.col("at"), F.col("short")).otherwise(0))
+        full = F.lit(self.block) - F.when(F.col("at") == F.col("last_at"), F.col("short")).otherwise(0)
+        words = F.when(F.col("turn") < F.col("passes"), full).otherwise(F.greatest(F.lit(0), F.least(full, cut)))
+        taken = slots.select("shard", "source_key", "slot", permuted(F.col("at"), F.col("blocks"), F.col("key")).alias("block"), words.cast("long").alias("words")).where("words > 0")
+        order = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "source_key", "slot", F.lit(seed)), "source_key", "slot")  # about `shard` rows
+        return taken.repartition(tasks, "shard").select("shard", (F.row_number().over(order) - 1).alias("place"), "source_key", "slot", "block", "words")
+
+    def ranges(self) -> DataFrame:
+        """Rows (shard, place, source_key, start, from, n): the blocks joined by index to the documents' words. n words of the document at `start`, from word `from` on, stand in the block at this place."""
+        block = self.block
+        pieces = self.placed.where("size > 0").select("source_key", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
+        lo = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
+        hi = F.least(F.col("words"), F.col("start") + F.col("size") - F.col("block") * block)
+        return pieces.join(self.blocks, ["source_key", "block"]).select("shard", "place", "source_key", "start", (F.col("block") * block + lo - F.col("start")).alias("from"), (hi - lo).alias("n")).where("n > 0")
+
+    def taken(self) -> DataFrame:
+        """One row for each row of docs: id, size, source, source_size, target and taken, the words of it in all blocks."""
+        took = self.ranges().groupBy("source_key", "start").agg(F.sum("n").alias("taken"))
+        some = self.placed.where("size > 0").join(took, ["source_key", "start"], "left")
+        told = some.unionByName(self.placed.where("size = 0"), allowMissingColumns=True)
+        return told.select(
+            F.col("id").alias(self.id_col), "size", F.col("source").alias(self.source_col), "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        )
+
+    def texts(self) -> DataFrame:
+        """The columns of docs with shard, place and from: a row for each stretch of a document in a block, its text cut to that stretch; by shard and place.
+
+        White space stays with the word after it, and at the end with the last. Rows that are alike in id, source and text
+        count as one document with the blocks of all. Columns named shard, place and from are replaced.
+        """
+        rows = self.docs.drop("shard", "place", "from").withColumns({"_text_key": F.xxhash64(self.text_col), "_source_key": self.source_key(F.col(self.source_col))})
+        places = self.placed.where("size > 0").select("source_key", "start", F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("source_key").alias("_source"), "size")
+        uses = self.ranges().join(places, ["source_key", "start"]).groupBy("_id", "_key", "_source").agg(F.max("size").alias("_size"), F.collect_list(F.struct("shard", "place", "from", "n")).alias("_uses"))
+        same = F.col(self.id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & (F.col("_source_key") == F.col("_source"))
+        once = rows.dropDuplicates([self.id_col, "_text_key", "_source_key"]).join(uses, same)
+        words = F.regexp_extract_all(F.col(self.text_col), F.lit(rf"(?:{SPACE})?{WORD}(?:{SPACE}\z)?"), F.lit(0))
+        whole = (F.size("_uses") == 0) | F.forall("_uses", lambda u: u["n"] == F.col("_size"))
+        # The words are made once a document: as the one element of an array that the stretches are cut from.
+        cut = F.transform(F.array(F.when(~whole, words)), lambda w: F.transform("_uses", lambda u: F.struct(u["shard"].alias("shard"), u["place"].alias("place"), u["from"].alias("from"), F.array_join(F.slice(w, (u["from"] + 1).cast("int"), u["n"].cast("int")), "").alias("text"))))
+        parts = once.withColumn("_part", F.explode(F.element_at(cut, 1)))
+        text = F.when(F.col("_part.text").isNull(), F.col(self.text_col)).otherwise(F.col("_part.text"))
+        told = parts.withColumn(self.text_col, text).select(*(f"`{c}`" for c in self.docs.drop("shard", "place", "from").columns), "_part.shard", "_part.place", "_part.from")
+        return told.repartition("shard").sortWithinPartitions("shard", "place", "from")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row for each row of docs: id, size (number of words), source, source_size, target and taken (the words that the Mixture takes, repeats counted)."""
+    return Mixture(docs, **options).taken()

@@ -47,14 +47,18 @@ class BlockedBloom:
         place = F.shiftrightunsigned(F.xxhash64(key, F.lit(1)), 6 * i).bitwiseAND(F.lit(63)).cast("int")
         return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
-    def possible(self, rows: DataFrame, key: str) -> DataFrame:
-        """The rows whose key may be in the filter."""
+    def marked(self, rows: DataFrame, key: str, mark: str) -> DataFrame:
+        """The rows with a boolean column: whether their key may be in the filter."""
         hit = F.lit(True)
         for i in range(WORDS):
-            hit = hit & (F.col(f"bloom.w{i}").bitwiseAND(self._bit(F.col(f"probe.{key}"), i)) != 0)
-        probe = rows.withColumn("bloom_block", self._block(F.col(key))).alias("probe")
-        found = probe.join(self.blocks.alias("bloom"), F.col("probe.bloom_block") == F.col("bloom.block")).where(hit)
-        return found.select(*(F.col(f"probe.`{c}`") for c in rows.columns))
+            hit = hit & (F.col(f"bloom.w{i}").bitwiseAND(self._bit(F.col(f"probe.`{key}`"), i)) != 0)
+        probe = rows.withColumn("bloom_block", self._block(F.col(f"`{key}`"))).alias("probe")
+        found = probe.join(self.blocks.alias("bloom"), F.col("probe.bloom_block") == F.col("bloom.block"), "left")
+        return found.select(*(F.col(f"probe.`{c}`") for c in rows.columns if c != mark), F.coalesce(hit, F.lit(False)).alias(mark))
+
+    def possible(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows whose key may be in the filter."""
+        return self.marked(rows, key, "_possible").where("_possible").drop("_possible")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", n_blocks: int = 4096) -> DataFrame:
@@ -75,7 +79,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     shape = rules.agg(F.max(F.size(F.split("rule_host", r"\."))), F.sort_array(F.collect_set(F.length("rule_path")))).first()
     labels, lengths = shape[0] or 1, shape[1] or [0]  # as many numbers as a rule's path can have lengths
 
-    parts = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    parts = pages.select(F.struct(*(f"`{c}`" for c in kept)).alias("row"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     distinct = parts.select("host", "path").distinct().where("host <> ''")
     names = F.split("host", r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(names), F.lit(labels))), lambda n: F.array_join(F.slice(names, -n, n), ".")))
@@ -87,10 +92,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     exact = possible.join(rules, (F.col("host_part") == F.col("rule_host")) & (F.col("path_part") == F.col("rule_path")))
     rank = F.struct(F.length("rule_key"), F.length("rule_host"), F.col("rule_verdict") == "block")
     judged = exact.groupBy("host", "path").agg(F.max_by(F.struct("rule_key", "rule_verdict"), rank).alias("best"))
-    judged = judged.select(F.col("host").alias("judged_host"), F.col("path").alias("judged_path"), "best")
-    told = parts.join(judged, (F.col("host") == F.col("judged_host")) & (F.col("path") == F.col("judged_path")), "left")
-    told = told.withColumns({"rule": F.col("best.rule_key"), "verdict": F.coalesce("best.rule_verdict", F.lit(default))})
-    return told.drop("judged_host", "judged_path", "best")
+    told = parts.join(judged, ["host", "path"], "left")
+    return told.select(*(F.col("row").getField(c).alias(c) for c in kept), "host", "path", F.col("best.rule_key").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the registered query: (host, path, verdict).

@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from leadwright.llm import embedding_dedup
 from leadwright.llm.embedding_dedup import embedding_groups
-from leadwright.llm.mixing import mix, permuted, source_targets
+from leadwright.llm.mixing import Mixture, mix, permuted, source_targets
 from leadwright.llm.url_filter import BlockedBloom, filter_urls, rule_table
 
 
@@ -65,6 +66,9 @@ def test_url_filter(spark):
         10: ("", "", None, "allow"), 11: ("", "", None, "allow"), 12: ("com", "/en/", "com/en/", "block"), 13: ("notcom", "/en/", None, "allow"), 14: ("com:80", "/en/", None, "allow"), 15: ("com", "", None, "allow"),
         16: ("b:", "//com/en/", None, "allow"), 17: ("x.com", "/EN/", None, "allow"),
     }
+    clash = filter_urls(pages.selectExpr("*", "1 as best", "2 as judged_host", "3 as row", "4 as key", "5 as `a.b`"), rule_table(spark))
+    assert clash.columns == ["page_id", "url", "best", "judged_host", "row", "key", "a.b", "host", "path", "rule", "verdict"]
+    assert {r.page_id: (r.rule, r.verdict, r.best, r.judged_host, r.row, r.key, r["a.b"]) for r in clash.collect()} == {k: (*v[2:], 1, 2, 3, 4, 5) for k, v in got.items()}
     assert filter_urls(pages.limit(0), rule_table(spark)).count() == 0
     assert filter_urls(pages.union(pages), rule_table(spark)).count() == 2 * len(urls)
     assert {r.verdict for r in filter_urls(pages, rule_table(spark).limit(0), default="block").collect()} == {"block"}
@@ -117,10 +121,83 @@ def test_targets_and_mix(spark):
     assert sorted(map(str, got)) == sorted(map(str, mix(df.repartition(7)).collect()))
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints and strings."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def walked(rows, block, shard, seed):
+    """The blend by hand: {(shard, source, block, words)} with repeats, and each document's words by shard."""
+    from leadwright.llm import mixing
+
+    key = lambda source: "1" if source is None else "0" + source
+    by = {}
+    for doc, text, source in rows:
+        by.setdefault(key(source), []).append((doc, (text or "").split()))
+    sizes = {k: sum(len(w) for _, w in docs) for k, docs in by.items()}
+    want = targets_brute({(None if k == "1" else k[1:]): n for k, n in sizes.items()})
+    slots, lines = {}, {}
+    for k, docs in by.items():
+        n_buckets = -(-len(docs) // mixing.BUCKET)
+        docs = sorted(docs, key=lambda d: (spark_hash((d[0], 8), (seed, 4)) % n_buckets, d[0]))
+        line = [(doc, i) for doc, words in docs for i in range(len(words))]
+        blocks = [line[i : i + block] for i in range(0, len(line), block)]
+        order = []
+        for at in range(len(blocks)):
+            x = at
+            for r in range(1, mixing.ROUNDS + 1):
+                seed_key = spark_hash(k, (seed, 4))
+                other = (spark_hash((seed_key, 8), (r, 4)) % len(blocks) - x) % len(blocks)
+                if spark_hash((seed_key, 8), (r, 4), (max(x, other), 8)) & 1:
+                    x = other
+            order.append(x)
+        left, out = int(want[None if k == "1" else k[1:]] + 1e-9), []
+        while left > 0:
+            b = order[len(out) % len(blocks)]
+            out.append((b, min(left, len(blocks[b]))))
+            left -= out[-1][1]
+        slots[k], lines[k] = out, blocks
+    shards = max(1, sum(map(len, slots.values())) // shard)
+    blend, words = [], []
+    for k, out in slots.items():
+        drawn = sorted(spark_hash(k, (i, 8), (seed, 4)) % shards for i in range(len(out)))  # slots are numbered through the shards
+        for s, (b, n) in zip(drawn, out):
+            blend.append((s, k, b, n))
+            words += [(s, *w) for w in lines[k][b][:n]]
+    return sorted(blend), sorted(words)
+
+
+@pytest.mark.parametrize(("block", "shard", "seed"), [(8, 10, 7), (64, 4096, 3), (5, 3, 1)])
+def test_blocks_walked_by_hand(spark, monkeypatch, block, shard, seed):
+    """The draw, the permutation and the join by index; a text stays what it was, and each stretch is the words of its block."""
+    monkeypatch.setattr("leadwright.llm.mixing.BUCKET", 20)
+    r = random.Random(seed)
+    rows = [(i, "  ".join(f"d{i}w{k}" for k in range(r.randrange(0, 90))) or None, r.choice(["a", "a", "a", "b", "ü", None])) for i in range(70)]
+    made = Mixture(spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, source string, place string"), block=block, shard=shard, seed=seed)
+    blend, words = walked(rows, block, shard, seed)
+    got = made.blocks.collect()
+    assert sorted((x.shard, x.source_key, x.block, x.words) for x in got) == blend
+    places = {}
+    for x in got:
+        places.setdefault(x.shard, []).append(x.place)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert sorted((x.shard, x.doc_id, int(w.partition("w")[2])) for x in made.texts().collect() for w in x.text.split()) == words
+    whole = {i: t for i, t, _ in rows}
+    assert all(x.text == whole[x.doc_id] or x.text in whole[x.doc_id] and len(x.text.split()) < len(whole[x.doc_id].split()) for x in made.texts().collect())
+    assert {x.doc_id: x.taken for x in made.taken().collect()} == {i: sum(w[1] == i for w in words) for i, _, _ in rows}
+
+
 def test_mix_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert {(r["size"], r.target, r.taken) for r in mix(blank).collect()} == {(0, 0.0, 0)}
+    assert Mixture(blank).texts().count() == Mixture(empty).texts().count() == 0
+    twice = spark.createDataFrame([(1, "a b c ", "s"), (1, "a b c ", "s"), (1, "a", "s"), (None, " d e", None)], "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in Mixture(twice, weights=(1,)).texts().collect()]  # 4 words of each source
+    assert [t for i, t in got if i is None] == [" d e", " d e"] and sum(len(t.split()) for i, t in got if i == 1) == 4
     sizes = spark.createDataFrame([("0a", 10), ("0b", 1000), ("0c", 5)], "source_key string, size long")
     assert {r.source_key: round(r.target, 6) for r in source_targets(sizes).collect()} == {"0a": 30.0, "0b": 970.0, "0c": 15.0}
