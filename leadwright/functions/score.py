@@ -66,7 +66,3 @@ def link_limit(limits: Mapping[str, int], depth: Column) -> Column:
         if key != "default":
             out = F.when(depth.cast("string") == key, value).otherwise(out)
     return out
-
-
-def day_start(now: Column) -> Column:
-    return F.date_trunc("day", now)

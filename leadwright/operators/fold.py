@@ -94,6 +94,13 @@ def merge_duplicates(leads: DataFrame, occurrences: DataFrame, campaign_emails:
     return kept, occ, mail
 
 
+def with_manual_states(leads: DataFrame, snaps: DataFrame) -> DataFrame:
+    """Manual leads without a typed state take that of their snapshot."""
+    s = snaps.select(F.col("id").alias("snapshot_id"), F.nullif("state", F.lit("")).alias("_state"))
+    manual = F.col("channel_tag").eqNullSafe("manual") & F.col("manual_state").isNull()
+    return leads.join(s, "snapshot_id", "left").withColumn("manual_state", F.when(manual, F.col("_state")).otherwise(F.col("manual_state"))).drop("_state")
+
+
 def backfill_occurrences(leads: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Occurrences of leads that have none for their job."""
     return leads.select(F.col("id").alias("lead_id"), "job_id").join(occurrences.select("lead_id", "job_id"), ["lead_id", "job_id"], "left_anti")

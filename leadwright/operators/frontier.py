@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from leadwright.functions.score import link_limit
 from leadwright.functions.text import is_plain_int
-from leadwright.functions.url import in_scope, is_priority, is_skippable, query_value, url_key, url_priority
+from leadwright.functions.url import in_scope, is_priority, is_skippable, needs_js, query_value, url_key, url_priority
 from leadwright.policy import Policy
+from leadwright.sources.shared import shared_folder
 
 
 def is_paging_link(policy: Policy, url: str = "url", text: str = "text", rel: str = "rel") -> Column:
@@ -81,11 +82,7 @@ def crawl_levels(seeds: DataFrame, links: DataFrame, policy: Policy) -> DataFram
     seeds: (url_key); links: (from_key, to_key). One job a depth over the pages new at it; each step is checkpointed, and
     it ends at the policy's depth (0: none) or when nothing new is found.
     """
-    spark = seeds.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="frontier-"))
+    shared_folder(seeds.sparkSession)
     new = seeds.select("url_key").distinct().withColumn("depth", F.lit(0)).checkpoint()
     seen, depth = new, 0
     while (not policy.max_depth or depth < policy.max_depth) and not new.isEmpty():
@@ -117,5 +114,23 @@ def checkpoint_tables(frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frontier.drop("budget"), chains
 
 
+def visited_before(recent: DataFrame, saved: DataFrame) -> DataFrame:
+    """(url_key): the pages visited recently and those of a saved checkpoint, each once."""
+    return recent.select("url_key").union(saved.select("url_key")).distinct()
+
+
+def fetch_decision(attempts: DataFrame, policy: Policy) -> DataFrame:
+    """What a page's attempts (page_id, seq, error, status, final_url, html) come to: (page_id, decision, tries).
+
+    A transport error is tried once more; the answer of the first attempt without one decides: render where a good page
+    asks for JavaScript, accept where it is good, else reject; failed where both attempts had an error.
+    """
+    answered = F.col("error").isNull()
+    first = attempts.where("seq < 2").groupBy("page_id").agg(F.min_by(F.struct("status", "final_url", "html", (F.col("seq") + 1).alias("tries")), F.when(answered, F.col("seq"))).alias("a"), F.count("*").alias("n"))
+    good = (F.col("a.status") == 200) & in_scope(F.col("a.final_url"), policy.target_suffixes)
+    decision = F.when(F.col("a").isNull(), "failed").when(~F.coalesce(good, F.lit(False)), "reject").when(needs_js(F.col("a.html"), policy.js_indicators), "render").otherwise("accept")
+    return first.select("page_id", decision.alias("decision"), F.coalesce("a.tries", F.col("n")).cast("int").alias("tries"))
+
+
 def rehydrated(items: DataFrame, chains: DataFrame) -> DataFrame:
     return items.join(chains, "chain_key", "left")

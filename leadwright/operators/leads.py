@@ -198,5 +198,8 @@ def upsert_manual(leads: DataFrame, rows: DataFrame, job_id: int) -> DataFrame:
     )
 
 
-def arrival_order(seq: str = "seq"):
-    return Window.partitionBy("email").orderBy(seq)
+def occurrences_of_upload(leads: DataFrame, rows: DataFrame, occurrences: DataFrame, job_id: int) -> DataFrame:
+    """Occurrences (lead_id, job_id, source_url) of uploaded contacts whose address is in the pool, skipped ones included, where the job has none yet."""
+    known = rows.select(F.lower("email").alias("email")).distinct().join(leads.select("email", F.col("id").alias("lead_id")), "email")
+    new = known.select("lead_id", F.lit(job_id).cast("long").alias("job_id"), F.lit("manual-csv-upload").alias("source_url"))
+    return new.join(occurrences.select("lead_id", "job_id"), ["lead_id", "job_id"], "left_anti")

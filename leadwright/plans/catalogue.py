@@ -77,9 +77,33 @@ def page_pagination_flag(spark, d):
     return rows.select("page_id", "page_param", frontier.is_paging_link(policy).alias("paged"))
 
 
-@query(using(V.LINKS) + "select page_id, pos, href, text from links")
+_ABSOLUTE = "case when href like '/%' then regexp_extract(base, '^([^:/?#]+://[^/?#]*)', 1) || href else href end"
+
+
+@query(using(V.LINKS) + f"select page_id, pos, {_ABSOLUTE} as url, text from links")
 def page_links(spark, d):
-    return V.links(spark, d).select("page_id", "pos", "href", "text")
+    """The links of the pages by the page reader; the fixture's references are absolute or begin with a slash."""
+    return extract.page_links(V.table(spark, d, "pages"), Policy()).select("page_id", F.col("pos").cast("long").alias("pos"), "url", "text")
+
+
+_FULL = "row_number() over (partition by page_id order by pos)"
+
+
+@query(using(V.LINKS) + f""", resolved as (select page_id, pos, text, {_ABSOLUTE} as url, page_id % 4 as depth, page_id % 6 = 0 as is_seed, page_id % 2 = 0 as page_priority, page_id % 5 as page_hops, contains(href, 'e') as nxt from links),
+    hits as (select * from resolved where nxt or regexp_matches(text, '^[0-9]+$')), elected as (select page_id, arg_min(pos, (case when nxt then 0 else 1000000 end) + pos) as pos from hits group by 1),
+    firsts as (select *, row_number() over (partition by page_id, url order by pos) as n from resolved where not lower(url) like '%a'),
+    marked as (select f.*, f.pos = e.pos as paging from firsts f left join elected e using (page_id) where n = 1),
+    rest as (select *, {_FULL} as place from marked where not coalesce(paging, false) and (is_seed or page_priority or contains(lower(url || ' ' || text), 'th')))
+    select page_id, pos, url, 'paging' as kind, cast(depth as bigint) as depth, cast(page_hops + 1 as bigint) as page_hops from marked where paging and page_hops < 3
+    union all select page_id, pos, url, 'link', cast(depth + 1 as bigint), 0 from rest where place <= case depth when 0 then 5 when 1 then 4 when 2 then 3 else 2 end""")
+def link_admission(spark, d):
+    """Every rule of admission at once: files, the elected paging link and its hops, priority pages and links, the limit of the depth."""
+    policy = Policy(target_suffixes=(), skip_extensions=("a",), priority_keywords=("th",), paging_params=(), paging_texts=(), max_paging_hops=3, max_links={"0": 5, "1": 4, "2": 3, "default": 2})
+    url = F.when(F.col("href").startswith("/"), F.concat(U.root_url(F.col("base")), F.col("href"))).otherwise(F.col("href"))
+    rel = F.when(F.col("href").contains("e"), F.array(F.lit("next"))).otherwise(F.array().cast("array<string>"))
+    p = F.col("page_id")
+    rows = V.links(spark, d).select("page_id", "pos", url.alias("url"), "text", rel.alias("rel"), (p % 4).alias("depth"), (p % 5).alias("page_hops"), (p % 6 == 0).alias("is_seed"), (p % 2 == 0).alias("page_priority"))
+    return frontier.admitted_links(rows, policy).select("page_id", "pos", "url", "kind", F.col("depth").cast("long").alias("depth"), F.col("page_hops").cast("long").alias("page_hops"))
 
 
 @query(using(V.LINKS) + """, resolved as (select page_id, pos, text, case when href like '/%' then regexp_extract(base, '^([^:/?#]+://[^/?#]*)', 1) || href else href end as url, page_id % 4 as depth from links),
@@ -181,30 +205,33 @@ def text_emails(spark, d):
     return plain.withColumn("channel_tag", T.channel_of(F.col("email"), p.role_local_parts, p.valid_suffixes)[0])
 
 
-@query(rf"""with first as (select doc_id, text, regexp_extract(text, '{_EMAIL}') as email from documents), places as (select *, instr(text, email) - 1 as s from first where email <> '')
-    select doc_id, email, trim(regexp_replace(substr(text, greatest(s - 200, 0) + 1, s + length(email) + 200 - greatest(s - 200, 0)), '\s+', ' ', 'g')) as context_snippet from places""")
+@query(rf"""with recursive parts as (select doc_id, text, 0 as done, text as rest from documents union all
+    select doc_id, text, done + instr(rest, regexp_extract(rest, '{_EMAIL}')) - 1 + length(regexp_extract(rest, '{_EMAIL}')), substr(rest, instr(rest, regexp_extract(rest, '{_EMAIL}')) + length(regexp_extract(rest, '{_EMAIL}'))) from parts where regexp_extract(rest, '{_EMAIL}') <> ''),
+    places as (select doc_id, text, regexp_extract(rest, '{_EMAIL}') as email, done + instr(rest, regexp_extract(rest, '{_EMAIL}')) - 1 as s from parts where regexp_extract(rest, '{_EMAIL}') <> '')
+    select doc_id, cast(s as int) as start, email, trim(regexp_replace(substr(text, greatest(s - 200, 0) + 1, s + length(email) + 200 - greatest(s - 200, 0)), '\s+', ' ', 'g')) as context_snippet from places""")
 def text_email_context(spark, d):
+    """Every address of a text with what stands around it."""
     p = Policy()
-    rows = V.table(spark, d, "documents").select("doc_id", "text", F.regexp_extract("text", f"(?i){p.email}", 0).alias("email")).where("email <> ''")
-    start = F.instr("text", F.col("email")) - 1
-    return rows.select("doc_id", "email", T.words_joined(T.window_around(F.col("text"), start, start + F.length("email"), p.context_chars)).alias("context_snippet"))
+    rows = V.table(spark, d, "documents").select("doc_id", "text", F.posexplode(T.with_places(F.col("text"), p.email)).alias("n", "found"))
+    start, email = F.col("found.start"), F.col("found.match")
+    return rows.select("doc_id", start.alias("start"), email.alias("email"), T.words_joined(T.window_around(F.col("text"), start, start + F.length(email), p.context_chars)).alias("context_snippet"))
+
+
+_MARKED = "replace(replace(text, '@', ' [at] '), '.', '[dot]')"
+_BRACKETED = T.bracketed_pattern(Policy().obfuscation)
 
 
-@query(r"""with spans as (select doc_id, unnest(regexp_extract_all(replace(replace(text, '@', ' [at] '), '.', '[dot]'), '(?i)(?:[a-zA-Z0-9_%+\-]|\s*\[hyphen\]\s*)+\s*\[at\]\s*(?:(?:[a-zA-Z0-9_%+\-])+\s*\[dot\]\s*)+[a-zA-Z]{2,6}')) as span from documents)
-    select doc_id, lower(regexp_replace(regexp_replace(regexp_replace(span, '(?i)\s*\[at\]\s*', '@', 'g'), '(?i)\s*\[dot\]\s*', '.', 'g'), '(?i)\s*\[hyphen\]\s*', '-', 'g')) as email from spans""")
+@query(rf"""with spans as (select doc_id, unnest(regexp_extract_all({_MARKED}, '{_BRACKETED}')) as span from documents),
+    plain as (select doc_id, lower(regexp_replace(regexp_replace(regexp_replace(span, '(?i)\s*\[at\]\s*', '@', 'g'), '(?i)\s*\[dot\]\s*', '.', 'g'), '(?i)\s*\[hyphen\]\s*', '-', 'g')) as text from spans),
+    found as (select doc_id, trim(regexp_extract(text, '{_EMAIL}'), '.') as email from plain where regexp_extract(text, '{_EMAIL}') <> ''),
+    parts as (select doc_id, split_part(email, '@', 1) as local, split_part(email, '@', 2) as domain from found), cut as (select doc_id, local, domain, least({_ENDS}) as stop from parts)
+    select doc_id, local || '@' || case when stop is null then domain else substr(domain, 1, stop) end as email from cut""")
 def bracketed_emails(spark, d):
     """Addresses whose signs were replaced by markers, found and resolved again."""
-    pairs = ((r"\s*\[at\]\s*", "@"), (r"\s*\[dot\]\s*", "."), (r"\s*\[hyphen\]\s*", "-"))
+    p = Policy()
     marked = F.replace(F.replace("text", F.lit("@"), F.lit(" [at] ")), F.lit("."), F.lit("[dot]"))
-    pattern = T.bracketed_pattern(pairs).replace("._%", "_%")
-    rows = V.table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))).alias("span"))
-    return rows.select("doc_id", F.lower(_unmarked(F.col("span"), pairs)).alias("email"))
-
-
-def _unmarked(span, pairs):
-    for mark, sign in pairs:
-        span = F.regexp_replace(span, f"(?i){mark}", sign)
-    return span
+    rows = V.table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(marked, F.lit(T.bracketed_pattern(p.obfuscation)), F.lit(0))).alias("span"))
+    return rows.select("doc_id", T.unbracketed(F.col("span"), p.obfuscation, p.email, p.valid_suffixes).alias("email")).where("email is not null")
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadwright.functions import score as S
 from leadwright.functions import text as T
 from leadwright.functions import url as U
-from leadwright.operators import attribution, domains, fold, frontier, jobs, leads, outreach, rbac
+from leadwright.operators import attribution, domains, fold, frontier, jobs, leads, outreach, rbac, rows
 from leadwright.plans import views as V
 from leadwright.plans.catalogue import query
 from leadwright.policy import Policy
@@ -38,6 +38,8 @@ VIEWS = {
     "attempts": """select l_orderkey as email_id, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber as seq, case l_partkey % 8 when 0 then 550 when 1 then 421 when 2 then 553 when 3 then 503 end as code,
         case l_suppkey % 9 when 0 then 'auth' when 1 then 'network' end as error, l_shipdate as sent, l_suppkey % 10 as credential_id from {lineitem}""",
     "black": "select concat('user', c_custkey % 40, '@Mail.example.com') as email, case when c_custkey % 3 = 0 then 'Old.example.net' else '' end as domain, 'r' as reason, c_custkey as seq from {customer}",
+    "settings": "select r_name as key, concat('v', r_regionkey) as value, cast(r_regionkey as bigint) as updated_by, timestamp '2024-01-01 00:00:00' + interval 1 day * r_regionkey as updated_at from {region}",
+    "tries": "select page_id, cast(t as bigint) as seq, case when (page_id + t) % 3 = 0 then 'reset' end as error, case when page_id % 7 = 0 then 404 else 200 end as status, url as final_url, html from {pages} cross join (select 0 as t union all select 1 union all select 2) x",
     "queue": "select event_id as id, user_id % 20 as job_id, event_type as kind, cast(event_id % 9 as int) as attempts, cast(null as varchar(9)) as last_error from {events}",
     "entries": """select page_id as seq, case when page_id % 3 = 0 then concat('x', page_id % 20) else '' end as external_id, case when page_id % 4 = 0 then null else concat('https://site', page_id % 35, '.example.com') end as main_url,
         concat('cat', page_id % 4) as category_code, concat('Cat ', page_id % 6) as category_title, concat('org', page_id % 3) as org_type, concat('Org ', page_id % 5) as org_type_title,
@@ -597,3 +599,107 @@ def table_cells(spark, d):
     )
     places = T.header_map(c("headers"), {"name": ("name",), "designation": ("designation", "post"), "department": ("department",), "email": ("email", "e-mail")})
     return rows.select("id", *(T.cell_at(c("cells"), places[r]).alias(r) for r in ("name", "designation", "email")))
+
+
+# Edits of small tables
+
+
+@query(having("roles") + """, more(name) as (values ('Zed'), ('Alpha')) select id, name, is_system from roles where not (id = 2 and not is_system) and id <> 5
+    union all select (select max(id) from roles) + row_number() over (order by name), name, false from more""")
+def rows_added_and_removed(spark, d):
+    """Two roles come, role 2 goes; role 5 goes with its permissions."""
+    table = made(spark, d, "roles")
+    new = spark.createDataFrame([("Zed", False), ("Alpha", False)], "name string, is_system boolean")
+    kept, _ = rows.with_dependants(rows.removed(rows.added(table, new, [F.col("name")]), (F.col("id") == 2) & ~F.col("is_system")), F.col("id") == 5, made(spark, d, "held"), "role_id")
+    return kept.select("id", "name", "is_system")
+
+
+@query(having("held") + "select role_id, permission_key from held where role_id <> 1")
+def dependants_removed(spark, d):
+    return rows.with_dependants(made(spark, d, "roles"), F.col("id") == 1, made(spark, d, "held"), "role_id")[1].select("role_id", "permission_key")
+
+
+@query(having("roles", "users") + "select id, name from roles r where is_system or id not in (3, 4, 5) or exists (select 1 from users u where u.role_id = r.id)")
+def used_rows_stay(spark, d):
+    return rows.removed(made(spark, d, "roles"), F.col("id").isin(3, 4, 5) & ~F.col("is_system"), made(spark, d, "users").select(F.col("role_id").alias("id"))).select("id", "name")
+
+
+@query(having("credentials") + "select id, case when id in (2, 3) then false else is_active end as is_active, case when id = 3 then timestamp '2024-01-01 01:00:00' else cooldown_until end as cooldown_until, case when id = 2 then 50 else daily_send_limit end as daily_send_limit from credentials")
+def credential_edits(spark, d):
+    """Credential 2 is disabled with a new limit, 3 is disabled and cools down."""
+    table = rows.changed(made(spark, d, "credentials"), F.col("id") == 2, is_active=False, daily_send_limit=50, cooldown_until=None)
+    return rows.changed(table, F.col("id") == 3, is_active=False, cooldown_until=ts("2024-01-01 01:00:00")).select("id", "is_active", "cooldown_until", "daily_send_limit")
+
+
+@query(having("users", "roles") + "select id, case when id in (5, 6) then false else is_active end as is_active, case when id = 6 then 2 else role_id end as role_id from users")
+def user_edits(spark, d):
+    """Users 5 and 6 are deactivated, and 6 changes the role."""
+    table = rows.changed(made(spark, d, "users"), F.col("id").isin(5, 6), is_active=False)
+    return rows.changed(table, F.col("id") == 6, role_id=2).select("id", "is_active", "role_id")
+
+
+@query(having("entries") + ", known(code, title) as (values ('cat1', 'old'), ('zzz', 'kept')) select code, title from known where code not in (select category_code from entries) union all select category_code, arg_max(category_title, seq) from entries group by 1")
+def titles_written(spark, d):
+    known = spark.createDataFrame([("cat1", "old"), ("zzz", "kept")], "code string, title string")
+    return rows.titles_written(known, made(spark, d, "entries").select(F.col("category_code").alias("code"), F.col("category_title").alias("title"), "seq"))
+
+
+@query("with " + V.MAIL + " select id, status from mail where campaign_id = 4 and status = 'SENT' order by id limit 10 offset 10")
+def mail_listing(spark, d):
+    return rows.listing(V.mail(spark, d), 2, 10, campaign_id=4, status="SENT").select("id", "status")
+
+
+@query("select p_partkey as id, p_name as name from part order by 1 desc limit 25 offset 25")
+def template_listing(spark, d):
+    return rows.listing(V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), 2, 25, newest_first=True)
+
+
+@query(having("settings") + """select key, case when key = 'ASIA' then 'new' else value end as value, case when key = 'ASIA' then 7 else updated_by end as updated_by, case when key = 'ASIA' then timestamp '2024-06-01 00:00:00' else updated_at end as updated_at from settings
+    union all select 'crawl_policy', '{}', 7, timestamp '2024-06-01 00:00:00'""")
+def setting_writes(spark, d):
+    """A write on the row that was read, one on a row that changed since, and a first one."""
+    now, at = ts("2024-06-01 00:00:00"), lambda n: ts(f"2024-01-0{n} 00:00:00")
+    table = made(spark, d, "settings")
+    for key, value, expected in (("ASIA", "new", at(3)), ("EUROPE", "late", at(1)), ("crawl_policy", "{}", None)):
+        table = rows.setting_written(table, key, value, 7, now, expected).drop("written")
+    return table
+
+
+@query(having("settings") + "select 'ASIA' as key, value from settings where key = 'ASIA' union all select 'nothing', 'default'")
+def setting_reads(spark, d):
+    table = made(spark, d, "settings")
+    return rows.setting(table, "ASIA", "default").union(rows.setting(table, "nothing", "default"))
+
+
+@query(having("entries") + "select count(distinct category_title) as total_categories, count(*) as total_entries, count(main_url) as inserted from entries")
+def import_counters(spark, d):
+    return rows.import_counters(made(spark, d, "entries"), F.col("main_url").isNotNull())
+
+
+@query("with " + V.LEADS + """, up as (select distinct 'user' || (o_custkey % 300) || '@household.com' as email from orders), old as (select id as lead_id from leads where id % 3 = 0)
+    select l.id as lead_id, 77 as job_id, 'manual-csv-upload' as source_url from up join leads l using (email) where l.id not in (select lead_id from old)""")
+def upload_occurrences(spark, d):
+    """Uploaded addresses that are in the pool leave an occurrence each, skipped ones too, unless the job has it."""
+    pool = V.leads(spark, d)
+    up = V.table(spark, d, "orders").select(F.concat(F.lit("USER"), (F.col("o_custkey") % 300).cast("string"), F.lit("@household.com")).alias("email"))
+    old = pool.where("id % 3 = 0").select(F.col("id").alias("lead_id"), F.lit(77).cast("long").alias("job_id"))
+    return leads.occurrences_of_upload(pool, up, old, 77).select("lead_id", F.col("job_id").cast("int").alias("job_id"), "source_url")
+
+
+@query("with " + V.LEADS + ", " + V.SNAPSHOTS + " select l.id, case when l.channel_tag = 'manual' and l.manual_state is null then nullif(s.state, '') else l.manual_state end as manual_state from (select * replace (case when id % 5 = 0 then null else manual_state end as manual_state) from leads) l left join snaps s on s.id = l.snapshot_id")
+def manual_states(spark, d):
+    pool = V.leads(spark, d).withColumn("manual_state", F.when(F.col("id") % 5 != 0, F.col("manual_state")))
+    return fold.with_manual_states(pool, V.snapshots(spark, d)).select("id", "manual_state")
+
+
+@query("select 'u' || x.i as url_key from range(0, 40) x(i)")
+def visited_union(spark, d):
+    return frontier.visited_before(spark.range(30).selectExpr("concat('u', id) as url_key"), spark.range(10, 40).selectExpr("concat('u', id) as url_key"))
+
+
+@query(having("tries") + """, firsts as (select *, row_number() over (partition by page_id order by seq) as n from tries where seq < 2 and error is null),
+    pages2 as (select page_id, final_url, regexp_replace(lower(regexp_extract(final_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www[.]', '') as netloc, status, html, seq from firsts where n = 1)
+    select t.page_id, case when p.page_id is null then 'failed' when p.status <> 200 or not (p.netloc like '%.com' or p.netloc like '%.net') then 'reject' when contains(p.html, '<b>') then 'render' else 'accept' end as decision,
+    cast(case when p.page_id is null then 2 else p.seq + 1 end as int) as tries from (select distinct page_id from tries) t left join pages2 p using (page_id)""")
+def fetch_decisions(spark, d):
+    return frontier.fetch_decision(made(spark, d, "tries"), Policy(target_suffixes=(".com", ".net"), js_indicators=("<b>",)))

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadwright.plans import views as V
+from leadwright.sources.shared import shared_folder
 from leadwright.streaming.captures import LeadStore, capture_stream, files_as_stream, quiet_sessions
 from leadwright.streaming.liveness import transitions
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:

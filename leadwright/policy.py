@@ -8,6 +8,10 @@ from dataclasses import dataclass, field
 # The policy's defaults, in their natural order.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@(?:[a-zA-Z0-9\-]+\.)+[a-zA-Z]{2,6}"
 CSV_EMAIL = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"
+TOP_DOMAIN = r"[a-zA-Z]{2,6}"
+MARKED_CHARACTER = r"[a-zA-Z0-9._%+\-]"
+CAPITALISED = r"[A-Z][a-z]+"
+DESIGNATION_END = r"(?i)[@\n]|\b(?:e-?mail|phone|tel(?:ephone)?)\b\s*[:\-]?|\d{5,}"  # an address, a line break, a mail or phone label, a long number
 VALID_SUFFIXES = (".gov.in", ".nic.in", ".res.in", ".ac.in", ".com")
 TARGET_SUFFIXES = (".gov.in", ".nic.in")
 OBFUSCATION = (

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from leadwright.functions.text import slug
 from leadwright.functions.url import is_target, main_and_contact, root_url, title_of
 from leadwright.policy import TARGET_SUFFIXES
 
+#: More than a document has states of a category, types of a state or entries of a type; seq holds the four places side by side.
+PLACES = 1 << 15
 _DOCUMENT = "map<string,map<string,map<string,array<string>>>>"
 
 
 def read_catalog(spark: SparkSession, path: str, suffixes: Sequence[str] = TARGET_SUFFIXES, codes: dict[str, str] | None = None) -> DataFrame:
-    """Entries of catalog documents {category: {state: {org type: [entry]}}}, in order (`seq`).
+    """Entries of catalog documents {category: {state: {org type: [entry]}}}, in order (`seq`, not dense).
 
     An entry is an address or an object (title, url, contact_url, external_id). Addresses that are no targets go; objects
     stay, with the addresses that are targets. Category codes come from `codes`, else from the title.
@@ -33,7 +33,7 @@ def read_catalog(spark: SparkSession, path: str, suffixes: Sequence[str] = TARGE
     rows = rows.where(is_object | plain)
     code = F.coalesce(*([F.element_at(F.create_map(*(F.lit(v) for kv in codes.items() for v in kv)), F.col("category_title"))] if codes else []), slug(F.col("category_title"), 20))
     return rows.select(
-        F.row_number().over(Window.orderBy("c", "s", "o", "e")).alias("seq"), code.alias("category_code"), "category_title", F.col("state"), slug(F.col("org_type_title"), 30).alias("org_type"), "org_type_title",
+        (((F.col("c").cast("long") * PLACES + F.col("s")) * PLACES + F.col("o")) * PLACES + F.col("e")).alias("seq"), code.alias("category_code"), "category_title", F.col("state"), slug(F.col("org_type_title"), 30).alias("org_type"), "org_type_title",
         F.when(is_object, F.col("x.title")).otherwise(title_of(F.col("entry"))).alias("title"), F.when(is_object, main).otherwise(root_url(F.col("entry"))).alias("main_url"),
         F.when(is_object, contact).otherwise(F.when(plain, F.col("entry"))).alias("contact_url"), F.col("x.external_id").alias("external_id"),
     )
@@ -66,38 +66,17 @@ def catalog_document(domains: DataFrame) -> DataFrame:
     return categories.select("category_title", F.to_json(F.struct("states")).alias("document"))
 
 
-class DirectorySource(DataSource):
-    """A paged directory as a batch source: option `path` names a JSON file {category: [[rows of page 1], ...]} of recorded answers; a partition for each category.
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a paged directory from its recorded answers, JSON lines (category, page, total, rows): (category_code, seq, title, state, org_type, main_url, contact_url, external_id).
 
-    Pages are read until one is empty or `total` rows were fetched.
+    A category's pages count up to its first empty one, and while fewer rows than its total stood on the pages before.
+    Files of any number and size are read in parallel; only a category's pages, not its rows, meet in one place.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "directory"
-
-    def schema(self) -> str:
-        return "category_code string, seq int, title string, state string, org_type string, main_url string, contact_url string, external_id string"
-
-    def reader(self, schema) -> DirectoryReader:
-        return DirectoryReader(self.options)
-
-
-class DirectoryReader(DataSourceReader):
-    def __init__(self, options):
-        self.file, self.only = options["path"], options.get("category")
-
-    def partitions(self) -> list[InputPartition]:
-        with open(self.file, encoding="utf-8") as f:
-            return [InputPartition(c) for c in json.load(f) if not self.only or c == self.only]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(self.file, encoding="utf-8") as f:
-            answer = json.load(f)[partition.value]
-        seq = 0
-        for page in answer["pages"]:
-            if not page or seq >= answer.get("total", float("inf")):
-                break
-            for row in page:
-                yield (partition.value, seq, *(row.get(k) for k in ("title", "state", "org_type", "main_url", "contact_url", "external_id")))
-                seq += 1
+    entry = "title string, state string, org_type string, main_url string, contact_url string, external_id string"
+    answers = spark.read.schema(f"category string, page int, total long, rows array<struct<{entry.replace(' string', ': string')}>>").json(path)
+    upto = Window.partitionBy("category").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.size("rows"), F.lit(0))
+    counted = answers.select("category", "page", "total", F.greatest(size, F.lit(0)).alias("n")).withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "least": F.min("n").over(upto)})
+    read = counted.where((F.col("n") > 0) & (F.coalesce("least", F.lit(1)) > 0) & (F.col("total").isNull() | (F.col("before") < F.col("total"))))
+    rows = answers.drop("total").join(read.select("category", "page", "before"), ["category", "page"])
+    return rows.select(F.col("category").alias("category_code"), "before", F.posexplode("rows").alias("at", "r")).select("category_code", (F.col("before") + F.col("at")).alias("seq"), "r.*")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def id_map(rows: DataFrame, start: int = 0, buckets: int = 64) -> DataFrame:
-    """(old_id, new_id): new ids from start + 1 in the old order; ranges of old ids are numbered apart, then their sizes are added up."""
-    edges = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    lo, width = edges["lo"] or 0, max(1, ((edges["hi"] or 0) - (edges["lo"] or 0)) // buckets + 1)
-    placed = rows.select(F.col("id").alias("old_id"), F.floor((F.col("id") - lo) / width).alias("bucket"))
+    """(old_id, new_id): new ids from start + 1 in the old order; ranges of old ids, of about as many rows each, are numbered apart, then their sizes are added up."""
+    cuts = rows.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []
+    place = F.size(F.filter(F.lit(sorted(set(cuts))), lambda x: x < F.col("id"))) if cuts else F.lit(0)
+    placed = rows.select(F.col("id").alias("old_id"), place.alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     before = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = placed.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("old_id"))).join(before, "bucket")
