@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from leadwright.llm.common import written
-from leadwright.llm.components import connected_components
+from leadwright.llm.components import connected_components, smallest_reached
 
 #: Dimensions of a block of the rotated space.
 BLOCK = 8
@@ -18,6 +19,8 @@ BLOCK = 8
 TILE = 1024
 #: Added to every budget of a block, so that rounding loses no pair; the verification is exact.
 SLACK = 1e-9
+#: Added to a block's budget where its coordinates are float32.
+ROUNDED = 1e-5
 
 
 def rotation(size: int) -> np.ndarray:
@@ -66,30 +69,84 @@ def cells(points: np.ndarray, side: float, radius: float) -> Iterator[tuple[np.n
 
 
 def _placed(reps: DataFrame, threshold: float) -> DataFrame:
-    """Rows (label, block, cell, rep, weight, vector, own): the cells where each vector meets others."""
+    """Rows (label, block, cell, rep, own, point): the cells where each vector meets others, with its coordinates in the block as float32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                lists = part.column(3)
+                lists = part.column(2)
                 sizes = np.asarray(lists.value_lengths())
                 for size in np.unique(sizes):
                     some = part.take(pa.array(np.flatnonzero(sizes == size)))
-                    vectors = np.asarray(some.column(3).flatten()).reshape(-1, size)
+                    vectors = np.asarray(some.column(2).flatten()).reshape(-1, size)
                     points = rotated(vectors.astype(np.float64))
-                    raw = pa.array([v.tobytes() for v in vectors], pa.binary())
                     for b, dims in enumerate(blocks_of(int(size))):
                         radius = np.sqrt((2 - 2 * threshold) * (dims.stop - dims.start) / size)
+                        raw = pa.array([v.tobytes() for v in points[:, dims].astype(np.float32)], pa.binary())
                         for rows, cell, own in cells(points[:, dims], max(4 / np.sqrt(size), 2 * radius + SLACK), radius):
                             of = pa.array(rows)
                             yield pa.RecordBatch.from_arrays(
-                                [some.column(0).take(of), pa.array(np.full(len(rows), size * 4096 + b), pa.int64()), pa.array(cell), some.column(1).take(of), some.column(2).take(of), raw.take(of), pa.array(own)],
-                                names=["label", "block", "cell", "rep", "weight", "vector", "own"],
+                                [some.column(0).take(of), pa.array(np.full(len(rows), size * 4096 + b), pa.int64()), pa.array(cell), some.column(1).take(of), pa.array(own), raw.take(of)],
+                                names=["label", "block", "cell", "rep", "own", "point"],
                             )
 
     kind = reps.schema["label"].dataType.simpleString()
-    return reps.select("label", "rep", "weight", "vector").mapInArrow(run, f"label {kind}, block long, cell long, rep long, weight long, vector binary, own boolean")
+    return reps.select("label", "rep", "vector").mapInArrow(run, f"label {kind}, block long, cell long, rep long, own boolean, point binary")
+
+
+def _met_at_home(own: np.ndarray, shard: np.ndarray, a: int, b: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which rows of a tile meet which: one of a pair is in its own cell; in a tile of two shards, one is of each."""
+    home, guest = np.flatnonzero(own), np.flatnonzero(~own)
+    if a == b:
+        return [(home, home), (home, guest)]
+    first = shard == a
+    return [(np.flatnonzero(x), np.flatnonzero(y)) for x, y in ((own & first, own & ~first), (own & first, ~own & ~first), (own & ~first, ~own & first))]
+
+
+def _close(tiles: DataFrame, threshold: float) -> DataFrame:
+    """The tiles' rows without their points, those alone that have a partner within the block's budget."""
+
+    def told(key: tuple, rows: list[tuple]) -> list[tuple]:
+        points = np.stack([np.frombuffer(r[3], np.float32) for r in rows]).astype(np.float64)
+        own, shard = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        budget = (2 - 2 * threshold) * points.shape[1] / (key[1] // 4096) + ROUNDED
+        square = (points**2).sum(1)
+        close = np.zeros(len(rows), bool)
+        for a, b in _met_at_home(own, shard, key[3], key[4]):
+            near = square[a][:, None] + square[b][None, :] - 2 * points[a] @ points[b].T <= budget
+            near &= a[:, None] != b[None, :]
+            close[a[near.any(1)]] = True
+            close[b[near.any(0)]] = True
+        return [(*key, r[2], r[0], r[1]) for r, keep in zip(rows, close) if keep]
+
+    order = ["label", "block", "cell", "a", "b"]
+    columns = [*order, "shard", "rep", "own"]
+    kinds = {f.name: pa.int64() for f in tiles.schema if f.name in columns} | {"own": pa.bool_(), "a": pa.int32(), "b": pa.int32(), "shard": pa.int32(), "label": to_arrow_type(tiles.schema["label"].dataType)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, found = None, [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kinds[c]) for i, c in enumerate(columns)], names=columns)
+
+        for batch in batches:
+            for label, block, cell, a, b, shard, rep, own, point in zip(*(c.to_pylist() for c in batch.columns)):
+                if (label, block, cell, a, b) != key:
+                    if len(rows) > 1:
+                        found += told(key, rows)
+                    key, rows = (label, block, cell, a, b), []
+                    if len(found) > 10_000:
+                        yield out()
+                        found = []
+                rows.append((rep, own, shard, point))
+        if len(rows) > 1:
+            found += told(key, rows)
+        yield out()
+
+    kind = tiles.schema["label"].dataType.simpleString()
+    rows = tiles.select(*columns[:7], "own", "point").repartition(*order).sortWithinPartitions(*order)
+    return rows.mapInArrow(run, f"label {kind}, block long, cell long, a int, b int, shard int, rep long, own boolean")
 
 
 def _matched(points: np.ndarray, vectors: np.ndarray, a: np.ndarray, b: np.ndarray, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -116,20 +173,6 @@ def _matched(points: np.ndarray, vectors: np.ndarray, a: np.ndarray, b: np.ndarr
     return i[keep], j[keep]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches over pairs (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _met(tiles: DataFrame, threshold: float) -> DataFrame:
     """Rows (rep, links, other): partial numbers of links, and edges that join what a tile joins."""
 
@@ -138,18 +181,12 @@ def _met(tiles: DataFrame, threshold: float) -> DataFrame:
         vectors = np.stack([np.frombuffer(r[2], np.float32 if len(r[2]) == 4 * (key[1] // 4096) else np.float64) for r in rows]).astype(np.float64)
         points = rotated(vectors)
         rep, weight, own, shard = (np.array([r[c] for r in rows]) for c in (0, 1, 3, 4))
-        home, guest = np.flatnonzero(own), np.flatnonzero(~own)
-        pairs = []
-        if key[3] == key[4]:
-            i, j = _matched(points, vectors, home, home, block, threshold)
-            pairs = [(i[i < j], j[i < j]), _matched(points, vectors, home, guest, block, threshold)]
-        else:
-            first = shard == key[3]
-            for a, b in ((own & first, own & ~first), (own & first, ~own & ~first), (own & ~first, ~own & first)):
-                pairs.append(_matched(points, vectors, np.flatnonzero(a), np.flatnonzero(b), block, threshold))
+        pairs = [_matched(points, vectors, a, b, block, threshold) for a, b in _met_at_home(own, shard, key[3], key[4])]
+        if key[3] == key[4]:  # those at home meet in both directions
+            pairs[0] = tuple(x[pairs[0][0] < pairs[0][1]] for x in pairs[0])
         i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
         links = np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
-        root = _forest(len(rows), i, j)
+        root = smallest_reached(len(rows), i, j)
         some = np.flatnonzero(links > 0)
         return rep[some], links[some].astype(np.int64), rep[root[some]]
 
@@ -182,14 +219,27 @@ def _met(tiles: DataFrame, threshold: float) -> DataFrame:
 
 
 def _tiles(placed: DataFrame) -> DataFrame:
-    """Cells of up to TILE vectors as one tile (a = b = 0); larger ones as pairs of shards a <= b, where each vector stands in every pair of its shard."""
+    """Cells of up to TILE vectors as one tile (a = b = 0); larger ones as pairs of shards a <= b, where each vector stands in every pair of its shard. Only the larger cells' sizes are joined."""
     cell = ["label", "block", "cell"]
-    sizes = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.count_if("own").alias("at_home")).where("n > 1 and at_home > 0")
-    cut = F.ceil(F.col("n") / (TILE // 2)).cast("int")
-    sizes = sizes.select(*cell, F.when(F.col("n") <= TILE, 1).otherwise(cut).alias("shards"))
-    rows = placed.join(sizes, cell).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    sizes = placed.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    sizes = sizes.select(*cell, F.ceil(F.col("n") / (TILE // 2)).cast("int").alias("cut"))
+    rows = placed.join(sizes, cell, "left").withColumn("shards", F.coalesce("cut", F.lit(1)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     rows = rows.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    return rows.select("*", F.least("shard", "peer").alias("a"), F.greatest("shard", "peer").alias("b"))
+    return rows.select(*cell, "rep", "own", "point", "shard", F.least("shard", "peer").alias("a"), F.greatest("shard", "peer").alias("b"))
+
+
+def _with_vectors(close: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows with their weight, and the vector's bytes as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            raw = pa.array([np.asarray(lists[i].values).tobytes() for i in range(len(lists))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], names=["rep", "weight", "vector"])
+
+    wanted = reps.select("rep", "weight", "vector").join(close.select("rep").distinct(), "rep", "left_semi")
+    return close.join(wanted.mapInArrow(run, "rep long, weight long, vector binary"), "rep")
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -197,9 +247,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors of one label (not null) and length link when the cosine in double precision is at least the threshold. Unit
     vectors with that cosine are within a squared distance of 2 - 2 * threshold; cut into blocks of the rotated space,
-    one block at least is within its share. Each block is range-joined on a grid, all rows against all: a vector stands in
-    its own cell and in those after it that its ball touches. Candidates are verified exactly, and a pair counts in the
-    first block that proposes it. Equal vectors travel once, with their number; of a tile's links only counts and a
+    one block at least is within its share. Each block is range-joined on a grid, all rows against all: a vector's
+    coordinates in the block stand in its own cell and in those after it that its ball touches. Only rows with a partner
+    within the block's share get their vectors, with which candidates are verified exactly; a pair counts in the first
+    block that proposes it. Equal vectors travel once, with their number; of a tile's links only counts and a
     spanning forest leave it, and a full cell is split into pairs of shards, so neither groups nor pairs pile up.
 
     n_links counts other rows linked directly, component_id is the smallest id that links reach, itself included. Vectors
@@ -212,7 +263,8 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = base.withColumn("good", F.coalesce(good, F.lit(False)))
     reps = written(usable.where("good").groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).where("rep is not null"), "distinct-vectors")
 
-    met = written(_met(_tiles(_placed(reps, threshold)), threshold), "vector-links")
+    close = written(_close(_tiles(_placed(reps, threshold)), threshold), "vector-candidates")
+    met = written(_met(_with_vectors(close, reps), threshold), "vector-links")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     nodes = connected_components(met.select("rep", "other"))
     told = reps.join(links, "rep", "left").join(nodes, F.col("rep") == F.col("node"), "left")
