@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from leadwright.llm.common import mapped, written
 from leadwright.llm.components import connected_components
 
+#: Fingerprints whose variants one task makes: a row becomes 65, so its bytes do not tell the work.
+BALLS = 20_000
 #: Shingle hashes whose bits are counted at once: bounds the memory that a very long text takes.
 HASHES = 1 << 16
 
@@ -60,7 +62,8 @@ def linked(prints: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("the radius must be even")
     masks = [sum(1 << i for i in bits) for k in range(radius // 2 + 1) for bits in combinations(range(64), k)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    distinct = prints.select(F.col(prints.columns[0]).alias("print")).distinct()
+    tasks = max(1, -(-prints.count() // BALLS))
+    distinct = prints.select(F.col(prints.columns[0]).alias("print")).distinct().repartition(tasks, "print")
     variants = distinct.select("print", F.explode(F.array(*(F.col("print").bitwiseXOR(F.lit(m).cast("long")) for m in signed))).alias("variant"))
     met = variants.groupBy("variant").agg(F.sort_array(F.collect_set("print")).alias("prints")).where(F.size("prints") > 1)
     star = met.select(F.element_at("prints", 1).alias("a"), F.explode(F.slice("prints", F.lit(2), F.size("prints"))).alias("b")).distinct()
