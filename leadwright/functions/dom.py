@@ -36,8 +36,16 @@ class _Node:
             else:
                 todo.pop()
 
-    def text(self, skip: tuple = HIDDEN) -> str:
-        return " ".join(t for s in self.strings(skip) if (t := s.strip()))
+    def text(self, skip: tuple = HIDDEN, most: int | None = None) -> str:
+        """The stripped strings below, joined; not read on beyond `most` characters."""
+        parts, size = [], -1
+        for s in self.strings(skip):
+            if t := s.strip():
+                parts.append(t)
+                size += len(t) + 1
+                if most is not None and size >= most:
+                    break
+        return " ".join(parts)[:most]
 
 
 class _Page(HTMLParser):
@@ -78,19 +86,21 @@ class _Page(HTMLParser):
         self.at.items.append(data)
 
 
-def _below(node: _Node, nodes: list[_Node], tags: tuple) -> list[_Node]:
-    def inside(x: _Node) -> bool:
-        while x.parent:
-            x = x.parent
-            if x is node:
-                return True
-        return False
+def _ends(nodes: list[_Node]) -> list[int]:
+    """For each number, that of the last node in its subtree: nodes are numbered as they open, so a subtree is a run of numbers."""
+    last = list(range(len(nodes) + 1))
+    for x in reversed(nodes):
+        if x.parent:
+            last[x.parent.number] = max(last[x.parent.number], last[x.number])
+    return last
+
 
-    return [x for x in nodes[node.number :] if x.tag in tags and inside(x)]
+def _below(node: _Node, nodes: list[_Node], last: list[int], tags: tuple) -> list[_Node]:
+    return [x for x in nodes[node.number : last[node.number]] if x.tag in tags]
 
 
 def signals(html: str | None, email: str, bracketed: str, most_chars: int) -> dict:
-    """Title, first itemprop=name, text, what may be contacts (raw) and links of a page. Nothing is judged here."""
+    """Title, first itemprop=name, text, what may be contacts (raw) and links of a page. Nothing is judged here. most_chars: characters of the text that are scanned for addresses; 0: all."""
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -98,7 +108,7 @@ def signals(html: str | None, email: str, bracketed: str, most_chars: int) -> di
 
     def add(rung: str, kind: str, raw: str, node: _Node | None = None, **more) -> None:
         parent = node.parent if node else None
-        container = parent.text(NOISE)[:CONTAINER] if parent and rung in ("mailto_tel", "microdata") else None
+        container = parent.text(NOISE, CONTAINER) if parent and rung in ("mailto_tel", "microdata") else None
         found.append({"seq": len(found), "rung": rung, "kind": kind, "raw": raw, "parent": parent.number if parent else None, "container": container} | more)
 
     for a in page.nodes:
@@ -111,12 +121,13 @@ def signals(html: str | None, email: str, bracketed: str, most_chars: int) -> di
         if (prop := x.attrs.get("itemprop", "").lower()) in ("email", "telephone", "phone"):
             if raw := x.attrs.get("content") or "".join(s.strip() for s in x.strings()):
                 add("microdata", "email" if prop == "email" else "phone", raw, x)
+    last = _ends(page.nodes)
     for table in page.nodes:
-        if table.tag != "table" or len(rows := _below(table, page.nodes, ("tr",))) < 2:
+        if table.tag != "table" or len(rows := _below(table, page.nodes, last, ("tr",))) < 2:
             continue
-        headers = ["".join(s.strip() for s in c.strings()).lower() for c in _below(rows[0], page.nodes, ("th", "td"))]
+        headers = ["".join(s.strip() for s in c.strings()).lower() for c in _below(rows[0], page.nodes, last, ("th", "td"))]
         for row in rows[1:]:
-            cells = [c.text() for c in _below(row, page.nodes, ("td", "th"))]
+            cells = [c.text() for c in _below(row, page.nodes, last, ("td", "th"))]
             if cells and len(row_text := " ".join(cells)) <= ROW and "@" in row_text:
                 add("table_block", "row", row_text, row, headers=headers, cells=cells, row_text=row_text)
     text = " ".join(page.root.strings())

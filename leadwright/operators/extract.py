@@ -15,6 +15,7 @@ from leadwright.functions.text import (
 )
 from leadwright.functions.url import department_of
 from leadwright.policy import HEADER_WORDS, RUNGS, Policy
+from leadwright.sources.shared import written
 
 
 def page_signals(pages: DataFrame, policy: Policy = Policy(), html: str = "html") -> DataFrame:
@@ -61,9 +62,10 @@ def extract_leads(pages: DataFrame, policy: Policy = Policy()) -> DataFrame:
     pages: (page_id, url, html). Of an address's finds the best rung wins, then the first; the first other find that has a
     table row or a text window around it is its fallback. A phone goes to the first entity without one in the same parent
     element, else to the first without one, and to one alone. Addresses written with markers come last, if they are new.
+    Pages are read once, into the shared folder. Rows that repeat a page count as one; a null page has no leads.
     """
-    read = page_signals(pages, policy)
-    about = read.select("page_id", "url", "title", "page_name", "text")
+    read = written(page_signals(pages.select("page_id", "url", "html"), policy), "page-signals")
+    about = read.select("page_id", "url", "title", "page_name", "text").dropDuplicates(["page_id"])
     found = read.select("page_id", F.explode("found").alias("f")).select("page_id", "f.*")
 
     rank = F.array_position(F.array(*map(F.lit, RUNGS)), F.col("rung"))

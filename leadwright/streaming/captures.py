@@ -16,8 +16,8 @@ from leadwright.policy import SCORE_WEIGHTS
 class LeadStore:
     """Accepted captures by batch, and rejects, under one folder.
 
-    A batch overwrites its own part, so a batch that is delivered again after a failure changes nothing. The fold reads the
-    parts; compact() replaces old parts by one capture a lead where a long history makes that worth it.
+    A batch overwrites its own part, so a batch that is delivered again after a failure changes nothing. The fold reads all
+    parts each time; fold.merge_leads() takes captures into a stored pool of leads instead.
     """
 
     def __init__(self, spark: SparkSession, path: str, captures: StructType):

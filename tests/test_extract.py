@@ -90,3 +90,19 @@ def test_whole_pages_are_read(spark, tmp_path):
 
     spark.createDataFrame([(1, "https://a.com/x", far)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.email for r in extract_leads_dom(spark, str(tmp_path)).collect()} == {"first@trees.com", "last@trees.com", "marked@trees.com"}
+
+
+def test_repeated_pages_are_one(spark):
+    html = card("Mr Uno Kask,", "Manager", "uno")
+    pages = spark.createDataFrame([(1, f"https://{HOST}/", html)] * 3 + [(2, f"https://{HOST}/", None)], "page_id long, url string, html string")
+    assert [(r.page_id, r.email) for r in extract_leads(pages).collect()] == [(1, f"uno@{HOST}")]
+
+
+def test_nested_tables_and_many_rows():
+    from leadwright.functions.dom import signals
+
+    inner = "<table><tr><th>x</th></tr><tr><td>in@x.com</td></tr></table>"
+    html = f"<table><tr><th>Name</th><th>Mail</th></tr><tr><td>A</td><td>a@x.com{inner}</td></tr></table>" + "<table>" + "<tr><td>n</td><td>b@x.com</td></tr>" * 3000 + "</table>"
+    rows = [f for f in signals(html, POLICY.email, "(?!)", 0)["found"] if f["rung"] == "table_block"]
+    assert rows[0]["headers"] == ["name", "mail"] and rows[0]["cells"][0] == "A" and len([f for f in rows if f["cells"] == ["n", "b@x.com"]]) == 2999
+    assert any(f["row_text"] == "in@x.com" for f in rows)
