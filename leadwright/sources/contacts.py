@@ -49,8 +49,9 @@ def judged_contacts(rows: DataFrame, most: int = MOST_ROWS) -> tuple[DataFrame,
     seen = F.row_number().over(Window.partitionBy("email", F.col("bad").isNull()).orderBy("row"))
     rows = rows.withColumn("again", F.col("bad").isNull() & (seen > 1))
     good = F.col("bad").isNull() & ~F.col("again")
-    before = F.coalesce(F.sum(good.cast("int")).over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one uploaded file
-    rows = rows.withColumn("reason", F.when(before >= most, "row limit").otherwise(F.coalesce("bad", F.when(F.col("again"), "duplicate in file"))))
+    last = rows.where(good).orderBy("row").limit(most).agg(F.when(F.count("*") == most, F.max("row")).alias("last"))  # one row
+    rows = rows.join(F.broadcast(last))
+    rows = rows.withColumn("reason", F.when(F.col("row") > F.col("last"), "row limit").otherwise(F.coalesce("bad", F.when(F.col("again"), "duplicate in file"))))
     accepted = rows.where("reason is null").select("row", "email", F.nullif("name", F.lit("")).alias("person_name"), *(F.nullif(f, F.lit("")).alias(f) for f in ("designation", "department", "phone")))
     return accepted, rows.where("reason is not null").select("row", "email", "reason")
 
