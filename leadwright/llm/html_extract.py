@@ -23,16 +23,40 @@ SAFE = frozenset("article body html main".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Words of a class or id that name what surrounds an article.
 AROUND = frozenset(
-    "ad ads advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs byline-ad comments commentlist consent cookie cookies disqus dock footer gdpr header login masthead menu menubar modal nav navbar"
+    "ad ads advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dock footer gdpr header login masthead menu menubar modal nav navbar"
     " navigation newsletter notice notices pager paginate pagination popup promo promotion promoted recommended register related replies respond search share sharing sidebar signup skip social sponsor sponsored"
     " subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: What may follow such a word in a class or id that means the same: `ad-slot`, `comment-list`; anything else may, as in `search-engines`, be a subject.
+PARTS = frozenset("area articles bar block body box button buttons column container content first form group holder icons inner item items last left link links list main top bottom panel post posts right row section slot stories text thread title top unit wrap wrapper zone".split())
+#: What stands before `header` where it is the article's own.
+OWN = frozenset("article blog content entry news page post single story title".split())
 #: What says that a class is about the layout: `has-sidebar`, `with-menu`.
 LAYOUT = frozenset("has no with without".split())
+#: Blocks of running text, which are kept at the edges of a text where they stand beside its paragraphs.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt figcaption td th".split())
+#: Elements that only hold others of a list or table.
+HOLDERS = frozenset("ul ol dl table tbody thead tr li td th dd dt blockquote figure".split())
+#: The share of a line's characters in links that makes it one of a menu, and the characters for a tag of a line that is text whatever cluster it is in.
+LINKED, TEXT = 0.6, 60
+#: The share of the upper cluster's characters that an article or main holds if it is the page's.
+MOST = 0.6
+#: How a line of rights begins.
+RIGHTS = re.compile(r"(©|\(c\)|copyright\b|all rights reserved\b)", re.IGNORECASE).match
 #: Half the width of the smoothing kernel, in lines, and its deviation.
 REACH, SIGMA = 2, 1.0
 
 
+def _named_around(name: str, inside: bool) -> bool:
+    """Whether one class or id names what surrounds an article: as a whole, by its last word, or by its first before a word of PARTS."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
+    if not words or LAYOUT.intersection(words):
+        return False
+    if words[-1] in ("header", "masthead") and (inside or OWN.intersection(words)):
+        return False
+    return words[-1] in AROUND or words[0] in AROUND and PARTS.issuperset(words[1:])
+
+
 def _surrounds(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment. inside: an article or main is open."""
     if tag in NEVER or tag == "header" and not inside:
@@ -40,12 +64,9 @@ def _surrounds(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> b
     if tag in SAFE:
         return False
     for name, value in attrs:
-        if name in ("class", "id") and value:
-            for one in value.lower().split():
-                words = re.split(r"[^a-z0-9]+", one)
-                if not LAYOUT.intersection(words) and any(w in AROUND or w.startswith("comment") for w in words):
-                    return True
-        elif name == "role" and value and value.lower().strip() in ROLES:
+        if name in ("class", "id") and value and any(_named_around(one, inside) for one in value.split()):
+            return True
+        if name == "role" and value and value.lower().strip() in ROLES:
             return True
     return False
 
@@ -61,18 +82,20 @@ class Lines(HTMLParser):
         self.inside = 0  # open articles and mains
         self.pieces: list[str] = []
         self.count = 0
-        self.lines: list[tuple[str, int, int]] = []
+        self.links, self.linked = 0, 0  # open links, and characters in links of this line
+        self.lines: list[tuple[str, int, int, float]] = []
 
     def flush(self) -> None:
         if self.pieces:
             if text := " ".join("".join(self.pieces).split()):
-                self.lines.append((text, self.count, self.open[-1]))
+                self.lines.append((text, self.count, self.open[-1], self.linked / max(1, sum(len(p.strip()) for p in self.pieces))))
             self.pieces = []
-        self.count = 0
+        self.count = self.linked = 0
 
     def cut(self, depth: int) -> None:
         """Close all elements from this depth on."""
         self.inside -= sum(self.tags[n] in ("article", "main") for n in self.open[depth:])
+        self.links -= sum(self.tags[n] == "a" for n in self.open[depth:])
         del self.open[depth:]
         if self.out >= depth:
             self.out = 0
@@ -102,6 +125,7 @@ class Lines(HTMLParser):
         if not self.out and _surrounds(tag, attrs, self.inside > 0):
             self.out = len(self.open) - 1
         self.inside += tag in ("article", "main")
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,6 +146,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.out:
             self.pieces.append(data)
+            self.linked += len(data.strip()) if self.links else 0
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -143,37 +168,68 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def clusters(lines: list[tuple]) -> np.ndarray:
+    """Which lines are in the upper of two clusters of the logarithms of the smoothed ratios of characters to tags, so that one very long paragraph is not a cluster of its own."""
+    values = np.log(smoothed(np.array([len(line[0]) / max(1, line[1]) for line in lines])))
+    return values >= threshold(values)
+
+
 def main_text(html: str | None) -> str:
     """The article of a page as one string; empty for null, for an empty page and for one without an article's text.
 
     Parser events give lines; those of surrounding elements (menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, reader comments) are left out. The others have a ratio of characters to tags; the ratios are smoothed
-    and their logarithms split into two clusters. The content region is the smallest element that holds all lines of the upper cluster,
-    or the article or main around it; all its lines are kept, so a short paragraph between long ones stays.
+    and their logarithms split into two clusters. If an article or main holds most of the upper cluster, all its lines are
+    the text. Otherwise the text goes from the first to the last line that is of the upper cluster or TEXT characters a
+    tag, without lines of links and of rights; short lines between are kept, and at both ends the paragraphs, headings and
+    list items beside its own.
     """
     page = Lines()
     page.feed(html or "")
     page.close()
     page.flush()
-    if not page.lines:
+    lines = page.lines
+    if not lines:
         return ""
-    values = np.log(smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in page.lines])))  # one very long paragraph is not a cluster of its own
-    least = threshold(values)
+    menu = np.array([share >= LINKED for *_, share in lines])
+    upper = clusters(lines) & ~menu
 
     def above(element: int) -> list[int]:
         chain = [element]
         while chain[-1] > 0:
             chain.append(page.parents[chain[-1]])
-        return chain[::-1]
-
-    region = None
-    for (_, _, element), value in zip(page.lines, values):
-        if value >= least:
-            chain = above(element)
-            region = chain if region is None else [a for a, b in zip(region, chain) if a == b]
-    named = [n for n in region if page.tags[n] in ("article", "main")]
-    root = named[-1] if named else region[-1] if page.tags[region[-1]] in BLOCK and page.tags[region[-1]] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "blockquote") else next((n for n in reversed(region[:-1]) if page.tags[n] in ("div", "section", "td", "body", "html", "#page")), 0)
-    return " ".join(text for text, _, element in page.lines if root in above(element))
+        return chain
+
+    held: dict[int, int] = {}
+    for i in np.flatnonzero(upper):
+        for n in above(lines[i][2]):
+            if page.tags[n] in ("article", "main"):
+                held[n] = held.get(n, 0) + len(lines[i][0])
+    whole = sum(len(lines[i][0]) for i in np.flatnonzero(upper))
+    most = [n for n, size in held.items() if size >= MOST * whole]
+    if most:
+        root = max(most)  # elements are numbered as they open, so that is the inner one
+        return " ".join(line[0] for line in lines if root in above(line[2]))
+
+    def beside(element: int) -> int:
+        """The element that holds a line's block, past lists and tables."""
+        chain = [n for n in above(element) if page.tags[n] in BLOCK or n == 0]
+        return next((n for n in chain[1:] if page.tags[n] not in HOLDERS), 0)
+
+    keep = ~menu & np.array([not RIGHTS(line[0]) for line in lines])
+    text = keep & (upper | np.array([len(line[0]) >= TEXT * max(1, line[1]) for line in lines]))
+    if not text.any():
+        text = keep if keep.any() else np.ones(len(lines), bool)
+        keep = text
+    places = np.flatnonzero(text)
+    homes = {beside(lines[i][2]) for i in places}
+    first, last = places[0], places[-1]
+    near = keep & np.array([next((page.tags[n] for n in above(line[2]) if page.tags[n] in BLOCK), "") in RUNNING and beside(line[2]) in homes for line in lines])
+    while first and near[first - 1]:
+        first -= 1
+    while last + 1 < len(lines) and near[last + 1]:
+        last += 1
+    return " ".join(lines[i][0] for i in range(first, last + 1) if keep[i])
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
