@@ -143,34 +143,53 @@ def _suffixes(cut: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return owner, inner, buckets[at], buckets[at + length - q]
 
 
-def _repeated(first: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Which suffixes share a bucket with another one: buckets of the first q-gram, refined by sorting on those of the later offset.
-
-    Single suffixes leave after each step; what is left is refined within its bucket by the identifiers that the first
-    step made for the later offset's bucket.
+def _split(bucket: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Put the active suffixes into buckets by their keys: a bucket's identifier is its first suffix's place. Returns those that are not alone."""
+    if not len(active):
+        return active
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.concatenate([[True], key[1:] != key[:-1]])
+    number = np.cumsum(start) - 1
+    bucket[active[order]] = active[order[start]][number]
+    return np.sort(active[order[np.bincount(number)[number] > 1]])
+
+
+def repeated(cut: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all strings of `length` bytes in the contexts, those that occur twice or more: their context and their place in it, in order.
+
+    Bucket-pointer refinement: suffixes are put into buckets by their first q bytes, then each bucket is refined by sorting
+    on the identifiers of the buckets in which the suffixes' later offsets stand. An identifier covers as many bytes as
+    the rounds before have compared, so that each round doubles them; suffixes that are alone leave.
     """
-    alike = np.zeros(len(first), bool)
-    order = np.argsort(first, kind="stable")
-    same = first[order][1:] == first[order][:-1]
-    shared = np.zeros(len(first), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    order = order[shared]
-    order = order[np.lexsort((later[order], first[order]))]
-    same = (first[order][1:] == first[order][:-1]) & (later[order][1:] == later[order][:-1])
-    alike[order[1:][same]] = True
-    alike[order[:-1][same]] = True
-    return alike
+    sizes = np.array([len(c) for c in cut])
+    place = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(cut), np.uint8)
+    bucket = np.arange(len(data))
+    left = np.repeat(place + sizes, sizes) - bucket
+    width = min(8, length)
+    active = np.flatnonzero(left >= width)
+    key = np.zeros(len(active), np.uint64)
+    for k in range(width):
+        key = key << np.uint64(8) | data[active + k]
+    active = _split(bucket, active, key)
+    while width < length:
+        step = min(width, length - width)
+        active = active[left[active] >= width + step]
+        active = _split(bucket, active, bucket[active] << 32 | bucket[active + step])
+        width += step
+    owner = np.searchsorted(place, active, "right") - 1
+    return owner, active - place[owner]
 
 
 def _refined(contexts: DataFrame, length: int) -> DataFrame:
     """Rows (gram, ctx, spans): runs (a, b) of each context's suffixes whose string stands in another context too."""
 
     def told(keys: list, cut: list[bytes]) -> pa.RecordBatch:
-        owner, inner, first, later = _suffixes(cut, length)
-        begin = np.ones(len(owner), bool)
-        begin[1:] = owner[1:] != owner[:-1]
-        a, b = _runs(_repeated(first, later), begin)
+        owner, inner = repeated(cut, length)
+        breaks = np.ones(len(owner), bool)
+        breaks[1:] = (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)
+        a, b = _runs(np.ones(len(owner), bool), breaks)
         spans: list[list] = [[] for _ in cut]
         for o, x, y in zip(owner[a].tolist(), inner[a].tolist(), inner[b].tolist()):
             spans[o].append({"a": x, "b": y})
@@ -215,15 +234,15 @@ def _refined_apart(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, together: int = TOGETHER, with_text: bool = True) -> DataFrame:
-    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept: the bytes that are left.
+    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, n_kept and, with_text, kept: the bytes that are left.
 
     Every byte goes that a string of `length` bytes covers which also starts anywhere else, in the same text or another;
     strings are judged on the input. Suffixes are put into buckets by a q-gram of their first `length` bytes (_stretches),
     which only suffixes of equal strings need share. Stretches whose strings all occur twice are settled by counting;
-    only where a bucket holds different surroundings are its suffixes refined: by the bucket of their first q-gram, then
-    within it by sorting on the bucket of the later offset. Buckets are identified by 64-bit hashes, and a string by two
-    of them; nothing is decided by fewer than 128 bits. A bucket with more than `together` contexts is refined by
-    shuffles on the suffixes' own buckets, so none has to fit a task.
+    only where a bucket holds different surroundings are its suffixes refined, in the tasks that hold whole buckets
+    (repeated). Pivot buckets are found by 64-bit hashes, and stretches and the strings of the largest buckets are told
+    apart by two of them; nothing is decided by fewer than 128 bits. A bucket with more than `together` contexts is
+    refined by shuffles on the buckets of its suffixes' first half and later offset, so none has to fit a task.
 
     Null counts as empty; texts under `length` bytes keep all; repeated rows repeat each other's strings, so they lose
     them; matches never cross texts; rows without an id are handled like others; an empty table gives an empty one.
@@ -259,7 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     text = unpack.decompress(packed)
                     cover = lists.values
                     if cover is None or not len(cover):
-                        told.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text if with_text else None))
+                        told.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), len(text), text if with_text else None))
                         continue
                     step = np.zeros(len(text) + 1, np.int32)
                     np.add.at(step, np.asarray(cover.field("a")), 1)
@@ -267,8 +286,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     lost = np.cumsum(step)[:-1] > 0
                     kept = np.frombuffer(text, np.uint8)[~lost].tobytes()
                     spans = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum())
-                    told.append((len(text), int(lost.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([t[i] for t in told], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    told.append((len(text), int(lost.sum()), spans, hashlib.sha256(kept).hexdigest(), len(kept), kept if with_text else None))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([t[i] for t in told], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept"])
 
-    cut = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept binary")
     return (cut if with_text else cut.drop("kept")).withColumnRenamed("id", id_col)
