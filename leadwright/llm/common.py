@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,43 +12,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadwright.sources.shared import shared_folder, written
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed and carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A word: a maximal run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="leadwright-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of the shared folder that nothing else uses."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read back: later jobs start from the files, also after a lost executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library wrote."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def glob(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, in any file system that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return [f.getPath().toString() for f in found or []]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +53,7 @@ def worker_state() -> dict:
 
 
 #: Bytes of texts that are worked on at once, or one longer text.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 def text_groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -37,8 +37,18 @@ class BlockedBloom:
     def __init__(self, keys: DataFrame, key: str, n_blocks: int):
         self.n_blocks = n_blocks
         words = keys.select(self._block(F.col(key)).alias("block"), *(self._bit(F.col(key), i).alias(f"w{i}") for i in range(WORDS)))
-        blocks = words.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
-        self.blocks = F.broadcast(blocks) if n_blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES else blocks
+        self.blocks = self._sent(words.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS))))
+
+    @classmethod
+    def stored(cls, blocks: DataFrame, n_blocks: int) -> BlockedBloom:
+        """A filter whose blocks were written before."""
+        out = cls.__new__(cls)
+        out.n_blocks = n_blocks
+        out.blocks = out._sent(blocks)
+        return out
+
+    def _sent(self, blocks: DataFrame) -> DataFrame:
+        return F.broadcast(blocks) if self.n_blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES else blocks
 
     def _block(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.n_blocks)).alias("block")

@@ -8,9 +8,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from leadwright.llm.components import connected_components
-from leadwright.llm.exact_dedup import DigestIndex, exact_duplicates
+from leadwright.llm.exact_dedup import DigestIndex, exact_duplicates, later_duplicates, normalised
 from leadwright.llm.simhash import fingerprint, linked, simhash_groups
-from leadwright.llm.suffix_dedup import remove_repeats
+from leadwright.llm.suffix_dedup import remove_repeats, repeated
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, simhash string, component_id string"
 
@@ -67,12 +67,43 @@ def test_exact_duplicates_edges(spark):
     assert exact_duplicates(clash).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
 
-def test_index_merges_runs(spark):
+def test_index_over_batches_and_levels(spark):
+    r = random.Random(4)
+    index, seen = DigestIndex(spark, fanout=2), {}
+    for batch in range(5):
+        rows = [(r.randrange(60), r.randrange(1000)) for _ in range(30)]
+        known = {x.digest: (x.keep_id, x.group_size) for x in index.lookup(docs(spark, rows, "digest long, id long")).collect()}
+        assert known == {d: (min(seen[d]), len(seen[d])) for d, _ in rows if d in seen}
+        index.flush(docs(spark, rows, "digest long, id long"))
+        for d, i in rows:
+            seen.setdefault(d, []).append(i)
+        before = index.live()
+        index.compact()
+        assert {tuple(x) for x in index.merged().collect()} == {(d, min(i), len(i)) for d, i in seen.items()}
+        assert index.run(before[0].run).count()  # a reader of the manifest before can finish
+    assert {x.level for x in index.live()} == {0, 2}
+    index.compact(whole=True)
+    assert len(index.live()) == 1 and {tuple(x) for x in index.run(index.live()[0].run).collect()} == {(d, min(i), len(i)) for d, i in seen.items()}
+
+
+def test_half_written_change_is_not_seen(spark):
     index = DigestIndex(spark)
-    index.flush(docs(spark, [(1, 5), (2, 6)], "digest long, id long"))
-    index.flush(docs(spark, [(1, 3), (9, 1)], "digest long, id long"))
-    index.compact()
-    assert {tuple(r) for r in index.merged().collect()} == {(1, 3, 2), (2, 6, 1), (9, 1, 1)}
+    index.flush(docs(spark, [(1, 5)], "digest long, id long"))
+    docs(spark, [("nothing", 0, 1, True)], "run string, level int, rows long, live boolean").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{index.path}/manifest-2")
+    assert [tuple(x) for x in index.merged().collect()] == [(1, 5, 1)]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_later_batch_against_the_index(spark, weak):
+    digest = (lambda c: F.pmod(F.xxhash64(c), F.lit(3))) if weak else F.xxhash64
+    corpus = docs(spark, [(3, "a  b"), (2, "a b"), (5, None), (9, "z")])
+    index = DigestIndex(spark)
+    batch = docs(spark, [(20, "a\tb"), (20, "a\tb"), (21, ""), (22, "new"), (23, "A b")])
+    assert later_duplicates(batch, index, corpus).count() == 0
+    index.flush(corpus.select(digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").alias("id")))
+    got = sorted(map(tuple, later_duplicates(batch, index, corpus, digest=digest).collect()))
+    assert set(got) <= {(20, 2), (21, 5)} and (weak or got == [(20, 2), (20, 2), (21, 5)])
+    assert later_duplicates(batch.limit(0), index, corpus).count() == 0
 
 
 def simhash_brute(text, n=3):
@@ -141,13 +172,25 @@ def repeats_brute(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "together", "letters"), [(8, 4000, "ab"), (12, 1, "abc"), (40, 2, "abcdefgh")])
+@pytest.mark.parametrize("length", [2, 6, 8, 12, 40, 400])
+def test_bucket_refinement_by_hand(length):
+    r = random.Random(length)
+    base = [bytes(r.choice(b"ab") for _ in range(length + 30)) for _ in range(3)]
+    cut = [bytes(r.choice(b"ab") for _ in range(r.randrange(20))) + r.choice(base)[r.randrange(20) :] + bytes(r.choice(b"ab") for _ in range(r.randrange(20))) for _ in range(25)]
+    cut += [b"", b"a", b"ab" * length]
+    seen = Counter(c[i : i + length] for c in cut for i in range(len(c) - length + 1))
+    want = [(o, i) for o, c in enumerate(cut) for i in range(len(c) - length + 1) if seen[c[i : i + length]] > 1]
+    owner, inner = repeated(cut, length)
+    assert list(zip(owner.tolist(), inner.tolist())) == want and want
+
+
+@pytest.mark.parametrize(("length", "together", "letters"), [(8, 4000, "ab"), (12, 1, "abc"), (40, 2, "abcdefgh"), (400, 4000, "abcdefgh"), (400, 1, "ab")])
 def test_repeats(spark, monkeypatch, length, together, letters):
     """Small pieces and chunks, so that texts are cut; together: buckets beyond it are refined by shuffles."""
     from leadwright.llm import suffix_dedup
 
-    monkeypatch.setattr(suffix_dedup, "PIECE", 50)
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 50 + length)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300 + 2 * length)
     r = random.Random(length)
     text = lambda n: "".join(r.choice(letters) for _ in range(n))
     shared = [text(length + d) for d in (-1, 0, 1, 30)]
