@@ -159,8 +159,12 @@ class Mixture:
         rows = self.docs.drop("shard", "place", "from").withColumns({"_text_key": F.xxhash64(self.text_col), "_source_key": self.source_key(F.col(self.source_col))})
         places = self.placed.where("size > 0").select("source_key", "start", F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("source_key").alias("_source"), "size")
         uses = self.ranges().join(places, ["source_key", "start"]).groupBy("_id", "_key", "_source").agg(F.max("size").alias("_size"), F.collect_list(F.struct("shard", "place", "from", "n")).alias("_uses"))
+        key = [F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("source_key").alias("_source")]
+        twins = self.placed.where("size > 0").groupBy(*key).agg(F.count("*").alias("_alike")).where("_alike > 1")
+        uses = uses.join(twins.select(F.col("_id").alias("_of"), F.col("_key").alias("_of_key"), F.col("_source").alias("_of_source"), "_alike"), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_of_key")) & (F.col("_source") == F.col("_of_source")), "left")
         same = F.col(self.id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & (F.col("_source_key") == F.col("_source"))
-        once = rows.dropDuplicates([self.id_col, "_text_key", "_source_key"]).join(uses, same)
+        found = rows.join(uses, same)
+        once = found.where("_alike is null").union(found.where("_alike > 1").dropDuplicates([self.id_col, "_text_key", "_source_key"]))
         words = F.regexp_extract_all(F.col(self.text_col), F.lit(rf"(?:{SPACE})?{WORD}(?:{SPACE}\z)?"), F.lit(0))
         whole = (F.size("_uses") == 0) | F.forall("_uses", lambda u: u["n"] == F.col("_size"))
         # The words are made once a document: as the one element of an array that the stretches are cut from.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ EM_ROUNDS, LEAST = 2, 0.01
 #: Expected counts of a part are rounded to a share of 1 / SCALE, so that their sums do not depend on the order.
 SCALE = 1 << 20
 #: Distinct stretches that a task counts before it hands them on; the table has room for twice as many.
-COUNTED = 1 << 18
+COUNTED = 1 << 17
 #: In a lattice, a character that no piece covers.
 UNCOVERED = -2
 #: Characters whose lattice is held at once, and those of the longest part that is cut with others.
@@ -113,6 +114,7 @@ class Codec:
         self.code_of = np.zeros(0x110000, np.int32)
         self.code_of[[ord(c) for c in self.trie.codes]] = list(self.trie.codes.values())
         self.base, self.check, self.value = (np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self.trie.base, self.trie.check, self.trie.value = (array("i", x.tolist()) for x in (self.base, self.check, self.value))  # for single steps
         self.longest = max(map(len, words))
         self.room = room
         self.use(self.by_rank)

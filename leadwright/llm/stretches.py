@@ -9,9 +9,9 @@ import numpy as np
 from leadwright.llm.grams import BASES, VALUES, mixed, powers
 
 #: Stretches that a worker process remembers, about 60 bytes each, and bytes of the longest that it does.
-ROOM, LONGEST = 1 << 20, 64
+ROOM, LONGEST = 1 << 19, 64
 #: Bytes that are hashed at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: What tells the first stretch of a text from one with the same bytes further on.
 HEAD = np.uint64(0x8F1BBCDC5A827999)
 
