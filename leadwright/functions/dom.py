@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+from leadwright.functions.addresses import Scanner
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN, NOISE = ("script", "style", "template"), ("script", "style", "noscript", "template")
 CONTAINER, ROW = 600, 5000
 
-#: What signals() gives for a page, as Spark DDL.
-SIGNALS = (
-    "title string, page_name string, text string, found array<struct<seq:int,rung:string,kind:string,raw:string,parent:int,container:string,headers:array<string>,cells:array<string>,row_text:string,start:int,end:int>>,"
-    " links array<struct<pos:int,href:string,text:string,rel:array<string>>>"
-)
+#: What signals() and links() give for a page, as Spark DDL.
+SIGNALS = "title string, page_name string, found array<struct<seq:int,rung:string,kind:string,raw:string,parent:int,container:string,headers:array<string>,cells:array<string>,row_text:string,near:string,snippet:string>>"
+LINKS = "array<struct<pos:int,url:string,text:string,rel:array<string>>>"
 
 
 class _Node:
@@ -49,34 +49,46 @@ class _Node:
 
 
 class _Page(HTMLParser):
-    """A light tree. An end tag closes up to the nearest open element of its name; others that are open inside it end with it."""
+    """A light tree. An end tag closes up to the nearest open element of its name; others that are open inside it end with it.
+
+    The open elements of each tag are kept, so that a tag is looked up among them and not by walking up.
+    """
+
+    #: Tags that end an open element of their own inside the nearest of these.
+    SAME = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "p": ("div", "td", "body", "li", "section", "article")}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("#page", {}, None, 0)
         self.nodes: list[_Node] = []
+        self.open: dict[str, list[_Node]] = {}
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        same = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "p": ("div", "td", "body", "li", "section", "article")}
-        if tag in same:  # these end the one before them
+    def innermost(self, tag: str) -> int:
+        """The number of the innermost open element of a tag; 0 if there is none. Of open elements the inner one has the larger number."""
+        return self.open[tag][-1].number if self.open.get(tag) else 0
+
+    def close_to(self, tag: str) -> None:
+        """Close the innermost element of a tag and all that is open inside it."""
+        while True:
             node = self.at
-            while node.parent and node.tag not in same[tag]:
-                if node.tag == tag:
-                    self.at = node.parent
-                    break
-                node = node.parent
+            self.open[node.tag].pop()
+            self.at = node.parent
+            if node.tag == tag:
+                return
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.SAME and self.innermost(tag) > max(self.innermost(t) for t in self.SAME[tag]):
+            self.close_to(tag)
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.at, len(self.nodes) + 1)
         self.at.items.append(node)
         self.nodes.append(node)
         if tag not in VOID:
             self.at = node
+            self.open.setdefault(tag, []).append(node)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
+        if self.open.get(tag):
+            self.close_to(tag)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Sections such as `<![if x]>` are comments."""
@@ -86,6 +98,13 @@ class _Page(HTMLParser):
         self.at.items.append(data)
 
 
+def _read(html: str | None) -> _Page:
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    return page
+
+
 def _ends(nodes: list[_Node]) -> list[int]:
     """For each number, that of the last node in its subtree: nodes are numbered as they open, so a subtree is a run of numbers."""
     last = list(range(len(nodes) + 1))
@@ -99,11 +118,26 @@ def _below(node: _Node, nodes: list[_Node], last: list[int], tags: tuple) -> lis
     return [x for x in nodes[node.number : last[node.number]] if x.tag in tags]
 
 
-def signals(html: str | None, email: str, bracketed: str, most_chars: int) -> dict:
-    """Title, first itemprop=name, text, what may be contacts (raw) and links of a page. Nothing is judged here. most_chars: characters of the text that are scanned for addresses; 0: all."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
+def links(html: str | None, base: str | None) -> list[dict]:
+    """Links of a page in document order, absolute; those that cannot be resolved against the base are left out."""
+    found, pos = [], 0
+    for a in _read(html).nodes:
+        if a.tag == "a" and (href := a.attrs.get("href", "").strip()):
+            try:
+                found.append({"pos": pos, "url": urljoin(base, href), "text": "".join(a.strings()).strip().lower()[:100], "rel": a.attrs.get("rel", "").lower().split()})
+            except ValueError:
+                pass
+            pos += 1
+    return found
+
+
+def signals(html: str | None, scanner: Scanner, most_chars: int = 0, near: int = 300, snippet: int = 200) -> dict:
+    """Title, first itemprop=name, and what may be contacts (raw) of a page. Nothing is judged here.
+
+    Addresses of the running text carry the text around them, `near` and `snippet` characters to both sides. most_chars:
+    characters of the text that are scanned for addresses; 0: all.
+    """
+    page = _read(html)
     found: list[dict] = []
 
     def add(rung: str, kind: str, raw: str, node: _Node | None = None, **more) -> None:
@@ -132,13 +166,9 @@ def signals(html: str | None, email: str, bracketed: str, most_chars: int) -> di
                 add("table_block", "row", row_text, row, headers=headers, cells=cells, row_text=row_text)
     text = " ".join(page.root.strings())
     scanned = text[:most_chars] if most_chars else text
-    for kind, pattern in (("email", email), ("bracketed", bracketed)):
-        for m in re.finditer(pattern, scanned, re.IGNORECASE):
-            add("proximity_text", kind, m[0], start=m.start(), end=m.end())
-    links = []
-    for a in page.nodes:
-        if a.tag == "a" and (href := a.attrs.get("href", "").strip()):
-            links.append({"pos": len(links), "href": href, "text": "".join(a.strings()).strip().lower()[:100], "rel": a.attrs.get("rel", "").lower().split()})
+    for kind, places in (("email", scanner.plain(scanned)), ("bracketed", scanner.with_marks(scanned))):
+        for start, end in places:
+            add("proximity_text", kind, scanned[start:end], near=text[max(start - near, 0) : end + near], snippet=text[max(start - snippet, 0) : end + snippet])
     title = next((t for n in page.nodes if n.tag == "title" and (t := "".join(n.strings()).strip())), "")
     names = (x.text(NOISE) for x in page.nodes if x.attrs.get("itemprop") == "name")
-    return {"title": title, "page_name": next((n[:80] for n in names if n), None), "text": text, "found": found, "links": links}
+    return {"title": title, "page_name": next((n[:80] for n in names if n), None), "found": found}

@@ -8,52 +8,58 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadwright.functions.dom import SIGNALS, signals
+from leadwright.functions.addresses import Scanner
+from leadwright.functions.dom import LINKS, SIGNALS, links, signals
 from leadwright.functions.score import provenance
 from leadwright.functions.text import (
-    bracketed_pattern, cell_at, channel_of, clean_emails, clip_designation, designation_in, emails_in, header_map, name_in, plain_email, unbracketed, window_around, words_joined,
+    cell_at, channel_of, clean_emails, clip_designation, designation_in, emails_in, header_map, name_in, plain_email, unbracketed, words_joined,
 )
 from leadwright.functions.url import department_of
 from leadwright.policy import HEADER_WORDS, RUNGS, Policy
 from leadwright.sources.shared import written
 
 
+#: What a page may make the reader raise.
+UNREADABLE = (ValueError, AssertionError, RecursionError)
+
+
 def page_signals(pages: DataFrame, policy: Policy = Policy(), html: str = "html") -> DataFrame:
-    """pages without the html, with the signals of functions.dom; a page that cannot be read has none."""
-    email, bracketed, most = policy.email, bracketed_pattern(policy.obfuscation).removeprefix("(?i)"), policy.max_input_chars
+    """pages without the html, with the signals of functions.dom, which replace columns of their names; a page that cannot be read has none."""
+    pattern, pairs = policy.email, policy.obfuscation
+    sizes = policy.max_input_chars, policy.proximity_chars, policy.context_chars
 
     @F.pandas_udf(SIGNALS)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(pattern, pairs)
+
         def one(page: str | None) -> dict:
             try:
-                return signals(page, email, bracketed, most)
-            except (ValueError, AssertionError, RecursionError):
-                return {"title": "", "page_name": None, "text": "", "found": [], "links": []}
+                return signals(page, scanner, *sizes)
+            except UNREADABLE:
+                return {"title": "", "page_name": None, "found": []}
 
         for batch in batches:
-            yield pd.DataFrame([one(x) for x in batch], columns=["title", "page_name", "text", "found", "links"])
+            yield pd.DataFrame([one(x) for x in batch], columns=["title", "page_name", "found"])
 
-    read = pages.withColumn("_page", of(F.col(html)))
-    return read.select(*(c for c in pages.columns if c != html), "_page.*")
+    kept = [c for c in pages.columns if c not in (html, "title", "page_name", "found")]
+    return pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), of(F.col(html)).alias("told")).select("row.*", "told.*")
 
 
 def page_links(pages: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(page_id, pos, url, text, rel): absolute links in document order. The join of base and reference follows RFC 3986."""
-
-    @F.pandas_udf("string")
-    def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
-        from urllib.parse import urljoin
+    """(page_id, pos, url, text, rel): absolute links in document order. The join of base and reference follows RFC 3986, in the pass that reads the page."""
 
-        def one(b: str, h: str) -> str | None:
+    @F.pandas_udf(LINKS)
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def one(page: str | None, base: str | None) -> list[dict]:
             try:
-                return urljoin(b, h)
-            except ValueError:
-                return None
+                return links(page, base)
+            except UNREADABLE:
+                return []
 
-        return pd.Series([one(b, h) for b, h in zip(base, href)], dtype="object")
+        for html, base in batches:
+            yield pd.Series([one(h, b) for h, b in zip(html, base)], dtype="object")
 
-    links = page_signals(pages, policy).select("page_id", F.col("url").alias("base"), F.explode("links").alias("l"))
-    return links.select("page_id", "l.pos", absolute("base", "l.href").alias("url"), "l.text", "l.rel").where("url is not null")
+    return pages.select("page_id", F.explode(of("html", "url")).alias("l")).select("page_id", "l.pos", "l.url", "l.text", "l.rel")
 
 
 def extract_leads(pages: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -65,7 +71,7 @@ def extract_leads(pages: DataFrame, policy: Policy = Policy()) -> DataFrame:
     Pages are read once, into the shared folder. Rows that repeat a page count as one; a null page has no leads.
     """
     read = written(page_signals(pages.select("page_id", "url", "html"), policy), "page-signals")
-    about = read.select("page_id", "url", "title", "page_name", "text").dropDuplicates(["page_id"])
+    about = read.select("page_id", "url", "title", "page_name").dropDuplicates(["page_id"])
     found = read.select("page_id", F.explode("found").alias("f")).select("page_id", "f.*")
 
     rank = F.array_position(F.array(*map(F.lit, RUNGS)), F.col("rung"))
@@ -79,7 +85,7 @@ def extract_leads(pages: DataFrame, policy: Policy = Policy()) -> DataFrame:
     entity = Window.partitionBy("page_id", "email")
     context = (F.col("rung").isin("table_block", "proximity_text")) & ~F.col("marked")
     ranked = addresses.withColumn("n", F.row_number().over(entity.orderBy("order")))
-    fields = F.struct("rung", "headers", "cells", "row_text", "start", "end")
+    fields = F.struct("rung", "headers", "cells", "row_text", "near")
     other = F.min_by(F.when((F.col("n") > 1) & context, fields), F.when((F.col("n") > 1) & context, F.col("order"))).over(entity)
     first_seen = F.min(F.struct("marked", "seq", "sub")).over(entity)
     winners = ranked.withColumns({"other": other, "seen": first_seen}).where("n = 1")
@@ -124,11 +130,9 @@ def _enriched(rows: DataFrame, policy: Policy) -> DataFrame:
     rows = rows.withColumns({f"place_{k}": v for k, v in own.items()})
     other = header_map(F.col("other.headers"), HEADER_WORDS)
     rung = F.col("rung")
-    near = window_around(F.col("text"), F.col("start"), F.col("end"), policy.proximity_chars)
-    text = F.when(rung == "table_block", F.col("row_text")).when(rung == "proximity_text", near).otherwise(F.coalesce("container", F.lit("")))
-    far = window_around(F.col("text"), F.col("other.start"), F.col("other.end"), policy.proximity_chars)
-    other_text = F.when(F.col("other.rung") == "table_block", F.col("other.row_text")).when(F.col("other.rung") == "proximity_text", far)
-    snippet = F.when(rung == "proximity_text", words_joined(window_around(F.col("text"), F.col("start"), F.col("end"), policy.context_chars))).otherwise(F.substring(text, 1, 300))
+    text = F.when(rung == "table_block", F.col("row_text")).when(rung == "proximity_text", F.col("near")).otherwise(F.coalesce("container", F.lit("")))
+    other_text = F.when(F.col("other.rung") == "table_block", F.col("other.row_text")).when(F.col("other.rung") == "proximity_text", F.col("other.near"))
+    snippet = F.when(rung == "proximity_text", words_joined(F.col("snippet"))).otherwise(F.substring(text, 1, 300))
     name = F.coalesce(cell_at(F.col("cells"), F.col("place_name")), name_in(text, policy.title_prefixes), cell_at(F.col("other.cells"), other["name"]), name_in(other_text, policy.title_prefixes))
     post = F.coalesce(clip_designation(cell_at(F.col("cells"), F.col("place_designation"))), designation_in(text, policy.designation_keywords), clip_designation(cell_at(F.col("other.cells"), other["designation"])), designation_in(other_text, policy.designation_keywords))
     none = F.lit(None).cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadwright.functions import score as S
 from leadwright.functions import text as T
 from leadwright.functions import url as U
+from leadwright.functions.addresses import marked_spans, with_places
 from leadwright.operators import attribution, domains, extract, fold, frontier, history, jobs, leads, outreach, rbac
 from leadwright.plans import streams
 from leadwright.plans import views as V
@@ -212,9 +213,8 @@ def text_emails(spark, d):
 def text_email_context(spark, d):
     """Every address of a text with what stands around it."""
     p = Policy()
-    rows = V.table(spark, d, "documents").select("doc_id", "text", F.posexplode(T.with_places(F.col("text"), p.email)).alias("n", "found"))
-    start, email = F.col("found.start"), F.col("found.match")
-    return rows.select("doc_id", start.alias("start"), email.alias("email"), T.words_joined(T.window_around(F.col("text"), start, start + F.length(email), p.context_chars)).alias("context_snippet"))
+    found = V.table(spark, d, "documents").where("contains(text, '@')").select("doc_id", F.explode(with_places(F.col("text"), p.email, p.context_chars)).alias("f"))
+    return found.select("doc_id", "f.start", F.col("f.match").alias("email"), T.words_joined(F.col("f.around")).alias("context_snippet"))
 
 
 _MARKED = "replace(replace(text, '@', ' [at] '), '.', '[dot]')"
@@ -230,7 +230,7 @@ def bracketed_emails(spark, d):
     """Addresses whose signs were replaced by markers, found and resolved again."""
     p = Policy()
     marked = F.replace(F.replace("text", F.lit("@"), F.lit(" [at] ")), F.lit("."), F.lit("[dot]"))
-    rows = V.table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(marked, F.lit(T.bracketed_pattern(p.obfuscation)), F.lit(0))).alias("span"))
+    rows = V.table(spark, d, "documents").select("doc_id", F.explode(marked_spans(marked, p.obfuscation)).alias("span"))
     return rows.select("doc_id", T.unbracketed(F.col("span"), p.obfuscation, p.email, p.valid_suffixes).alias("email")).where("email is not null")
 
 

@@ -1,9 +1,11 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from leadwright.functions.text import bracketed_pattern, unbracketed
+from leadwright.functions.addresses import Scanner, marked_spans
+from leadwright.functions.text import unbracketed
 from leadwright.operators.extract import extract_leads, page_links
 from leadwright.policy import Policy
 
@@ -60,7 +62,7 @@ def test_addresses_in_markers(spark, written, address, channel):
 def test_marker_pattern_needs_both_signs(spark):
     text = spark.range(1).select(F.lit("a [at] b [dot] com").alias("t"))
     for pairs, want in ((POLICY.obfuscation, "a@b.com"), (POLICY.obfuscation[:1], None), (POLICY.obfuscation[2:4], None)):
-        spans = text.select(F.get(F.regexp_extract_all("t", F.lit(bracketed_pattern(pairs)), F.lit(0)), 0).alias("s"))
+        spans = text.select(F.get(marked_spans(F.col("t"), pairs), 0).alias("s"))
         assert spans.select(unbracketed(F.col("s"), pairs, POLICY.email, POLICY.valid_suffixes)).first()[0] == want
 
 
@@ -103,6 +105,23 @@ def test_nested_tables_and_many_rows():
 
     inner = "<table><tr><th>x</th></tr><tr><td>in@x.com</td></tr></table>"
     html = f"<table><tr><th>Name</th><th>Mail</th></tr><tr><td>A</td><td>a@x.com{inner}</td></tr></table>" + "<table>" + "<tr><td>n</td><td>b@x.com</td></tr>" * 3000 + "</table>"
-    rows = [f for f in signals(html, POLICY.email, "(?!)", 0)["found"] if f["rung"] == "table_block"]
+    rows = [f for f in signals(html, Scanner(POLICY.email, ()))["found"] if f["rung"] == "table_block"]
     assert rows[0]["headers"] == ["name", "mail"] and rows[0]["cells"][0] == "A" and len([f for f in rows if f["cells"] == ["n", "b@x.com"]]) == 2999
     assert any(f["row_text"] == "in@x.com" for f in rows)
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    from leadwright.functions.dom import links, signals
+
+    began = time.perf_counter()
+    for html in ("<div>" * 100_000 + "a@b.com", "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "<p>x" * 50_000, "<td><li>" * 30_000 + "</table>" * 30_000):
+        assert {f["raw"] for f in signals(html, Scanner(POLICY.email, POLICY.obfuscation))["found"]} <= {"a@b.com"}
+        assert links(html, "https://a.com/") == []
+    assert time.perf_counter() - began < 20
+
+
+def test_columns_named_like_signals(spark):
+    from leadwright.operators.extract import page_signals
+
+    pages = spark.createDataFrame([(1, "x", "y", "<title>T</title>")], "page_id long, title string, told string, html string")
+    assert page_signals(pages).select("page_id", "told", "title").first() == (1, "y", "T")
