@@ -156,19 +156,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Without a toxic document all scores are low.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("of_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    rows = rows.join(known, F.col("id") == F.col("of_id"), "left").select("body", (F.coalesce("label", F.lit(0)) == 1).alias("toxic"), F.col("label").isNotNull().alias("told"), F.xxhash64("id", "body").alias("h"))
-    n = rows.agg(F.count("*").alias("docs"), F.count_if("toxic").alias("toxic"), F.count_if("told").alias("told")).first()
+    n = known.agg(F.count("*").alias("told"), F.count_if(F.col("label") == 1).alias("toxic")).first()
     if prior is None:
         prior = n["toxic"] / n["told"] if n["told"] > n["toxic"] else PRIOR
     prior = min(max(prior, RANGE[0]), RANGE[1])
     if not n["toxic"]:
         return Toxicity({}, float(np.log(prior / (1 - prior))), prior, PENALTIES[0])
-    point = F.pmod("h", F.lit(1_000_003)) / 1_000_003.0
-    other = F.pmod(F.xxhash64("h"), F.lit(1_000_003)) / 1_000_003.0
-    drawn = rows.select("body", "h", (F.col("toxic") & (point * n["toxic"] < POSITIVES)).cast("int").alias("p"), (other * n["docs"] < UNLABELLED).cast("int").alias("u")).where("p + u > 0")
+
+    def point(*of: str) -> Column:
+        """From 0 to 1, by a hash."""
+        return F.pmod(F.xxhash64(*of), F.lit(1_000_003)) / 1_000_003.0
+
+    toxic = known.where("label = 1").where(point("of_id") * n["toxic"] < POSITIVES).select("of_id")  # about POSITIVES ids at most, so they can be broadcast
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    rows = rows.join(F.broadcast(toxic), F.col("id") == F.col("of_id"), "left").withColumn("toxic", F.col("of_id").isNotNull())
+    size = rows.agg(F.count("*").alias("docs"), F.count_if("toxic").alias("toxic")).first()  # an id can stand in many rows
+    drawn = rows.select("body", (F.col("toxic") & (point("id", "body") * size["toxic"] < POSITIVES)).cast("int").alias("p"), (point("body", "id") * size["docs"] < UNLABELLED).cast("int").alias("u")).where("p + u > 0")
     told = written(_words(drawn, "body"), "toxicity-sample")
-    total = told.agg(F.sum("p").alias("p"), F.sum("u").alias("u")).first()
+    total = told.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("u"), F.lit(0)).alias("u")).first()
     by_word = told.select("p", "u", F.explode("words").alias("word")).where(F.char_length("word") <= LONGEST).groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     odds = [F.log((F.col(c) + 0.5) / (total[c] - F.col(c) + 0.5)) for c in ("p", "u")]
     sure = F.abs((odds[0] - odds[1]) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5)))
