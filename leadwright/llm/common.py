@@ -81,8 +81,12 @@ def mapped(df: DataFrame, source: str | Column, kinds: dict[str, str], make: Cal
     columns' names and types; they replace columns of the same names.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in kinds]
+    plain = [f"c{i}" for i in range(len(kept))]  # whatever they are called
+    new = [f"n{i}" for i in range(len(kinds))]
     there = isinstance(source, str) and source in kept
-    rows = df.select(*(f"`{c}`" for c in kept)) if there else df.select(*(f"`{c}`" for c in kept), (F.col(source) if isinstance(source, str) else source).alias("_source"))
+    of = F.col(f"`{source}`") if isinstance(source, str) else source
+    columns = [F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain)]
+    rows = df.select(*columns) if there else df.select(*columns, of.alias("source"))
     place = kept.index(source) if there else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +95,7 @@ def mapped(df: DataFrame, source: str | Column, kinds: dict[str, str], make: Cal
             work = work or make()
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *work(part.column(place).to_pylist())], names=[*kept, *kinds])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *work(part.column(place).to_pylist())], names=[*plain, *new])
 
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {k}" for c, k in kinds.items()]))
+    schema = ", ".join([f"{p} {df.schema[c].dataType.simpleString()}" for p, c in zip(plain, kept)] + [f"{n} {k}" for n, k in zip(new, kinds.values())])
+    return rows.mapInArrow(run, schema).toDF(*kept, *kinds)
