@@ -26,42 +26,52 @@ IN_RANGE = 50
 CHUNK = 1 << 18
 
 
-def _letters() -> np.ndarray:
-    """For each code point of the first plane: its lower-case letter, or space."""
-    table = np.full(1 << 16, 32, np.uint64)
-    for code in range(1 << 16):
-        char = chr(code)
-        if unicodedata.category(char)[0] in "LM":
-            low = char.lower()
-            table[code] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else code
-    return table
-
-
-def keys_of(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Letters above the first plane are told apart in this many code points of the private use area, which no letter of the first plane has.
+PRIVATE, PLACES = 0xE000, 6400
+
+
+def _folded(code: int) -> int:
+    """A letter's or a mark's 16 bits: its lower case, in the private use area for those above the first plane; a space for other characters."""
+    char = chr(code)
+    if unicodedata.category(char)[0] not in "LM":
+        return 32
+    code = ord(char.lower()) if len(char.lower()) == 1 else code
+    return code if code < 1 << 16 else PRIVATE + code % PLACES
+
+
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the first plane: its 16 bits, and whether it is a letter; a mark alone is none."""
+    table = np.array([_folded(code) for code in range(1 << 16)], np.uint64)
+    return table, np.array([unicodedata.category(chr(code))[0] == "L" for code in range(1 << 16)])
+
+
+def keys_of(texts: list[str | None], letters: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """N-gram keys of several texts, how many each text has, and each text's number of letters.
 
-    Letters are lower-cased, each run of other characters is one space, and a text stands after ORDER - 1 spaces and
-    before one, so it has a key for every letter and space. Code points above the first plane count as letters by their
-    low 16 bits if they are letters.
+    Letters and their marks are lower-cased, each run of other characters is one space, and a text stands after ORDER - 1
+    spaces and before one, so it has a key for every letter, mark and space.
     """
+    table, is_letter = letters
     codes = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.array([len(c) for c in codes])
     flat = np.concatenate([np.concatenate([np.zeros(ORDER - 1, np.uint32), c, np.zeros(1, np.uint32)]) for c in codes]) if codes else np.zeros(0, np.uint32)
     high = np.flatnonzero(flat >= 1 << 16)
-    low = flat.copy()
-    low[high] = [c & 0xFFFF if unicodedata.category(chr(c))[0] in "LM" else 32 for c in flat[high]]
-    mapped = letters[low]
-    mapped[high] = np.where(low[high] == 32, 32, low[high])
+    low = np.minimum(flat, (1 << 16) - 1)
+    mapped, letter = table[low], is_letter[low]
+    if len(high):
+        kinds, which = np.unique(flat[high], return_inverse=True)
+        mapped[high] = np.array([_folded(int(c)) for c in kinds], np.uint64)[which]
+        letter[high] = np.array([unicodedata.category(chr(c))[0] == "L" for c in kinds])[which]
     owner = np.repeat(np.arange(len(texts)), sizes + ORDER)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes + ORDER) - (sizes + ORDER), sizes + ORDER)
     keep = np.ones(len(flat), bool)
     keep[1:] = (mapped[1:] != 32) | (mapped[:-1] != 32) | (place[1:] < ORDER)
     lead = place < ORDER - 1
-    mapped, owner, lead = mapped[keep], owner[keep], lead[keep]
+    mapped, owner, lead, letter = mapped[keep], owner[keep], lead[keep], letter[keep]
     key = mapped.copy()
     for i in range(1, ORDER):
         key[i:] |= mapped[:-i] << np.uint64(16 * i)
-    key, owner, letter = key[~lead], owner[~lead], mapped[~lead] != 32
+    key, owner, letter = key[~lead], owner[~lead], letter[~lead]
     n = np.bincount(owner, minlength=len(texts))
     return key, n, np.bincount(owner[letter], minlength=len(texts))
 
@@ -207,7 +217,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = labelled.groupBy("lang").agg(F.count("*").alias("docs")).collect()  # a row for each language, as the models are
     if not share:
         return Identifier({})
-    number = F.element_at(F.create_map(*(F.lit(x) for row in share for x in (row["lang"], row["docs"]))), F.col("lang"))
+    numbers = docs.sparkSession.createDataFrame([(row["lang"], row["docs"]) for row in share], "lang string, docs long")
+    labelled, number = labelled.join(F.broadcast(numbers), "lang"), F.col("docs")
     point = F.pmod(F.col("h"), F.lit(1_000_003)) / 1_000_003.0
     drawn = labelled.withColumn("at", point * number / sample).where("at < 2").withColumn("counted", F.col("at") < F.least(F.lit(1.0), number / sample * 0.7))
     letters = _letters()
