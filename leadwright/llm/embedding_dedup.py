@@ -33,9 +33,14 @@ def blocks_of(size: int) -> list[slice]:
     return [slice(a, min(a + BLOCK, size)) for a in range(0, size, BLOCK)]
 
 
+def unscaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that the largest component is about 1: no product of theirs overflows or vanishes, and their cosines are the same to the bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
 def rotated(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors in the rotated space; vectors are scaled by their largest component first, so that none overflows."""
-    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    """Unit vectors in the rotated space."""
+    scaled = unscaled(vectors)
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)) @ rotation(vectors.shape[1])
 
 
@@ -178,7 +183,7 @@ def _met(tiles: DataFrame, threshold: float) -> DataFrame:
 
     def told(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, ...]:
         block = key[1] % 4096
-        vectors = np.stack([np.frombuffer(r[2], np.float32 if len(r[2]) == 4 * (key[1] // 4096) else np.float64) for r in rows]).astype(np.float64)
+        vectors = unscaled(np.stack([np.frombuffer(r[2], np.float32 if len(r[2]) == 4 * (key[1] // 4096) else np.float64) for r in rows]).astype(np.float64))
         points = rotated(vectors)
         rep, weight, own, shard = (np.array([r[c] for r in rows]) for c in (0, 1, 3, 4))
         pairs = [_matched(points, vectors, a, b, block, threshold) for a, b in _met_at_home(own, shard, key[3], key[4])]
@@ -255,6 +260,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     n_links counts other rows linked directly, component_id is the smallest id that links reach, itself included. Vectors
     that are null, empty or zero or hold null or non-finite components, and rows without a label, link with nothing.
+    Components may be as large or small as a double: vectors are scaled by powers of two before they are compared.
     Repeated rows are vectors of their own; an empty table gives an empty one.
     """
     base = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
