@@ -107,5 +107,5 @@ def explode_ids(jobs: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def first_arrivals(rows: DataFrame, key: Column, seq: str = "seq") -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(seq))).where("_n = 1").drop("_n")
+    """The first row of each key, found before the rows are shuffled."""
+    return rows.groupBy(key.alias("key")).agg(F.min_by(F.struct(*(f"`{c}`" for c in rows.columns)), seq).alias("first")).select("first.*")
