@@ -121,8 +121,10 @@ def cancelled(emails: DataFrame, campaign_id: int) -> DataFrame:
     return _moved(emails, (F.col("campaign_id") == campaign_id) & (F.col("status") == "QUEUED"), status=F.lit("FAILED"), error_message=F.lit("campaign cancelled"))
 
 
-def requeued(emails: DataFrame, ids: list[int]) -> DataFrame:
-    return _moved(emails, F.col("id").isin(ids) & (F.col("status") == "SENDING"), status=F.lit("QUEUED"), sending_since=_null_ts())
+def requeued(emails: DataFrame, ids: DataFrame) -> DataFrame:
+    """emails with those of ids (id) that were being sent queued again."""
+    asked = emails.join(ids.select(F.col("id").alias("_asked")).distinct(), F.col("id") == F.col("_asked"), "left")
+    return _moved(asked, F.col("_asked").isNotNull() & (F.col("status") == "SENDING"), status=F.lit("QUEUED"), sending_since=_null_ts()).drop("_asked")
 
 
 def claimed(emails: DataFrame, now: Column) -> DataFrame:

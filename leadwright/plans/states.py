@@ -13,7 +13,7 @@ from leadwright.functions import url as U
 from leadwright.operators import attribution, domains, fold, frontier, jobs, leads, outreach, rbac, rows
 from leadwright.plans import views as V
 from leadwright.plans.catalogue import query
-from leadwright.policy import Policy
+from leadwright.policy import DESIGNATION_END, HEADER_WORDS, Policy
 from leadwright.sources import catalog, transfer
 
 #: Tables of the engine over the fixture's; {name} is a fixture table.
@@ -119,9 +119,9 @@ def password_reset(spark, d):
     return sessions.join(users.select(F.col("id").alias("user_id"), "token_version"), "user_id").select("id", "token_version", "revoked_at")
 
 
-@query(having("sessions") + "select id, user_id from sessions where revoked_at is null and expires_at > timestamp '1996-01-01 00:00:00' order by created_at desc, id desc limit 40")
+@query(having("sessions") + "select id, user_id from sessions where revoked_at is null and expires_at > timestamp '1996-01-01 00:00:00'")
 def live_sessions(spark, d):
-    return rbac.live_sessions(made(spark, d, "sessions"), ts("1996-01-01 00:00:00")).orderBy(*rbac.session_order()).limit(40).select("id", "user_id")
+    return rbac.live_sessions(made(spark, d, "sessions"), ts("1996-01-01 00:00:00")).orderBy(*rbac.session_order()).select("id", "user_id")
 
 
 @query(having("sessions") + ", shown as (select sha256('t' || (event_id % 500)) as token_hash, ts as at from events), kept as (select sha256('t' || (id % 400)) as token_hash, user_id, revoked_at from sessions) select distinct k.user_id from shown s join kept k using (token_hash) where k.revoked_at is not null and s.at >= k.revoked_at")
@@ -151,16 +151,20 @@ def ownership(spark, d):
     return told.select("id", "others", rbac.owner_or(F.col("owner_id"), 3, F.col("id") % 2 == 0).alias("may_see"))
 
 
-@query("select n_nationkey as id, case when n_nationkey % 2 = 0 then 'perm.x,perm.y' else 'perm.x' end as unknown from nation")
+@query(f"""with asked as (select event_id as id, list_distinct(['leads.' || event_type, event_type || 's.view', 'leads.view']) as keys from events)
+    select id, array_to_string(list_sort(list_filter(keys, lambda k: k not in ({", ".join(f"'{p}'" for p in rbac.PERMISSIONS)}))), ',') as unknown from asked""")
 def unknown_permissions(spark, d):
-    keys = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("perm.x"), F.lit("leads.view"), F.lit("perm.y"))).otherwise(F.array(F.lit("perm.x"), F.lit("audit.view")))
-    return V.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array_join(rbac.unknown_permissions(keys), ",").alias("unknown"))
+    keys = F.expr("array(concat('leads.', event_type), concat(event_type, 's.view'), 'leads.view')")
+    return V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.array_join(F.array_sort(rbac.unknown_permissions(keys)), ",").alias("unknown"))
 
 
-@query(having("held") + ", overrides(user_id, permission_key, effect) as (values (1, 'a', 'deny'), (2, 'a', 'grant'), (1, 'b', 'grant')) select cast(user_id as bigint) as user_id, permission_key, effect from overrides where permission_key <> 'b'")
+@query("""with overrides as (select c_custkey as user_id, 'perm.' || (c_custkey % 5) as permission_key, case when c_acctbal < 0 then 'deny' else 'grant' end as effect from customer)
+    select * from overrides where not (user_id = 11 and permission_key in ('perm.1', 'perm.9')) and not (user_id = 12 and permission_key = 'perm.2')
+    union all select 11, 'perm.1', 'deny' union all select 11, 'perm.9', 'grant'""")
 def permission_override(spark, d):
-    rows = spark.createDataFrame([(1, "a", "grant"), (2, "a", "grant"), (1, "b", "grant")], "user_id long, permission_key string, effect string")
-    return rbac.override_set(rbac.override_set(rows, 1, "a", "deny"), 1, "b", None)
+    """One override changes, one goes and one is new."""
+    rows = V.table(spark, d, "customer").selectExpr("c_custkey as user_id", "concat('perm.', c_custkey % 5) as permission_key", "case when c_acctbal < 0 then 'deny' else 'grant' end as effect")
+    return rbac.override_set(rbac.override_set(rbac.override_set(rows, 11, "perm.1", "deny"), 12, "perm.2", None), 11, "perm.9", "grant")
 
 
 # Jobs
@@ -181,9 +185,9 @@ def job_moves(spark, d):
     return jobs.cancel_requested(jobs.resumed(rows, [14, 15, 16]), [19, 20, 21]).select("id", "status", "finished_at", "error_message", "cancel_requested")
 
 
-@query(having("jobs") + "select id, case when id = 10 then coalesce(agent_hostname, 'me') else agent_hostname end as agent_hostname, coalesce(id = 10 and case when id = 10 then coalesce(agent_hostname, 'me') end = 'me', false) as mine from jobs where id <= 40")
+@query(having("jobs") + "select id, case when id = 10 then coalesce(agent_hostname, 'me') else agent_hostname end as agent_hostname, coalesce(id = 10 and case when id = 10 then coalesce(agent_hostname, 'me') end = 'me', false) as mine from jobs")
 def job_claim(spark, d):
-    return jobs.claimed(made(spark, d, "jobs").where("id <= 40"), 10, "me").select("id", "agent_hostname", F.coalesce("mine", F.lit(False)).alias("mine"))
+    return jobs.claimed(made(spark, d, "jobs"), 10, "me").select("id", "agent_hostname", F.coalesce("mine", F.lit(False)).alias("mine"))
 
 
 @query(having("jobs", "campaigns") + """, labels as (select *, 'Job #' || id || ' (' || coalesce(nullif(title_filter, ''), nullif(category_filter, ''), source_type, 'all') || ')' as label from jobs)
@@ -209,13 +213,13 @@ def job_adoption(spark, d):
     return jobs.adopted(made(spark, d, "jobs"), made(spark, d, "users")).select("id", "owner_id")
 
 
-@query(having("jobs", "found") + """select 'job' as kind, id, '' as value from jobs where id <= 20 union all select 'job', 5001, '' union all select distinct 'domain', 5001, cast(source_domain_id as varchar) from found
-    union all select 'url', 5001, title from found where seq < 50 group by title""")
+@query(having("jobs", "found") + """select 'job' as kind, id, '' as value from jobs union all select 'job', 5000001, '' union all select distinct 'domain', 5000001, cast(source_domain_id as varchar) from found
+    union all select 'url', 5000001, title from found group by title""")
 def job_creation(spark, d):
     """A job with its domains and addresses, each once."""
-    rows, new = made(spark, d, "jobs").where("id <= 20").select("id", "status"), spark.createDataFrame([(5001, "pending")], "id long, status string")
-    found = made(spark, d, "found").select(F.lit(5001).cast("long").alias("job_id"), F.col("source_domain_id").alias("domain_id"), "title", "seq")
-    urls = found.where("seq < 50").select("job_id", F.col("title").alias("url"), "seq")
+    rows, new = made(spark, d, "jobs").select("id", "status"), spark.createDataFrame([(5000001, "pending")], "id long, status string")
+    found = made(spark, d, "found").select(F.lit(5000001).cast("long").alias("job_id"), F.col("source_domain_id").alias("domain_id"), "title", "seq")
+    urls = found.select("job_id", F.col("title").alias("url"), "seq")
     all_jobs, of_domains, of_urls = jobs.created(rows, new, found, urls.union(urls))
     return all_jobs.select(F.lit("job").alias("kind"), "id", F.lit("").alias("value")).union(of_domains.select(F.lit("domain"), "job_id", F.col("domain_id").cast("string"))).union(of_urls.select(F.lit("url"), "job_id", "url"))
 
@@ -260,15 +264,14 @@ def campaign_kinds_merge(spark, d):
 
 @query("with " + V.MAIL + """ select id, case when campaign_id = 2 and status = 'DRAFT' and (is_selected or id % 3 = 0) then 'QUEUED' when campaign_id = 3 and status = 'QUEUED' then 'FAILED' when id < 400 and status = 'SENDING' then 'QUEUED' when campaign_id = 5 and status = 'QUEUED' then 'DRAFT' else status end as status,
     case when campaign_id = 2 and status = 'DRAFT' and id % 3 = 0 then true when campaign_id = 5 and status in ('DRAFT', 'QUEUED') then false else is_selected end as is_selected,
-    case when campaign_id = 3 and status = 'QUEUED' then 'campaign cancelled' end as error_message from mail where campaign_id <= 5""")
+    case when campaign_id = 3 and status = 'QUEUED' then 'campaign cancelled' end as error_message from mail""")
 def mail_moves(spark, d):
     """Campaign 2 selects a third and is queued, campaign 3 is cancelled, campaign 5 is deselected, and e-mails below 400 are queued again."""
     c = F.col
-    rows = V.mail(spark, d).where("campaign_id <= 5")
-    rows = outreach.selected(rows, (c("campaign_id") == 2) & (c("id") % 3 == 0) & (c("status") == "DRAFT"), True)
+    rows = outreach.selected(V.mail(spark, d), (c("campaign_id") == 2) & (c("id") % 3 == 0) & (c("status") == "DRAFT"), True)
     rows = outreach.cancelled(outreach.queued(rows, 2), 3)
     rows = outreach.selected(rows, c("campaign_id") == 5, False)
-    return outreach.requeued(rows, list(range(400))).select("id", "status", "is_selected", "error_message")
+    return outreach.requeued(rows, V.mail(spark, d).where("id < 400").select("id")).select("id", "status", "is_selected", "error_message")
 
 
 @query("with " + V.MAIL + " select bool_or(status = 'DRAFT' and is_selected) as drafts, bool_or(status = 'QUEUED') as queued from mail where campaign_id = 7")
@@ -276,9 +279,9 @@ def mail_remaining(spark, d):
     return outreach.remaining(V.mail(spark, d), 7)
 
 
-@query("with " + V.MAIL + " select id, case when id = 33 then 'New' else 's' end as subject, case when id = 33 then 'text' else 'b' end as body from mail where id < 200")
+@query("with " + V.MAIL + " select id, case when id = 33 then 'New' else 's' end as subject, case when id = 33 then 'text' else 'b' end as body from mail")
 def mail_edit(spark, d):
-    return outreach.edited(V.mail(spark, d).where("id < 200"), 33, "New", "text").select("id", "subject", "body")
+    return outreach.edited(V.mail(spark, d), 33, "New", "text").select("id", "subject", "body")
 
 
 _OUTCOME = "case when error = 'auth' then 'auth' when error = 'network' then 'network' when code is null then 'sent' when code in (550, 553) then 'bounced' when code in (421, 450, 451) then 'throttled' else 'refused' end"
@@ -314,9 +317,9 @@ def addresses_to_leads(spark, d):
     return outreach.with_lead_ids(given, V.leads(spark, d)).select("email", "lead_id")
 
 
-@query("select p_partkey as id, case when p_partkey = 5 then 'Hello' else p_name end as subject, p_type as raw_body from part where p_partkey < 40")
+@query("select p_partkey as id, case when p_partkey = 5 then 'Hello' else p_name end as subject, p_type as raw_body from part")
 def template_update(spark, d):
-    rows = V.table(spark, d, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("subject"), F.col("p_type").alias("raw_body"))
+    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("subject"), F.col("p_type").alias("raw_body"))
     return outreach.template_updated(rows, 5, subject="Hello", raw_body=None)
 
 
@@ -347,17 +350,18 @@ def outbox_failure(spark, d):
     return live.withColumn("dead", F.lit(False)).union(dead.withColumn("dead", F.lit(True))).select("id", "attempts", "last_error", "dead")
 
 
-@query("select n_nationkey as id, case when n_nationkey % 7 in (1, 2) then null else n_nationkey % 7 + 10 end as parent from (select n_nationkey + 10 as n_nationkey0, n_nationkey from nation where n_nationkey % 7 not in (1, 2)) order by 1".replace("select n_nationkey as id", "select n_nationkey0 as id"))
+@query("""with rows as (select c_custkey as id, c_custkey % 70 as parent from customer where c_custkey % 7 <> 3), ids as (select id as old_id, id * 2 + 10 as new_id from rows)
+    select r.new_id as id, p.new_id as parent from rows join ids r on r.old_id = rows.id left join ids p on p.old_id = rows.parent""")
 def self_reference_remap(spark, d):
     """Rows whose parent is gone keep none."""
-    rows = V.table(spark, d, "nation").where("n_nationkey % 7 not in (1, 2)").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") % 7).cast("long").alias("parent"))
-    ids = rows.select(F.col("id").alias("old_id"), (F.col("id") + 10).alias("new_id"))
-    return transfer.self_remapped(rows, ids, "parent").select(F.col("id").cast("int").alias("id"), F.col("parent").cast("int").alias("parent"))
+    rows = V.table(spark, d, "customer").where("c_custkey % 7 <> 3").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 70).alias("parent"))
+    ids = rows.select(F.col("id").alias("old_id"), (F.col("id") * 2 + 10).alias("new_id"))
+    return transfer.self_remapped(rows, ids, "parent").select("id", "parent")
 
 
-@query(having("listed") + "select title, main_url from listed union all select 'Listed ' || page_id, 'new' from pages where page_id between 20 and 60 and page_id >= 30")
+@query(having("listed") + "select title, main_url from listed union all select 'Listed ' || page_id, 'new' from pages where page_id >= 30")
 def insert_if_absent(spark, d):
-    new = V.table(spark, d, "pages").where("page_id between 20 and 60").select(F.concat(F.lit("Listed "), F.col("page_id").cast("string")).alias("title"), F.lit("new").alias("main_url"))
+    new = V.table(spark, d, "pages").select(F.concat(F.lit("Listed "), F.col("page_id").cast("string")).alias("title"), F.lit("new").alias("main_url"))
     return transfer.inserted(made(spark, d, "listed").select("title", "main_url"), new.union(new), ["title"])
 
 
@@ -435,12 +439,12 @@ def snapshot_freezing(spark, d):
     return attribution.snapshots(made(spark, d, "frozen"), made(spark, d, "found")).select("job_id", "source_domain_id", "is_seed", "title")
 
 
-@query(having("found", "frozen") + """, own as (select seq as id, job_id, source_domain_id as domain_id from found where source_domain_id < 25)
-    select 'missing' as kind, cast(null as bigint) as id, job_id, domain_id, cast(null as bigint) as snapshot_id from (select distinct job_id, domain_id from own where domain_id < 20) o where not exists (select 1 from frozen z where z.job_id = o.job_id and z.source_domain_id = o.domain_id)
+@query(having("found", "frozen", "listed") + """, own as (select seq as id, job_id, source_domain_id as domain_id from found)
+    select 'missing' as kind, cast(null as bigint) as id, job_id, domain_id, cast(null as bigint) as snapshot_id from (select distinct job_id, domain_id from own where domain_id in (select id from listed)) o where not exists (select 1 from frozen z where z.job_id = o.job_id and z.source_domain_id = o.domain_id)
     union all select 'lead', o.id, o.job_id, o.domain_id, z.id from own o left join frozen z on z.job_id = o.job_id and z.source_domain_id = o.domain_id""")
 def snapshot_backfill(spark, d):
-    own = made(spark, d, "found").where("source_domain_id < 25").select(F.col("seq").alias("id"), "job_id", F.col("source_domain_id").alias("domain_id"), F.lit(None).cast("long").alias("snapshot_id"))
-    listed = spark.range(20)
+    own = made(spark, d, "found").select(F.col("seq").alias("id"), "job_id", F.col("source_domain_id").alias("domain_id"), F.lit(None).cast("long").alias("snapshot_id"))
+    listed = made(spark, d, "listed")
     missing, told = attribution.backfill_snapshots(own, listed, made(spark, d, "frozen"))
     none = F.lit(None).cast("long")
     return missing.select(F.lit("missing").alias("kind"), none.alias("id"), "job_id", F.col("source_domain_id").alias("domain_id"), none.alias("snapshot_id")).union(told.select(F.lit("lead"), "id", "job_id", "domain_id", "snapshot_id"))
@@ -467,17 +471,17 @@ def root_snapshots(spark, d):
 # Leads
 
 
-@query("with " + V.LEADS + """ select id, case when id in (4, 9) then 'Ann Lee' else person_name end as person_name, case when id in (4, 9) then null else phone end as phone, case when id in (4, 9) and channel_tag = 'manual' then 'Goa' else manual_state end as manual_state from leads where id < 50""")
+@query("with " + V.LEADS + """ select id, case when id in (4, 9) then 'Ann Lee' else person_name end as person_name, case when id in (4, 9) then null else phone end as phone, case when id in (4, 9) and channel_tag = 'manual' then 'Goa' else manual_state end as manual_state from leads""")
 def lead_edit(spark, d):
-    rows = V.leads(spark, d).where("id < 50")
+    rows = V.leads(spark, d)
     for one in (4, 9):
         rows = leads.edit(rows, one, {"person_name": " Ann Lee ", "phone": " ", "manual_state": "Goa"})
     return rows.select("id", "person_name", "phone", "manual_state")
 
 
-@query("with " + V.CAPTURES + ", good as (select seq as lead_id, job_id from captures where trim(email) <> '' and seq < 500), old as (select lead_id, job_id from good where lead_id % 3 = 0) select lead_id, job_id from good except select lead_id, job_id from old")
+@query("with " + V.CAPTURES + ", good as (select seq as lead_id, job_id from captures where trim(email) <> ''), old as (select lead_id, job_id from good where lead_id % 3 = 0) select lead_id, job_id from good except select lead_id, job_id from old")
 def occurrence_backfill(spark, d):
-    rows = fold.accepted(V.captures(spark, d))[0].where("seq < 500").select(F.col("seq").alias("id"), "job_id")
+    rows = fold.accepted(V.captures(spark, d))[0].select(F.col("seq").alias("id"), "job_id")
     return fold.backfill_occurrences(rows, rows.where("id % 3 = 0").select(F.col("id").alias("lead_id"), "job_id"))
 
 
@@ -509,14 +513,14 @@ _KEYS = "netloc || coalesce(nullif(regexp_replace(regexp_extract(url, '^(?:[A-Za
 
 
 @query("with " + V.HOSTS + f""", ok as (select page_id as seq, url, {_KEYS} || case when regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) = '' then '' else '?' || regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) end as url_key from hosts where netloc like '%.com' or netloc like '%.net'),
-    firsts as (select url_key, min(seq) as seq, arg_min(url, seq) as url from ok group by 1) select url_key, url, seq, case when contains(lower(url), '/en') then 0 else 1 end as priority from firsts where seq % 7 <> 0 order by priority, seq limit 60""")
+    firsts as (select url_key, min(seq) as seq, arg_min(url, seq) as url from ok group by 1) select url_key, url, seq, case when contains(lower(url), '/en') then 0 else 1 end as priority from firsts where seq % 7 <> 0""")
 def frontier_queue(spark, d):
     """Candidates that enter the queue, the first ones to be fetched."""
     policy = Policy(target_suffixes=(".com", ".net"), skip_extensions=(".zip",), priority_keywords=("/en",))
     pages = V.table(spark, d, "pages").select("url", F.lit(1).alias("depth"), F.col("page_id").alias("seq"), F.lit(False).alias("is_seed"))
     all_ = frontier.enqueued(pages, spark.createDataFrame([], "url_key string"), policy)
     visited = all_.where("seq % 7 = 0").select("url_key")
-    return frontier.enqueued(pages, visited, policy).orderBy(*frontier.pop_order()).limit(60).select("url_key", "url", "seq", F.col("priority").cast("int").alias("priority"))
+    return frontier.enqueued(pages, visited, policy).orderBy(*frontier.pop_order()).select("url_key", "url", "seq", F.col("priority").cast("int").alias("priority"))
 
 
 @query("""with recursive edges as (select 'n' || (o_orderkey % 900) as a, 'n' || ((o_orderkey * 7 + 3) % 900) as b from orders where o_orderkey % 3 = 0), walk(k, depth) as (select 'n' || (min(o_orderkey) % 900), 0 from orders where o_orderkey % 3 = 0 union select e.b, w.depth + 1 from walk w join edges e on e.a = w.k where w.depth < 4)
@@ -576,29 +580,52 @@ def text_shapes(spark, d):
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.slug(F.col("p_type"), 12).alias("slug"), F.array_join(T.listed(F.concat("p_name", F.lit(",, "), "p_brand")), "|").alias("listed"), T.safe_int(value, -1).alias("number"))
 
 
-@query(r"""select s_suppkey as id, case s_suppkey % 3 when 0 then 'Dr Anna Maria Berg' when 1 then 'Shri Ram' end as name, case s_suppkey % 3 when 0 then 'Director of Works' when 2 then 'Deputy Officer, ph' end as designation from supplier""")
+_POLICY = Policy()
+_STOP = DESIGNATION_END.removeprefix("(?i)")
+
+
+@query(rf"""with told as (select doc_id as id, 'see Dr. ' || coalesce(text, '') || ' Joint Director of ' || coalesce(source, '') as text from documents),
+    parts as (select id, regexp_extract(text, '\b({"|".join(_POLICY.title_prefixes)})\b\.?[ \t]+([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){{0,3}})', 0) as named,
+        substr(regexp_extract(text, '(?is)\b(?:{"|".join(_POLICY.designation_keywords)})\b.*'), 1, 120) as post from told),
+    clipped as (select id, named, trim(trim(regexp_replace(regexp_split_to_array(post, '(?i){_STOP}')[1], '\s+', ' ', 'g')), ' ,.-') as post from parts)
+    select id, nullif(trim(regexp_replace(regexp_replace(named, '^([A-Za-z]+)\.', '\1'), '\s+', ' ', 'g')), '') as name, nullif(substr(post, 1, 60), '') as designation from clipped""")
 def names_and_designations(spark, d):
-    text = F.expr("""case s_suppkey % 3 when 0 then concat('see Dr. Anna  Maria Berg, Director of Works - phone: ', s_name) when 1 then concat('ask Shri Ram\n', s_name) else 'the Deputy   Officer, ph. 9876543 x@y.com' end""")
-    p = Policy()
-    return V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), T.name_in(text, p.title_prefixes).alias("name"), T.designation_in(text, p.designation_keywords).alias("designation"))
+    text = F.concat(F.lit("see Dr. "), F.coalesce("text", F.lit("")), F.lit(" Joint Director of "), F.coalesce("source", F.lit("")))
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.name_in(text, _POLICY.title_prefixes).alias("name"), T.designation_in(text, _POLICY.designation_keywords).alias("designation"))
 
 
-@query("""select s_suppkey as id, case s_suppkey % 2 when 0 then 'a' || s_suppkey || '@x.com,b@y.org' else '' end as emails from supplier""")
+@query("with " + V.HOSTS + rf""", pieces as (select page_id as id, list_filter(['a' || page_id || '@' || netloc, rtrim('b@' || replace(netloc, '.com', '.'), '.'), 'no' || netloc],
+    lambda p: regexp_full_match(p, '(?i){_POLICY.email}')) as found from hosts) select id, array_to_string(found, ',') as emails from pieces""")
 def mailto_addresses(spark, d):
-    raw = F.expr("case s_suppkey % 2 when 0 then concat(' A', s_suppkey, '%40x.com, <b@y.org>;,no at') else 'nobody' end")
-    return V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(T.clean_emails(raw, Policy().email), ",").alias("emails"))
+    """Targets with escapes, brackets, signs around and pieces that are no address."""
+    host = U.strip_www(U.netloc(F.col("url")))
+    raw = F.concat(F.lit(" A"), F.col("page_id").cast("string"), F.lit("%40"), F.upper(host), F.lit(", <b@"), F.replace(host, F.lit(".com"), F.lit(".")), F.lit(">;,No"), host)
+    return V.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.array_join(T.clean_emails(raw, _POLICY.email), ",").alias("emails"))
+
+
+_CELLS = ("c_custkey as id", "c_custkey % 4 as kind", "c_name", "c_mktsegment", "case when c_acctbal < 0 then ' ' else concat('m@', lower(c_mktsegment), '.com') end as mail")
+
+
+def _place(words: tuple[str, ...]) -> str:
+    return "coalesce(" + ", ".join(f"list_position(list_transform(headers, lambda h: contains(h, '{w}')), true)" for w in words) + ")"
 
 
-@query("""select n_nationkey as id, case when n_nationkey % 2 = 0 then n_name else 'Post ' || n_name end as name, case when n_nationkey % 2 = 0 then 'Post ' || n_name else null end as designation, case when n_nationkey % 3 = 0 then null else 'm@' || lower(n_name) end as email from nation""")
+@query(f"""with rows as (select {', '.join(_CELLS)} from customer),
+    tables as (select id, case kind when 0 then ['officer name', 'post held', 'e-mail id'] when 1 then ['e-mail id', 'name'] when 2 then ['rank', 'official', 'mail'] else ['post', 'contact person', 'division'] end as headers,
+        case kind when 0 then [' ' || c_name, c_mktsegment, mail] when 1 then [mail, c_name] when 2 then [c_mktsegment || ' ', c_name] else [c_mktsegment, c_name, mail] end as cells from rows),
+    places as (select *, {_place(HEADER_WORDS["name"])} as n, {_place(HEADER_WORDS["designation"])} as p, {_place(HEADER_WORDS["department"])} as d, {_place(HEADER_WORDS["email"])} as e from tables),
+    own as (select *, case when p = n then null else p end as post, case when d in (n, p) then null else d end as part, case when e in (n, p, d) then null else e end as address from places)
+    select id, nullif(trim(cells[n]), '') as name, nullif(trim(cells[post]), '') as designation, nullif(trim(cells[part]), '') as department, nullif(trim(cells[address]), '') as email from own""")
 def table_cells(spark, d):
-    """Cells of a table row by its headers; on odd rows the designation's column is not there."""
+    """Cells of table rows by headers in several orders; some columns or cells are not there, and some are blank."""
     c = F.col
-    rows = V.table(spark, d, "nation").selectExpr(
-        "n_nationkey as id", "case when n_nationkey % 2 = 0 then array('officer name', 'post held', 'e-mail id') else array('name', 'e-mail id') end as headers",
-        "case when n_nationkey % 2 = 0 then array(concat(' ', n_name), concat('Post ', n_name), case when n_nationkey % 3 = 0 then ' ' else concat('m@', lower(n_name)) end) else array(concat('Post ', n_name), case when n_nationkey % 3 = 0 then '' else concat('m@', lower(n_name)) end) end as cells",
+    rows = V.table(spark, d, "customer").selectExpr(*_CELLS)
+    tables = rows.selectExpr(
+        "id", "case kind when 0 then array('officer name', 'post held', 'e-mail id') when 1 then array('e-mail id', 'name') when 2 then array('rank', 'official', 'mail') else array('post', 'contact person', 'division') end as headers",
+        "case kind when 0 then array(concat(' ', c_name), c_mktsegment, mail) when 1 then array(mail, c_name) when 2 then array(concat(c_mktsegment, ' '), c_name) else array(c_mktsegment, c_name, mail) end as cells",
     )
-    places = T.header_map(c("headers"), {"name": ("name",), "designation": ("designation", "post"), "department": ("department",), "email": ("email", "e-mail")})
-    return rows.select("id", *(T.cell_at(c("cells"), places[r]).alias(r) for r in ("name", "designation", "email")))
+    places = T.header_map(c("headers"), HEADER_WORDS)
+    return tables.select("id", *(T.cell_at(c("cells"), places[r]).alias(r) for r in ("name", "designation", "department", "email")))
 
 
 # Edits of small tables
@@ -692,9 +719,11 @@ def manual_states(spark, d):
     return fold.with_manual_states(pool, V.snapshots(spark, d)).select("id", "manual_state")
 
 
-@query("select 'u' || x.i as url_key from range(0, 40) x(i)")
+@query(having("fetched") + "select url as url_key from pages union select url from fetched where fetched")
 def visited_union(spark, d):
-    return frontier.visited_before(spark.range(30).selectExpr("concat('u', id) as url_key"), spark.range(10, 40).selectExpr("concat('u', id) as url_key"))
+    """The pages of a crawl, and those of a saved checkpoint."""
+    recent = V.table(spark, d, "pages").select(F.col("url").alias("url_key"))
+    return frontier.visited_before(recent, made(spark, d, "fetched").where("fetched").select(F.col("url").alias("url_key")))
 
 
 @query(having("tries") + """, firsts as (select *, row_number() over (partition by page_id order by seq) as n from tries where seq < 2 and error is null),
