@@ -53,6 +53,45 @@ def fold(captures: DataFrame, weights: Mapping[str, int] = SCORE_WEIGHTS, seq: s
     return values.join(bands, "email").withColumn("lead_score", lead_score(weights))
 
 
+#: The ranks of bands.
+_RANKS = {"other": -1, "low": 0, "high": 1}
+
+
+def accumulated(captures: DataFrame, seq: str = "seq") -> DataFrame:
+    """A row for each lower-cased address that holds all the fold needs of its captures, each value with when it came.
+
+    Rows of one address, of several sets of captures, merge into that of all of them, in any order (merged).
+    """
+    first = lambda *columns: F.struct(F.col(seq).alias("at"), *columns)
+    rank = band_rank(F.col("confidence_band"))
+    return captures.groupBy(F.lower("email").alias("email")).agg(
+        F.min(first(*FIRST)).alias("first"),
+        *(F.min(F.when(nonempty(F.col(c)), first(F.col(c).alias("value")))).alias(f"first_{c}") for c in ENRICHABLE),
+        *(F.min(F.when(rank == r, first("confidence_band", "field_provenance"))).alias(f"band_{name}") for name, r in _RANKS.items()),
+        F.count("*").alias("captures"),
+    )
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Accumulators of equal addresses as one."""
+    kept = [c for c in parts.columns if c not in ("email", "captures")]
+    return parts.groupBy("email").agg(*(F.min(c).alias(c) for c in kept), F.sum("captures").alias("captures"))
+
+
+def told(parts: DataFrame, weights: Mapping[str, int] = SCORE_WEIGHTS) -> DataFrame:
+    """The leads of merged accumulators, as fold gives them."""
+    other, low, high = (F.col(f"band_{name}") for name in _RANKS)
+    before = lambda a, b: F.coalesce(a["at"] < b["at"], a.isNotNull() & b.isNull())
+    rises = ((high, high.isNotNull()), (low, before(low, high)), (other, before(other, high) & before(other, low)))
+    proof = [F.when(rose & nonempty(b["field_provenance"]), b["field_provenance"]) for b, rose in rises]
+    leads = parts.select(
+        "email", *(F.col(f"first.{c}") for c in FIRST), *(F.col(f"first_{c}.value").alias(c) for c in ENRICHABLE), F.col("first.at").alias("first_seq"), "captures",
+        F.when(high.isNotNull(), high["confidence_band"]).when(low.isNotNull(), low["confidence_band"]).otherwise(other["confidence_band"]).alias("confidence_band"),
+        F.coalesce(*proof, F.least(other, low, high)["field_provenance"]).alias("field_provenance"),
+    )
+    return leads.withColumn("lead_score", lead_score(weights))
+
+
 def with_department(captures: DataFrame, snaps: DataFrame) -> DataFrame:
     """Captures whose department was only the address's default take their snapshot's title instead, where it has one. Applied to first captures."""
     s = snaps.select(F.col("id").alias("snapshot_id"), F.nullif("title", F.lit("")).alias("_title"))

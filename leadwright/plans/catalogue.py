@@ -563,6 +563,12 @@ def stream_fold(spark, d):
     return streams.stream_fold(spark, d).select(*_FOLD_COLUMNS)
 
 
+@query(using(V.CAPTURES, _FOLD) + _FOLDED)
+def lead_store_batches(spark, d):
+    """The fold of lead_fold, from a store that takes captures in batches."""
+    return streams.lead_store_batches(spark, d).select(*_FOLD_COLUMNS)
+
+
 @query()
 def stream_sessions(spark, d):
     """Sessions of each user's events without a gap of more than six hours, from a stream; rows only, as the last ones stay open."""

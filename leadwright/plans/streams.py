@@ -21,11 +21,23 @@ def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark, "capture-stream")
     rows = V.captures(spark, d)
     rows.repartitionByRange(4, "seq").write.parquet(f"{at}/in")
-    store = LeadStore(spark, f"{at}/store", rows.schema)
+    store = LeadStore(spark, f"{at}/store", rows.schema, 8)
     capture_stream(files_as_stream(spark, f"{at}/in", rows.schema, 1), store, f"{at}/progress").awaitTermination()
     return store.leads()
 
 
+def lead_store_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Captures in two batches, most addresses of which are in the first alone, the second delivered twice: the second reads and writes the buckets of its addresses only."""
+    at = folder(spark, "lead-store")
+    rows = V.captures(spark, d)
+    late = F.pmod(F.xxhash64(F.lower("email")), F.lit(16)) == 3
+    store = LeadStore(spark, at, rows.schema, 32)
+    store.save(rows.where(~late | (F.col("seq") % 2 == 0)), 0)
+    for _ in range(2):
+        store.save(rows.where(late & (F.col("seq") % 2 == 1)), 1)
+    return store.leads()
+
+
 def _taken(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()

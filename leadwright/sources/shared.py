@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, in any file system that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return [f.getPath().toString() for f in found or []]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read back: later jobs start from the files, also after a lost executor."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

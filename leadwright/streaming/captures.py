@@ -4,38 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from leadwright.operators.fold import accepted, fold
+from leadwright.operators.fold import accepted, accumulated, merged, told
 from leadwright.policy import SCORE_WEIGHTS
+from leadwright.sources.shared import listed
 
 
 class LeadStore:
-    """Accepted captures by batch, and rejects, under one folder.
+    """Folded leads under one folder, in buckets by address, of which a batch rewrites those that it touches.
 
-    A batch overwrites its own part, so a batch that is delivered again after a failure changes nothing. The fold reads all
-    parts each time; fold.merge_leads() takes captures into a stored pool of leads instead.
+    A bucket holds the accumulators of its addresses (fold.accumulated). A batch reads the touched buckets as they stood
+    before it, merges its own captures in, and writes them under its own number; then it writes the manifest of which
+    batch's files each bucket is in. A batch that is delivered again after a failure starts from the same manifest and
+    overwrites its own files, so it counts once. Rejects lie beside, by batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str, captures: StructType):
-        self.spark, self.path, self.captures = spark, path.rstrip("/"), captures
+    def __init__(self, spark: SparkSession, path: str, captures: StructType, buckets: int = 64):
+        self.spark, self.path, self.captures, self.buckets = spark, path.rstrip("/"), captures, buckets
+
+    def manifest(self, before: int | None = None) -> dict[int, int]:
+        """The batch whose files each bucket is in, by the newest manifest that is whole (of a batch before the given one)."""
+        done = [int(p.rsplit("/batch=", 1)[1].split("/")[0]) for p in listed(self.spark, f"{self.path}/manifest/batch=*/_SUCCESS")]
+        done = [b for b in done if before is None or b < before]
+        rows = self.spark.read.parquet(f"{self.path}/manifest/batch={max(done)}").collect() if done else []
+        return {r["bucket"]: r["batch"] for r in rows}
+
+    def state(self, where: dict[int, int]) -> DataFrame | None:
+        """The accumulators of the buckets of a manifest."""
+        paths = [f"{self.path}/state/batch={batch}/bucket={bucket}" for bucket, batch in sorted(where.items())]
+        return self.spark.read.schema(accumulated(self.spark.createDataFrame([], self.captures)).schema).parquet(*paths) if paths else None
 
     def save(self, batch: DataFrame, batch_id: int) -> None:
         good, bad = accepted(batch)
-        good.write.mode("overwrite").parquet(f"{self.path}/captures/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch_id}")
-
-    def all(self) -> DataFrame:
-        return self.spark.read.schema(self.captures).parquet(f"{self.path}/captures")
+        bucket = F.pmod(F.xxhash64("email"), F.lit(self.buckets)).cast("int").alias("bucket")
+        parts = accumulated(good).persist()  # a lost executor's part is made again from the batch
+        try:
+            self._merge(parts, bucket, batch_id)
+        finally:
+            parts.unpersist()
+
+    def _merge(self, parts: DataFrame, bucket: Column, batch_id: int) -> None:
+        touched = [r["bucket"] for r in parts.select(bucket).distinct().collect()]  # at most the number of buckets
+        if not touched and batch_id:
+            return
+        stood = self.manifest(batch_id)
+        old = self.state({b: stood[b] for b in touched if b in stood})
+        whole = merged(parts if old is None else parts.unionByName(old)).select("*", bucket)
+        whole.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/batch={batch_id}")
+        now = stood | dict.fromkeys(touched, batch_id)
+        self.spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch_id}")
 
     def rejects(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rejects")
 
     def leads(self, weights: Mapping[str, int] = SCORE_WEIGHTS) -> DataFrame:
-        return fold(self.all().drop("batch"), weights)
+        """All leads, as one fold of all captures gives them."""
+        return told(found if (found := self.state(self.manifest())) is not None else accumulated(self.spark.createDataFrame([], self.captures)), weights)
 
 
 def capture_stream(source: DataFrame, store: LeadStore, checkpoint: str) -> StreamingQuery:

@@ -115,3 +115,25 @@ def test_occurrences_are_unique(spark):
     rows = captures(spark, [{"seq": 2, "email": "a@b.c", "job_id": 1, "source_url": "y"}, {"seq": 1, "email": "A@b.c", "job_id": 1, "source_url": "x"}, {"seq": 3, "email": "a@b.c", "job_id": 2, "source_url": "z"}])
     assert {(r.job_id, r.source_url) for r in K.occurrences(rows).collect()} == {(1, "x"), (2, "z")}
     assert K.fold(rows).select(F.sum("captures")).first()[0] == 3
+
+
+def test_a_batch_rewrites_what_it_touches(spark, tmp_path):
+    made = [r | {"email": f"P{r['seq'] % 40}@x.com"} for r in some(9, 400)]
+    rows = captures(spark, made)
+    store = LeadStore(spark, str(tmp_path), rows.schema, 16)
+    store.save(rows.where("seq % 2 = 0"), 0)
+    first = store.manifest()
+    late = rows.where("seq % 2 = 1 and email in ('P1@x.com', 'P3@x.com')")
+    for _ in range(2):  # delivered again: it counts once
+        store.save(late, 1)
+    now = store.manifest()
+    touched = {b for b, batch in now.items() if batch == 1}
+    assert len(first) > 8 and 1 <= len(touched) <= 2 and all(now[b] == 0 for b in set(first) - touched)
+    assert {int(p.name[7:]) for p in (tmp_path / "state/batch=1").glob("bucket=*")} == touched
+    whole = rows.where("seq % 2 = 0").union(late)
+    want = K.fold(whole)
+    assert sorted(map(str, store.leads().select(want.columns).collect())) == sorted(map(str, want.collect()))
+    store.save(rows.where("false"), 2)
+    assert store.manifest() == now
+    again = LeadStore(spark, str(tmp_path / "none"), rows.schema)
+    assert again.leads().count() == 0
