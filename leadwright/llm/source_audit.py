@@ -244,10 +244,10 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     langs = written(langs.select("lang", F.col("all.source").alias("known"), F.col("all.n").alias("ns"), F.coalesce("kinds", F.lit(0)).cast("long").alias("kinds")), "term-groups")
 
     held = langs.agg(F.sum(F.size("known")), F.sum(F.octet_length(F.array_join("known", "")))).first()
-    if (held[0] or 0) <= GROUPS and held[1] <= GROUP_BYTES:
+    if (held[0] or 0) <= GROUPS and (held[1] or 0) <= GROUP_BYTES:
         units = encoded.join(F.broadcast(langs), "lang")
     else:
-        salted = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long"))
+        salted = langs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
         units = encoded.withColumn("salt", F.pmod("chunk", F.lit(SALT))).join(salted, ["lang", "salt"])
     last = ((F.size("known") - 1) / BLOCK).cast("long")
     units = units.where(F.size("terms") > 0)
