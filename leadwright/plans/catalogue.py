@@ -569,13 +569,30 @@ def lead_store_batches(spark, d):
     return streams.lead_store_batches(spark, d).select(*_FOLD_COLUMNS)
 
 
-@query()
+@query("""with recursive logins as (select user_id, event_id as id, epoch_us(ts) / 1e6 as at_s, event_type = 'view' as ok, row_number() over (partition by user_id order by ts, event_id) as i
+        from events where event_type in ('view', 'error')),
+    steps as (select user_id, 0::bigint as i, cast(null as bigint) as id, cast(null as varchar) as outcome, 0 as failures, 0.0::double as until from (select distinct user_id from logins)
+        union all select s.user_id, l.i, l.id, case when l.at_s < s.until then 'locked' when l.ok then 'ok' when s.failures + 1 >= 3 then 'locks' else 'failed' end,
+        case when l.at_s < s.until then s.failures when l.ok then 0 else s.failures + 1 end,
+        case when l.at_s >= s.until and not l.ok and s.failures + 1 >= 3 then l.at_s + 259200 else s.until end from steps s join logins l on l.user_id = s.user_id and l.i = s.i + 1)
+    select user_id, id, outcome, failures from steps where i > 0""")
+def login_lockouts(spark, d):
+    """What each login meets, from a stream: three failures in a row lock an account for three days."""
+    return streams.login_lockouts(spark, d)
+
+
+@query("""with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 6 hour, true) as starts from events),
+    s as (select user_id, ts, sum(starts::int) over (partition by user_id order by ts rows unbounded preceding) as n from e),
+    g as (select user_id, min(ts) as started, max(ts) + interval 6 hour as ended, count(*) as beats from s group by user_id, n)
+    select user_id, started, ended, beats from g where ended <= (select max(ts) from events) - interval 1 hour""")
 def stream_sessions(spark, d):
-    """Sessions of each user's events without a gap of more than six hours, from a stream; rows only, as the last ones stay open."""
-    return streams.stream_sessions(spark, d)
+    """Sessions of each user's events without a gap of six hours, from a stream; those that the watermark has passed."""
+    return streams.stream_sessions(spark, d).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "beats")
 
 
-@query()
+@query("""with e as (select user_id as job_id, epoch_us(ts) / 1e6 as at_s, row_number() over (partition by user_id order by ts) as beats, lag(epoch_us(ts) / 1e6) over (partition by user_id order by ts) as last from events)
+    select job_id, 'running' as status, at_s as at, beats from e where last is null or at_s - last > 86400
+    union all select job_id, 'interrupted', last + 86400, beats - 1 from e where at_s - last > 86400""")
 def stream_liveness(spark, d):
-    """State changes of jobs from a stream of heartbeats; rows only, as it is a state machine."""
+    """State changes of jobs from a stream of heartbeats, seen in the reports' own times."""
     return streams.stream_liveness(spark, d)

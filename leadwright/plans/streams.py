@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadwright.plans import views as V
 from leadwright.sources.shared import shared_folder
 from leadwright.streaming.captures import LeadStore, capture_stream, files_as_stream, quiet_sessions
-from leadwright.streaming.liveness import transitions
+from leadwright.streaming.liveness import lockouts, transitions
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -59,3 +59,14 @@ def stream_liveness(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark, "liveness-stream")
     beats = _events(spark, d, at, 2).select(F.col("user_id").alias("job_id"), (F.unix_micros("ts") / 1e6).alias("at"))
     return _taken(transitions(beats, 86_400, timers=False), at)
+
+
+def login_lockouts(spark: SparkSession, d: str) -> DataFrame:
+    """Logins in three files, by time, a file a batch: locks of one batch hold in the next."""
+    at = folder(spark, "lockout-stream")
+    rows = V.table(spark, d, "events").where("event_type in ('view', 'error')")
+    rows = rows.select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") == "view").alias("ok"))
+    first, second = rows.approxQuantile("at", [0.3, 0.6], 0.01) or (0.0, 0.0)
+    for part in (F.col("at") < first, (F.col("at") >= first) & (F.col("at") < second), F.col("at") >= second):
+        rows.where(part).repartition(2).write.mode("append").parquet(f"{at}/in")
+    return _taken(lockouts(files_as_stream(spark, f"{at}/in", rows.schema, 2), 3, 3 * 1440), at)

@@ -43,25 +43,33 @@ def transitions(beats: DataFrame, silence_s: int = SILENCE_S, timers: bool = Tru
     return beats.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, at double, beats long", "running boolean, last double, beats long", "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
 
 
-def lockouts(logins: DataFrame, threshold: int = 5, minutes: int = 15) -> DataFrame:
-    """(user_id, at, outcome, failures): what each login of a stream (user_id, at in epoch seconds, ok) meets: ok, failed, locks or locked.
+def lockouts(logins: DataFrame, threshold: int = 5, minutes: float = 15, forget_days: int | None = None) -> DataFrame:
+    """(user_id, id, outcome, failures): what each login of a stream (user_id, id, at in epoch seconds, ok) meets: ok, failed, locks or locked.
 
-    An attempt during a lock is turned away and changes nothing. A success starts anew; an expired lock leaves the number of failures.
+    An attempt during a lock is turned away and changes nothing. A success starts anew; an expired lock leaves the number of
+    failures. Logins of a batch are taken in the order of their time, then id. The state of a user is two typed values; with
+    forget_days, that of one who has not come for so long is dropped.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failures, until = state.get if state.exists else (0, 0.0)
         out = []
-        rows = pd.concat(frames).sort_values("at", kind="stable")
-        for at, ok in zip(rows["at"].tolist(), rows["ok"].tolist()):
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        for number, at, ok in zip(rows["id"].tolist(), rows["at"].tolist(), rows["ok"].tolist()):
             if at < until:
-                out.append((key[0], at, "locked", failures))
+                out.append((key[0], number, "locked", failures))
                 continue
             failures = 0 if ok else failures + 1
             if failures >= threshold:
                 until = at + 60.0 * minutes
-            out.append((key[0], at, "ok" if ok else "locks" if failures >= threshold else "failed", failures))
+            out.append((key[0], number, "ok" if ok else "locks" if failures >= threshold else "failed", failures))
         state.update((failures, until))
-        yield pd.DataFrame(out, columns=["user_id", "at", "outcome", "failures"])
+        if forget_days is not None:
+            state.setTimeoutDuration(forget_days * 86_400_000)
+        yield pd.DataFrame(out, columns=["user_id", "id", "outcome", "failures"])
 
-    return logins.groupBy("user_id").applyInPandasWithState(step, "user_id long, at double, outcome string, failures int", "failures int, until double", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_days is None else GroupStateTimeout.ProcessingTimeTimeout
+    return logins.groupBy("user_id").applyInPandasWithState(step, "user_id long, id long, outcome string, failures int", "failures int, until double", "append", timeout)
