@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -150,6 +150,25 @@ def facet_order() -> list[Column]:
     return [F.when(F.col("code") == UNKNOWN_CODE, 1).otherwise(0), F.col("count").desc(), F.col("code")]
 
 
+def facets(leads: DataFrame, snaps: DataFrame, f: LeadFilter = LeadFilter()) -> DataFrame:
+    """(facet, code, title, count) of category, org_type and state, each under the filter without its own choice, from one scan.
+
+    A lead gives a row to each facet whose filter admits it; rows are counted before they are shuffled. Leads without a
+    snapshot that are not manual are unknown; manual ones count under their own state.
+    """
+    pairs = {
+        "category": (replace(f, categories=()), F.col("snap_category_code"), F.coalesce(F.nullif("snap_category_title", F.lit("")), F.col("snap_category_code")), UNKNOWN_CODE),
+        "org_type": (replace(f, org_types=()), F.col("snap_org_type"), F.coalesce(F.nullif("snap_org_type_title", F.lit("")), F.col("snap_org_type")), UNKNOWN_CODE),
+        "state": (replace(f, states=()), F.nullif(display_state(), F.lit("")), F.nullif(display_state(), F.lit("")), UNKNOWN),
+    }
+    told = []
+    for name, (own, code, title, unknown) in pairs.items():
+        entry = lambda c, t, n=name: F.struct(F.lit(n).alias("facet"), c.alias("code"), t.alias("title"))
+        told.append(F.when(matches(own), F.when(unattributed(), entry(F.lit(unknown), F.lit(UNKNOWN))).when(code.isNotNull(), entry(code, title))))
+    rows = with_snapshots(leads, snaps).select(F.explode(F.array_compact(F.array(*told))).alias("x"))
+    return rows.groupBy("x.facet", "x.code", "x.title").agg(F.count("*").alias("count"))
+
+
 def unattributed_count(leads: DataFrame, job_ids: Sequence[int] = ()) -> DataFrame:
     pool = leads.where(F.col("job_id").isin(list(job_ids))) if job_ids else leads
     return pool.agg(F.count_if(unattributed()).alias("unattributed"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from leadwright.functions import score as S
 from leadwright.functions import text as T
 from leadwright.functions import url as U
 from leadwright.functions.addresses import marked_spans, with_places
-from leadwright.operators import attribution, domains, extract, fold, frontier, history, jobs, leads, outreach, rbac
+from leadwright.operators import attribution, domains, extract, fold, frontier, history, jobs, leads, outreach, rbac, search
 from leadwright.plans import streams
 from leadwright.plans import views as V
 from leadwright.policy import Policy
 from leadwright.sources import transfer
+from leadwright.sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -281,6 +284,39 @@ def lead_export(spark, d):
     return leads.export_rows(V.leads(spark, d), V.snapshots(spark, d), fields=("person_name", "category_title", "state", "phone", "lead_score"))
 
 
+@query(using(V.LEADS, V.SNAPSHOTS, V.JOINED) + f""", told as (select *, phone <> '' and (manual or lead_score >= 20) as common, manual or coalesce(snap_category_code in ('ASIA', 'EUROPE'), false) or unattributed as of_category,
+        manual or coalesce(snap_org_type in ('T1', 'T2'), false) as of_type, manual or coalesce(snap_state in ('NATION_1', 'NATION_2', 'NATION_4'), false) or coalesce(manual_state in ('NATION_1', 'NATION_2', 'NATION_4'), false) or unattributed as of_state,
+        nullif({_STATE}, '') as shown from joined left join (select id as snap_id, org_type_title as snap_org_type_title from snaps) s on snapshot_id = snap_id),
+    parts as (select 'category' as facet, case when unattributed then '__unknown__' else snap_category_code end as code, case when unattributed then 'Unknown' else coalesce(nullif(snap_category_title, ''), snap_category_code) end as title from told where common and of_type and of_state
+        union all select 'org_type', case when unattributed then '__unknown__' else snap_org_type end, case when unattributed then 'Unknown' else coalesce(nullif(snap_org_type_title, ''), snap_org_type) end from told where common and of_category and of_state
+        union all select 'state', case when unattributed then 'Unknown' else shown end, case when unattributed then 'Unknown' else shown end from told where common and of_category and of_type)
+    select facet, code, title, count(*) as count from parts where code is not null group by 1, 2, 3""")
+def lead_facets(spark, d):
+    """All facets of a listing, each under the filter without its own choice."""
+    f = leads.LeadFilter(categories=("ASIA", "EUROPE", leads.UNKNOWN_CODE), org_types=("T1", "T2"), states=("NATION_1", "NATION_2", "NATION_4", leads.UNKNOWN), require_phone=True, min_score=20)
+    return leads.facets(V.leads(spark, d), V.snapshots(spark, d), f)
+
+
+_SEARCH = ("email", "person_name", "department", "designation")
+
+
+@query(using(V.LEADS) + """, terms(term, pattern) as (values ('user1%build', '%user1%build%'), ('SECRET', '%secret%'), ('a_', '%a_%'), ('no such', '%no such%'))
+    select term, id from leads join terms on email ilike pattern or coalesce(person_name ilike pattern, false) or coalesce(department ilike pattern, false) or coalesce(designation ilike pattern, false)""")
+def lead_search(spark, d):
+    """Substring searches through a stored index of trigrams; a term too short for it is looked for in all rows."""
+    rows = V.leads(spark, d)
+    index = written(search.trigram_index(rows, "id", _SEARCH), "lead-trigrams")
+    found = [search.searched(rows, index, term, "id", _SEARCH).select(F.lit(term).alias("term"), "id") for term in ("user1%build", "SECRET", "a_", "no such")]
+    return reduce(lambda a, b: a.union(b), found)
+
+
+@query(using(V.HOSTS, V.DOMAINS) + "select id from domains where coalesce(title ilike '%example%', false) or coalesce(main_url ilike '%example%', false)")
+def domain_search(spark, d):
+    rows = V.domains(spark, d)
+    index = written(search.trigram_index(rows, "id", ("title", "main_url")), "domain-trigrams")
+    return search.searched(rows, index, "Example", "id", ("title", "main_url")).select("id")
+
+
 @query(using(V.LEADS, V.SNAPSHOTS, V.JOINED) + """select snap_category_code as code, coalesce(nullif(snap_category_title, ''), snap_category_code) as title, count(*) as count from joined where snap_category_code is not null group by 1, 2
     union all select '__unknown__', 'Unknown', count(*) from joined where unattributed having count(*) > 0""")
 def lead_category_facet(spark, d):
