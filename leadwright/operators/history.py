@@ -18,8 +18,8 @@ from leadwright.sources.shared import written
 #: Rows of a key that one task takes; more are cut into ranges of about so many.
 SPLIT = 1 << 20
 #: How values of a range are reduced, and a value is joined with what comes before it.
-_SUM = F.sum, lambda own, before: own + F.coalesce(before, F.lit(0))
-_MAX = F.max, lambda own, before: F.greatest(own, before)
+SUM = F.sum, lambda own, before: own + F.coalesce(before, F.lit(0))
+MAX = F.max, lambda own, before: F.greatest(own, before)
 
 
 @dataclass(frozen=True)
@@ -66,8 +66,8 @@ def spaced(rows: DataFrame, key: str, arrival: Column, delay: Column | float, or
     start_i = max(arrival_i, start_(i-1) + delay), in closed form the running maximum of arrival_j - j * delay, plus i * delay.
     """
     delay = F.lit(delay).cast("long") if isinstance(delay, int) else F.lit(delay) if not isinstance(delay, Column) else delay
-    at = ordered(rows, key, order, split).running("_i", F.lit(1), _SUM)
-    at = at.having(_a=arrival - F.col("_i") * delay).running("start", F.col("_a"), _MAX)
+    at = ordered(rows, key, order, split).running("_i", F.lit(1), SUM)
+    at = at.having(_a=arrival - F.col("_i") * delay).running("start", F.col("_a"), MAX)
     return at.having(start=F.col("start") + F.col("_i") * delay).done("_i", "_a")
 
 
@@ -91,13 +91,13 @@ def failure_runs(logins: DataFrame, key: str, order: list, success: Column, thre
 
     The failures in a row are all so far less all at the last success.
     """
-    at = ordered(logins, key, order, split).having(_ok=success).running("_all", (~F.col("_ok")).cast("int"), _SUM)
-    at = at.having(_then=F.when(F.col("_ok"), F.col("_all"))).running("_last", F.col("_then"), _MAX)
+    at = ordered(logins, key, order, split).having(_ok=success).running("_all", (~F.col("_ok")).cast("int"), SUM)
+    at = at.having(_then=F.when(F.col("_ok"), F.col("_all"))).running("_last", F.col("_then"), MAX)
     at = at.having(failures=F.col("_all") - F.coalesce("_last", F.lit(0)))
     return at.having(locks=(F.col("failures") >= threshold) & ~F.col("_ok")).done("_ok", "_all", "_then", "_last")
 
 
 def round_robin(rows: DataFrame, key: str, order: list, pool: Column, split: int = SPLIT) -> DataFrame:
     """rows with slot: their place among the key's rows modulo the size of the pool."""
-    at = ordered(rows, key, order, split).running("_i", F.lit(1), _SUM)
+    at = ordered(rows, key, order, split).running("_i", F.lit(1), SUM)
     return at.having(slot=F.pmod(F.col("_i") - 1, pool)).done("_i")

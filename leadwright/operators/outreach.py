@@ -80,22 +80,15 @@ def with_lead_ids(emails: DataFrame, leads: DataFrame) -> DataFrame:
     return emails.withColumn("email", F.lower("email")).join(leads.select("email", F.col("id").alias("lead_id")), "email")
 
 
-def campaign_errors(kind: str, template_id: int | None, lead_count: int, credential_ids: list[int], staged: int | None = None) -> list[str]:
-    """Why a campaign cannot be created; nothing if it can."""
-    errors = []
-    if kind not in ("production", "test"):
-        errors.append("unknown kind")
-    if template_id is None:
-        errors.append("a template is needed")
-    if not credential_ids:
-        errors.append("a credential is needed")
-    if kind == "test" and len(credential_ids) != 1:
-        errors.append("a test campaign takes one credential")
-    if not lead_count:
-        errors.append("no recipients")
-    if staged == 0 and lead_count:
-        errors.append("all recipients are blacklisted")
-    return errors
+def campaign_errors(requests: DataFrame) -> DataFrame:
+    """requests (kind, template_id, lead_count, credentials, staged) with errors: why each campaign cannot be created; none if it can. staged: recipients left by the blacklist, if known."""
+    c, number = F.col, F.size(F.coalesce("credentials", F.array()))
+    tests = {
+        "unknown kind": ~F.coalesce(c("kind").isin("production", "test"), F.lit(False)), "a template is needed": c("template_id").isNull(), "a credential is needed": number == 0,
+        "a test campaign takes one credential": c("kind").eqNullSafe("test") & (number != 1), "no recipients": F.coalesce("lead_count", F.lit(0)) == 0,
+        "all recipients are blacklisted": c("staged").eqNullSafe(0) & (F.coalesce("lead_count", F.lit(0)) != 0),
+    }
+    return requests.withColumn("errors", F.array_compact(F.array(*(F.when(test, error) for error, test in tests.items()))))
 
 
 # E-mail states

@@ -74,9 +74,10 @@ def active_admins(users: DataFrame) -> DataFrame:
     return users.agg(F.count_if(F.col("is_admin") & F.col("is_active")).alias("active_admins"))
 
 
-def keeps_an_admin(users: DataFrame, user_id: int) -> bool:
-    """Whether an active administrator is left without this user."""
-    return not users.where(F.col("is_admin") & F.col("is_active") & (F.col("id") != user_id)).isEmpty()
+def admin_kept(users: DataFrame) -> DataFrame:
+    """users (id) with kept: whether an active administrator is left without this user."""
+    left = active_admins(users).first()["active_admins"]
+    return users.select("id", (F.lit(left) - F.coalesce(F.col("is_admin") & F.col("is_active"), F.lit(False)).cast("int") > 0).alias("kept"))
 
 
 def override_set(overrides: DataFrame, user_id: int, key: str, effect: str | None) -> DataFrame:

@@ -80,6 +80,26 @@ def active_admins(spark, d):
     return rbac.active_admins(made(spark, d, "users"))
 
 
+@query(having("users") + "select id, (select count(*) from users where is_admin and is_active) - (coalesce(is_admin and is_active, false))::int > 0 as kept from users")
+def admin_kept(spark, d):
+    return rbac.admin_kept(made(spark, d, "users"))
+
+
+_REQUESTS = (
+    "s_suppkey as id", "case s_suppkey % 4 when 0 then 'test' when 1 then 'trial' when 2 then null else 'production' end as kind", "case when s_suppkey % 5 <> 0 then s_suppkey end as template_id",
+    "s_suppkey % 3 as lead_count", "case when s_suppkey % 7 = 0 then null else s_suppkey % 3 end as number", "case when s_suppkey % 2 = 0 then s_suppkey % 4 end as staged",
+)
+
+
+@query(f"""with asked as (select {', '.join(_REQUESTS)} from supplier), told as (select id, [case when coalesce(kind not in ('production', 'test'), true) then 'unknown kind' end, case when template_id is null then 'a template is needed' end,
+        case when coalesce(number, 0) = 0 then 'a credential is needed' end, case when kind = 'test' and coalesce(number, 0) <> 1 then 'a test campaign takes one credential' end, case when lead_count = 0 then 'no recipients' end,
+        case when staged = 0 and lead_count <> 0 then 'all recipients are blacklisted' end] as errors from asked)
+    select id, coalesce(array_to_string(list_filter(errors, lambda e: e is not null), '; '), '') as errors from told""")
+def campaign_errors(spark, d):
+    rows = V.table(spark, d, "supplier").selectExpr(*_REQUESTS).withColumn("credentials", F.when(F.col("number") > 0, F.sequence(F.lit(1), F.col("number").cast("int"))))
+    return outreach.campaign_errors(rows).select("id", F.array_join("errors", "; ").alias("errors"))
+
+
 @query(having("roles", "held") + "select r.id, r.name, array_to_string(list_sort(coalesce(list(distinct permission_key) filter (where permission_key is not null), [])), ',') as permissions from roles r left join held h on h.role_id = r.id group by 1, 2")
 def roles_with_permissions(spark, d):
     return rbac.roles_with_permissions(made(spark, d, "roles"), made(spark, d, "held")).select("id", "name", F.array_join("permissions", ",").alias("permissions"))

@@ -9,31 +9,32 @@ from pyspark.sql import functions as F
 
 from leadwright.functions.text import slug
 from leadwright.functions.url import is_target, main_and_contact, root_url, title_of
+from leadwright.operators.history import SUM, ordered
 from leadwright.policy import TARGET_SUFFIXES
 
-#: More than a document has states of a category, types of a state or entries of a type; seq holds the four places side by side.
-PLACES = 1 << 15
 _DOCUMENT = "map<string,map<string,map<string,array<string>>>>"
 
 
 def read_catalog(spark: SparkSession, path: str, suffixes: Sequence[str] = TARGET_SUFFIXES, codes: dict[str, str] | None = None) -> DataFrame:
-    """Entries of catalog documents {category: {state: {org type: [entry]}}}, in order (`seq`, not dense).
+    """Entries of catalog documents {category: {state: {org type: [entry]}}}, numbered from 0 in order (`seq`): by file, then as they stand in it.
 
     An entry is an address or an object (title, url, contact_url, external_id). Addresses that are no targets go; objects
     stay, with the addresses that are targets. Category codes come from `codes`, else from the title.
     """
-    document = spark.read.text(path, wholetext=True).select(F.from_json("value", _DOCUMENT).alias("d"))
-    rows = document.select(F.posexplode("d").alias("c", "category_title", "d")).select("c", "category_title", F.posexplode("d").alias("s", "state", "d"))
-    rows = rows.select("c", "category_title", "s", "state", F.posexplode("d").alias("o", "org_type_title", "d")).select("c", "category_title", "s", "state", "o", "org_type_title", F.posexplode("d").alias("e", "entry"))
+    document = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", _DOCUMENT).alias("d"))
+    rows = document.select("file", F.posexplode("d").alias("c", "category_title", "d")).select("file", "c", "category_title", F.posexplode("d").alias("s", "state", "d"))
+    rows = rows.select("file", "c", "category_title", "s", "state", F.posexplode("d").alias("o", "org_type_title", "d"))
+    rows = rows.select("file", "c", "category_title", "s", "state", "o", "org_type_title", F.posexplode("d").alias("e", "entry"))
     thing = F.from_json("entry", "title string, url string, contact_url string, external_id string")
     is_object = F.col("entry").startswith("{")
     rows = rows.withColumn("x", F.when(is_object, thing))
     main, contact = main_and_contact(F.col("x.url"), F.col("x.contact_url"), suffixes)
     plain = is_target(F.col("entry"), suffixes)
-    rows = rows.where(is_object | plain)
+    rows = rows.where(is_object | plain).withColumn("all", F.lit(0))
+    rows = ordered(rows, "all", ["file", "c", "s", "o", "e"]).running("place", F.lit(1), SUM).done("all")
     code = F.coalesce(*([F.element_at(F.create_map(*(F.lit(v) for kv in codes.items() for v in kv)), F.col("category_title"))] if codes else []), slug(F.col("category_title"), 20))
     return rows.select(
-        (((F.col("c").cast("long") * PLACES + F.col("s")) * PLACES + F.col("o")) * PLACES + F.col("e")).alias("seq"), code.alias("category_code"), "category_title", F.col("state"), slug(F.col("org_type_title"), 30).alias("org_type"), "org_type_title",
+        (F.col("place") - 1).alias("seq"), code.alias("category_code"), "category_title", F.col("state"), slug(F.col("org_type_title"), 30).alias("org_type"), "org_type_title",
         F.when(is_object, F.col("x.title")).otherwise(title_of(F.col("entry"))).alias("title"), F.when(is_object, main).otherwise(root_url(F.col("entry"))).alias("main_url"),
         F.when(is_object, contact).otherwise(F.when(plain, F.col("entry"))).alias("contact_url"), F.col("x.external_id").alias("external_id"),
     )

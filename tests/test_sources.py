@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadwright.policy import merged
 from leadwright.sources import catalog, contacts, transfer
@@ -69,3 +70,16 @@ def test_ids_with_an_outlier_keep_their_order(spark):
     got = {r.old_id: r.new_id for r in transfer.id_map(spark.createDataFrame([(i,) for i in ids], "id long"), 10, buckets=8).collect()}
     assert got == {i: 11 + n for n, i in enumerate(ids)}
     assert transfer.id_map(spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_catalog_entries_of_several_files_and_any_size(spark, tmp_path):
+    from leadwright.operators import history
+
+    for n in range(2):
+        kinds = {f"T{k}": [{"title": f"{n}-{k}-{i}"} for i in range(40_000 if k == 1 else 3)] for k in range(3)}
+        (tmp_path / f"doc{n}.json").write_text(json.dumps({"Cat": {"S": kinds}, "Next": {"S": {"T": [{"title": f"{n}-last"}]}}}))
+    want = [f"{n}-{k}-{i}" for n in range(2) for k in (0, 1, 2, 3) for i in range({0: 3, 1: 40_000, 2: 3, 3: 0}[k])]
+    plain = [r.title for r in catalog.read_catalog(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert [t for t in plain if "last" not in t] == want and plain[40_006] == "0-last" and plain[-1] == "1-last"
+    cut = history.ordered(catalog.read_catalog(spark, str(tmp_path)).withColumn("k", F.lit(1)), "k", ["seq"], 9_000).running("n", F.lit(1), history.SUM).done("k")
+    assert cut.where("n <> seq + 1").count() == 0 and cut.count() == len(plain)
