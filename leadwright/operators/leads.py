@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leadwright.functions.score import lead_score
 from leadwright.functions.text import blank_to_null, like_pattern, nonempty
 from leadwright.policy import SCORE_WEIGHTS
+from leadwright.sources.shared import written
 
 UNKNOWN, UNKNOWN_CODE = "Unknown", "__unknown__"
 EXPORT_FIELDS = (
@@ -95,6 +96,30 @@ def page(df: DataFrame, order: list[Column], number: int = 1, limit: int = 100)
     return df.orderBy(*order).offset((max(1, number) - 1) * limit).limit(limit)
 
 
+class Pages:
+    """An ordered result in stored ranges of about `rows` rows, of which a page sorts those alone that it lies in, however deep it is.
+
+    The order must be total. The ranges' sizes are what the driver keeps.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], rows: int = 1 << 17):
+        self.order, total = order, df.count()
+        ranged = df.repartitionByRange(max(1, -(-total // rows)), *order).withColumn("_range", F.spark_partition_id())
+        self.stored = written(ranged, "ordered-pages")
+        sizes = {r["_range"]: r["count"] for r in self.stored.groupBy("_range").count().collect()}
+        self.upto, before = [], 0  # (range, rows before it, rows up to its end)
+        for number in sorted(sizes):
+            self.upto.append((number, before, before + sizes[number]))
+            before += sizes[number]
+
+    def page(self, number: int, limit: int = 100) -> DataFrame:
+        """As page() of the whole result gives it."""
+        first = (max(1, number) - 1) * limit
+        held = [(n, before) for n, before, end in self.upto if before < first + limit and first < end]
+        rows = self.stored.where(F.col("_range").isin([n for n, _ in held]) if held else F.lit(False)).drop("_range")
+        return rows.orderBy(*self.order).offset(first - held[0][1] if held else 0).limit(limit)
+
+
 def pages(df: DataFrame, limit: int) -> DataFrame:
     """total and the number of pages, at least one."""
     return df.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("long"))

@@ -297,6 +297,13 @@ def lead_facets(spark, d):
     return leads.facets(V.leads(spark, d), V.snapshots(spark, d), f)
 
 
+@query(using(V.LEADS, V.SNAPSHOTS, V.JOINED) + f"select id, email, lead_score, {_STATE} as domain_state from joined order by lead_score desc nulls last, captured_at desc nulls last, id desc limit 40 offset 1160")
+def lead_deep_page(spark, d):
+    """The thirtieth page of all leads by score, of which only the range that it lies in is sorted."""
+    rows = leads.list_leads(V.leads(spark, d), V.snapshots(spark, d))
+    return leads.Pages(rows, leads.sort_columns("score"), 400).page(30, 40).select("id", "email", "lead_score", "domain_state")
+
+
 _SEARCH = ("email", "person_name", "department", "designation")
 
 

@@ -45,3 +45,14 @@ def test_facets_are_one_scan(spark):
     assert {tuple(r) for r in found.collect()} == {("category", "c1", "c1", 1), ("category", L.UNKNOWN_CODE, "Unknown", 1), ("org_type", "o1", "One", 1), ("state", "Kerala", "Kerala", 1), ("state", "Goa", "Goa", 1)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_deep_pages_are_those_of_the_whole(spark):
+    rows = spark.range(120_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(50))).alias("score"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).alias("at"))
+    order = [F.col("score").desc_nulls_last(), F.col("at").asc_nulls_last(), F.col("id").desc()]
+    whole = [r.id for r in rows.orderBy(*order).collect()]
+    paged = L.Pages(rows, order, 5_000)
+    assert len(paged.upto) > 15
+    for number, limit in ((1, 10), (0, 10), (100, 100), (1199, 100), (1200, 100), (1201, 100), (7, 13_000), (100_000, 1)):
+        assert [r.id for r in paged.page(number, limit).collect()] == whole[(max(1, number) - 1) * limit :][:limit], number
+    assert L.Pages(rows.where("false"), order).page(1).count() == 0
