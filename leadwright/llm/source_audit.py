@@ -19,9 +19,9 @@ KEPT_IN, TOP = 3, 200
 #: Probabilities are counted in parts of this many.
 UNIT = 1_000_000_000
 #: Bytes of text for each chunk of the dictionary of a language.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of text that are counted at once, and cells of a dense array.
-PIECE, CELLS = 8 << 20, 1 << 21
+PIECE, CELLS = 4 << 20, 1 << 18
 #: Sources that meet in a block; more are audited in pairs of blocks.
 BLOCK = 256
 #: Groups, and bytes of their names, that are broadcast with the chunks; more are joined by salted keys.
