@@ -156,22 +156,25 @@ class Mixture:
         White space stays with the word after it, and at the end with the last. Rows that are alike in id, source and text
         count as one document with the blocks of all. Columns named shard, place and from are replaced.
         """
-        rows = self.docs.drop("shard", "place", "from").withColumns({"_text_key": F.xxhash64(self.text_col), "_source_key": self.source_key(F.col(self.source_col))})
+        docs = self.docs.drop("shard", "place", "from")
+        plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever they are called
+        id_col, text_col, source_col = (plain[c] for c in (self.id_col, self.text_col, self.source_col))
+        rows = docs.toDF(*plain.values()).withColumns({"_text_key": F.xxhash64(text_col), "_source_key": self.source_key(F.col(source_col))})
         places = self.placed.where("size > 0").select("source_key", "start", F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("source_key").alias("_source"), "size")
         uses = self.ranges().join(places, ["source_key", "start"]).groupBy("_id", "_key", "_source").agg(F.max("size").alias("_size"), F.collect_list(F.struct("shard", "place", "from", "n")).alias("_uses"))
         key = [F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("source_key").alias("_source")]
         twins = self.placed.where("size > 0").groupBy(*key).agg(F.count("*").alias("_alike")).where("_alike > 1")
         uses = uses.join(twins.select(F.col("_id").alias("_of"), F.col("_key").alias("_of_key"), F.col("_source").alias("_of_source"), "_alike"), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_of_key")) & (F.col("_source") == F.col("_of_source")), "left")
-        same = F.col(self.id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & (F.col("_source_key") == F.col("_source"))
+        same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & (F.col("_source_key") == F.col("_source"))
         found = rows.join(uses, same)
-        once = found.where("_alike is null").union(found.where("_alike > 1").dropDuplicates([self.id_col, "_text_key", "_source_key"]))
-        words = F.regexp_extract_all(F.col(self.text_col), F.lit(rf"(?:{SPACE})?{WORD}(?:{SPACE}\z)?"), F.lit(0))
+        once = found.where("_alike is null").union(found.where("_alike > 1").dropDuplicates([id_col, "_text_key", "_source_key"]))
+        words = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?:{SPACE})?{WORD}(?:{SPACE}\z)?"), F.lit(0))
         whole = (F.size("_uses") == 0) | F.forall("_uses", lambda u: u["n"] == F.col("_size"))
         # The words are made once a document: as the one element of an array that the stretches are cut from.
         cut = F.transform(F.array(F.when(~whole, words)), lambda w: F.transform("_uses", lambda u: F.struct(u["shard"].alias("shard"), u["place"].alias("place"), u["from"].alias("from"), F.array_join(F.slice(w, (u["from"] + 1).cast("int"), u["n"].cast("int")), "").alias("text"))))
         parts = once.withColumn("_part", F.explode(F.element_at(cut, 1)))
-        text = F.when(F.col("_part.text").isNull(), F.col(self.text_col)).otherwise(F.col("_part.text"))
-        told = parts.withColumn(self.text_col, text).select(*(f"`{c}`" for c in self.docs.drop("shard", "place", "from").columns), "_part.shard", "_part.place", "_part.from")
+        text = F.when(F.col("_part.text").isNull(), F.col(text_col)).otherwise(F.col("_part.text"))
+        told = parts.withColumn(text_col, text).select(*(F.col(p).alias(c) for c, p in plain.items()), "_part.shard", "_part.place", "_part.from")
         return told.repartition("shard").sortWithinPartitions("shard", "place", "from")
 
 

@@ -414,6 +414,7 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_
     told = docs.sparkSession.sparkContext.broadcast(fit_scores(docs, model_file, text_col) if scores is None else scores)
     kinds = {"n_tokens": "long", "n_bytes": "long", "ids_crc32": "long", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
     kept = [c for c in (docs.columns if keep is None else keep) if c not in kinds]
+    plain = [f"c{i}" for i in range(len(kept))]  # whatever they are called
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(model_file, told.value)
@@ -431,7 +432,7 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", with_
                 ]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=[*kept, *kinds])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=[*plain, *kinds])
 
-    rows = docs.select(*(f"`{c}`" for c in kept), F.coalesce(F.col(text_col), F.lit("")).alias("_source"))
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {k}" for c, k in kinds.items()]))
+    rows = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain)), F.coalesce(F.col(text_col), F.lit("")).alias("source"))
+    return rows.mapInArrow(run, ", ".join([f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(kept, plain)] + [f"{c} {k}" for c, k in kinds.items()])).toDF(*kept, *kinds)

@@ -1,10 +1,13 @@
 """Components, characters and names at the ends of their ranges."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from leadwright.llm.embedding_dedup import embedding_groups
 from leadwright.llm.language_id import Identifier, fit, identify, keys_of
+from leadwright.llm.mixing import Mixture
+from leadwright.llm.sentencepiece_codec import encode_texts
 
 
 @pytest.mark.parametrize("scale", [1.0, 1e200, 1e-200, 1e307, 1e-307, 5e-324])
@@ -32,3 +35,11 @@ def test_letters_above_the_first_plane_are_kept_apart():
 def test_thousands_of_languages_make_a_small_plan(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" x")).alias("text"), (F.col("id") % 1500).cast("string").alias("lang"))
     assert len(fit(docs, sample=2).langs) > 1000
+
+
+def test_clashing_names_in_mixtures_and_tokens(spark):
+    docs = spark.createDataFrame([(i, f"one two three {i}", "s", 5) for i in range(9)], "doc_id long, text string, source string, `_id` long").withColumns({n: F.col("_id") for n in ("_key", "_size", "_part", "_text_key", "_source", "_uses", "c0", "a.b")})
+    texts = Mixture(docs).texts()
+    assert texts.columns == [*docs.columns, "shard", "place", "from"] and {r["_uses"] for r in texts.collect()} == {5}
+    told = encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    assert told.columns[: len(docs.columns)] == docs.columns and {(r["_source"], r["a.b"]) for r in told.collect()} == {(5, 5)}
