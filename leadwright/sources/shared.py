@@ -24,11 +24,37 @@ def shared_folder(spark: SparkSession) -> str:
 
 def listed(spark: SparkSession, pattern: str) -> list[str]:
     """The paths that match a pattern, in any file system that Spark reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    files, where = _file_system(spark, pattern)
+    found = files.globStatus(where)
     return [f.getPath().toString() for f in found or []]
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not there: written beside its place and moved to it; one of that name is replaced."""
+    files, where = _file_system(spark, path)
+    beside = where.suffix(f".{uuid.uuid4().hex}.new")
+    out = files.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(where, False)
+    if not files.rename(beside, where):
+        raise OSError(f"cannot write {path}")
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    files, where = _file_system(spark, path)
+    source = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read back: later jobs start from the files, also after a lost executor."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

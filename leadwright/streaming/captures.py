@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from leadwright.operators.fold import accepted, accumulated, merged, told
 from leadwright.policy import SCORE_WEIGHTS
-from leadwright.sources.shared import listed
+from leadwright.sources.shared import get_text, listed, put_text
 
 
 class LeadStore:
@@ -24,19 +25,20 @@ class LeadStore:
     """
 
     def __init__(self, spark: SparkSession, path: str, captures: StructType, buckets: int = 64):
-        self.spark, self.path, self.captures, self.buckets = spark, path.rstrip("/"), captures, buckets
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.parts = accumulated(spark.createDataFrame([], captures)).schema
 
     def manifest(self, before: int | None = None) -> dict[int, int]:
         """The batch whose files each bucket is in, by the newest manifest that is whole (of a batch before the given one)."""
-        done = [int(p.rsplit("/batch=", 1)[1].split("/")[0]) for p in listed(self.spark, f"{self.path}/manifest/batch=*/_SUCCESS")]
+        done = [int(p.rsplit("=", 1)[1]) for p in listed(self.spark, f"{self.path}/manifest/batch=*") if p.rsplit("=", 1)[1].isdigit()]
         done = [b for b in done if before is None or b < before]
-        rows = self.spark.read.parquet(f"{self.path}/manifest/batch={max(done)}").collect() if done else []
-        return {r["bucket"]: r["batch"] for r in rows}
+        told = json.loads(get_text(self.spark, f"{self.path}/manifest/batch={max(done)}")) if done else {}
+        return {int(bucket): batch for bucket, batch in told.items()}
 
     def state(self, where: dict[int, int]) -> DataFrame | None:
         """The accumulators of the buckets of a manifest."""
         paths = [f"{self.path}/state/batch={batch}/bucket={bucket}" for bucket, batch in sorted(where.items())]
-        return self.spark.read.schema(accumulated(self.spark.createDataFrame([], self.captures)).schema).parquet(*paths) if paths else None
+        return self.spark.read.schema(self.parts).parquet(*paths) if paths else None
 
     def save(self, batch: DataFrame, batch_id: int) -> None:
         good, bad = accepted(batch)
@@ -56,15 +58,14 @@ class LeadStore:
         old = self.state({b: stood[b] for b in touched if b in stood})
         whole = merged(parts if old is None else parts.unionByName(old)).select("*", bucket)
         whole.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/batch={batch_id}")
-        now = stood | dict.fromkeys(touched, batch_id)
-        self.spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch_id}")
+        put_text(self.spark, f"{self.path}/manifest/batch={batch_id}", json.dumps(stood | dict.fromkeys(touched, batch_id)))
 
     def rejects(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rejects")
 
     def leads(self, weights: Mapping[str, int] = SCORE_WEIGHTS) -> DataFrame:
         """All leads, as one fold of all captures gives them."""
-        return told(found if (found := self.state(self.manifest())) is not None else accumulated(self.spark.createDataFrame([], self.captures)), weights)
+        return told(found if (found := self.state(self.manifest())) is not None else self.spark.createDataFrame([], self.parts), weights)
 
 
 def capture_stream(source: DataFrame, store: LeadStore, checkpoint: str) -> StreamingQuery:
