@@ -132,9 +132,14 @@ def revoked(sessions: DataFrame, which: Column, now: Column) -> DataFrame:
 
 
 def reused_tokens(refreshes: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Users whose revoked token was presented again: their sessions are to be revoked. refreshes: (token, at)."""
-    hashed = refreshes.select(F.sha2("token", 256).alias("token_hash"), "at")
-    return hashed.join(sessions.where("revoked_at is not null").select("token_hash", "user_id", "revoked_at"), "token_hash").where("at >= revoked_at").select("user_id").distinct()
+    """Users whose revoked token was presented again: their sessions are to be revoked. refreshes: (token, at).
+
+    A token was presented after a revocation just when its last presentation was, so that each token, and each user's first
+    revocation of it, is one row of the join.
+    """
+    shown = refreshes.groupBy("token").agg(F.max("at").alias("at")).select(F.sha2("token", 256).alias("token_hash"), "at")
+    gone = sessions.where("revoked_at is not null").groupBy("token_hash", "user_id").agg(F.min("revoked_at").alias("revoked_at"))
+    return shown.join(gone, "token_hash").where("at >= revoked_at").select("user_id").distinct()
 
 
 def swept(flows: DataFrame, now: Column, ttl_s: int = 3600) -> DataFrame:

@@ -54,6 +54,27 @@ def test_rate_limit_against_a_loop(rows):
         assert (r.recent, r.rejected) == (recent, recent >= 20)
 
 
+def test_reused_tokens_meet_once_each(spark):
+    """Each token shown 300 times and revoked 300 times by one user: the join makes no row for each pair."""
+    from leadwright.operators.rbac import reused_tokens
+
+    at = "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, {})"
+    shown = spark.range(3000).selectExpr("concat('t', id % 10) as token", f"case when id < 20 then null else {at.format('id % 3000')} end as at")
+    gone = spark.range(3000).selectExpr("sha2(concat('t', id % 10), 256) as token_hash", "id % 10 as user_id", f"case when id % 10 = 9 then null else {at.format('id div 10 + 290 + id % 10')} end as revoked_at")
+    told = reused_tokens(shown, gone)
+    joins = told._jdf.queryExecution().executedPlan()
+    assert {r.user_id for r in told.collect()} == {r.user_id for r in shown.join(gone, F.sha2("token", 256) == F.col("token_hash")).where("at >= revoked_at").select("user_id").distinct().collect()}
+    pairs = shown.groupBy("token").agg(F.max("at")).count() * gone.where("revoked_at is not null").select("token_hash", "user_id").distinct().count()
+    assert 0 < _join_rows(joins) <= pairs
+
+
+def _join_rows(plan) -> int:
+    """The rows that the joins of an executed plan made."""
+    own = int(plan.metrics().apply("numOutputRows").value()) if "Join" in plan.nodeName() else 0
+    inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if hasattr(plan, "plan") and "QueryStage" in plan.nodeName() else [plan.children().apply(i) for i in range(plan.children().size())]
+    return own + sum(map(_join_rows, inner))
+
+
 def test_empty_histories(rows):
     none = rows.where("false")
     assert spaced(none, "k", F.col("at"), 3, ORDER).count() == failure_runs(none, "k", ORDER, F.col("ok")).count() == rate_limited(none, "k", F.col("at")).count() == 0
