@@ -74,14 +74,19 @@ def spaced(rows: DataFrame, key: str, arrival: Column, delay: Column | float, or
 def rate_limited(failures: DataFrame, key: str, seconds: Column, attempts: int = 20, window_s: int = 900) -> DataFrame:
     """rows with recent (failures of the key before this one and less than the window ago) and rejected.
 
-    Failures of a key are counted by second before they are shuffled, and a window runs over the seconds of two windows'
-    length at most: those of its own stretch of time and, as guests, of the one before.
+    Failures of a key are counted by second before they are shuffled. Time is cut into stretches of the window's length; in
+    each, a running sum starts from the whole stretch before, and takes a second's failures off again when the window
+    leaves it. It takes each second three times, however many fall into a window.
     """
     at = failures.withColumn("_s", seconds.cast("long"))
-    counts = at.groupBy(F.col(key).alias("_of"), F.col("_s").alias("_at")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_stretch", F.explode(F.array(F.floor(F.col("_at") / window_s), F.floor(F.col("_at") / window_s) + 1)))
-    w = Window.partitionBy("_of", "_stretch").orderBy("_at").rangeBetween(-(window_s - 1), 0)
-    within = counts.withColumn("_sum", F.sum("_n").over(w)).where(F.col("_stretch") == F.floor(F.col("_at") / window_s)).select("_of", "_at", "_sum")
+    counts = at.groupBy(F.col(key).alias("_of"), F.col("_s").alias("_at")).agg(F.count("*").alias("_n")).where("_at is not null")
+    own = F.floor(F.col("_at") / window_s)
+    step = lambda stretch, second, n, real: F.struct(stretch.alias("stretch"), second.alias("second"), n.alias("n"), F.lit(real).alias("real"))
+    before = step(own + 1, (own + 1) * window_s - 1, F.col("_n"), False)  # enters the next stretch in its first sum
+    leaves = step(own + 1, F.col("_at") + window_s, -F.col("_n"), False)
+    steps = counts.select("_of", "_at", F.explode(F.array(step(own, F.col("_at"), F.col("_n"), True), before, leaves)).alias("_step"))
+    w = Window.partitionBy("_of", "_step.stretch").orderBy("_step.second").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = steps.withColumn("_sum", F.sum("_step.n").over(w)).where("_step.real").select("_of", "_at", "_sum")
     told = at.join(within, F.col(key).eqNullSafe(F.col("_of")) & F.col("_s").eqNullSafe(F.col("_at")), "left")
     return told.withColumn("recent", F.col("_sum") - 1).withColumn("rejected", F.col("recent") >= attempts).drop("_s", "_of", "_at", "_sum")
 

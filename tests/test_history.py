@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,14 @@ def test_rate_limit_against_a_loop(rows):
         assert (r.recent, r.rejected) == (recent, recent >= 20)
 
 
+def test_rate_limit_takes_dense_seconds_in_linear_time(spark):
+    """A failure in every second of ten windows: a frame that is summed anew for each row adds 1.7e9 times."""
+    made = spark.range(200_000).selectExpr("id", "'k' as k", "id - 90000 as at")
+    began = time.perf_counter()
+    got = rate_limited(made, "k", F.col("at"), 20, 20_000).selectExpr("recent = least(id, 19999) as right").groupBy("right").count().collect()
+    assert [(r.right, r["count"]) for r in got] == [(True, 200_000)] and time.perf_counter() - began < 15
+
+
 def test_reused_tokens_meet_once_each(spark):
     """Each token shown 300 times and revoked 300 times by one user: the join makes no row for each pair."""
     from leadwright.operators.rbac import reused_tokens
