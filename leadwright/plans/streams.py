@@ -17,12 +17,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Captures of a file of the stream, about.
+FILE = 1 << 17
+
+
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Captures in four batches; a batch's files and the store's buckets, and so the tasks, follow the number of captures."""
     at = folder(spark, "capture-stream")
     rows = V.captures(spark, d)
-    rows.repartitionByRange(4, "seq").write.parquet(f"{at}/in")
-    store = LeadStore(spark, f"{at}/store", rows.schema, 8)
-    capture_stream(files_as_stream(spark, f"{at}/in", rows.schema, 1), store, f"{at}/progress").awaitTermination()
+    files = max(1, -(-rows.count() // (4 * FILE)))
+    rows.repartitionByRange(4 * files, "seq").write.parquet(f"{at}/in")
+    store = LeadStore(spark, f"{at}/store", rows.schema, 8 * files)
+    capture_stream(files_as_stream(spark, f"{at}/in", rows.schema, files), store, f"{at}/progress").awaitTermination()
     return store.leads()
 
 

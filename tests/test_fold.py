@@ -137,3 +137,20 @@ def test_a_batch_rewrites_what_it_touches(spark, tmp_path):
     assert store.manifest() == now
     again = LeadStore(spark, str(tmp_path / "none"), rows.schema)
     assert again.leads().count() == 0
+
+
+def test_stream_files_and_buckets_follow_the_captures(spark, monkeypatch):
+    """More captures come in more files, and so tasks, a batch and go to more buckets; the leads are those of one fold."""
+    from leadwright.plans import streams
+    from leadwright.plans import views
+
+    small = "/root/testdata/sf0.001"
+    rows = views.captures(spark, small)
+    stores = []
+    made = streams.LeadStore
+    monkeypatch.setattr(streams, "FILE", -(-rows.count() // 8))
+    monkeypatch.setattr(streams, "LeadStore", lambda *a: stores.append(made(*a)) or stores[-1])
+    got = streams.stream_fold(spark, small)
+    assert stores[0].buckets == 16 and len(spark.read.parquet(stores[0].path.removesuffix("store") + "in").inputFiles()) == 8
+    want = K.fold(K.accepted(rows)[0])
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
