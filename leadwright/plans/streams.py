@@ -67,12 +67,20 @@ def stream_liveness(spark: SparkSession, d: str) -> DataFrame:
     return _taken(transitions(beats, 86_400, timers=False), at)
 
 
+#: Logins of a bucket of users, about.
+BUCKET = 1 << 12
+
+
 def login_lockouts(spark: SparkSession, d: str) -> DataFrame:
-    """Logins in three files, by time, a file a batch: locks of one batch hold in the next."""
+    """Logins in three batches, by time: locks of one batch hold in the next. A batch's files and the buckets of users follow the number of logins."""
     at = folder(spark, "lockout-stream")
-    rows = V.table(spark, d, "events").where("event_type in ('view', 'error')")
+    rows = V.table(spark, d, "events").where("event_type in ('view', 'error') and user_id is not null")
     rows = rows.select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") == "view").alias("ok"))
-    first, second = rows.approxQuantile("at", [0.3, 0.6], 0.01) or (0.0, 0.0)
-    for part in (F.col("at") < first, (F.col("at") >= first) & (F.col("at") < second), F.col("at") >= second):
-        rows.where(part).repartition(2).write.mode("append").parquet(f"{at}/in")
-    return _taken(lockouts(files_as_stream(spark, f"{at}/in", rows.schema, 2), 3, 3 * 1440), at)
+    told = rows.agg(F.count("*").alias("logins"), F.percentile_approx("at", [0.3, 0.6], 100).alias("cuts")).first()
+    first, second = told["cuts"] or (0.0, 0.0)
+    files, buckets = max(1, -(-told["logins"] // (3 * FILE))), max(1, -(-told["logins"] // BUCKET))
+    for part in (F.col("at") < first, (F.col("at") >= first) & (F.col("at") < second), F.coalesce(F.col("at") >= second, F.lit(True))):
+        rows.where(part).repartition(2 * files).write.mode("append").parquet(f"{at}/in")
+        stream = lockouts(files_as_stream(spark, f"{at}/in", rows.schema, 2 * files), 3, 3 * 1440, buckets=buckets)
+        out = _taken(stream, at)  # takes up where it ended: what is new is one batch
+    return out

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A job that is silent for longer is interrupted.
@@ -43,33 +45,55 @@ def transitions(beats: DataFrame, silence_s: int = SILENCE_S, timers: bool = Tru
     return beats.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, at double, beats long", "running boolean, last double, beats long", "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
 
 
-def lockouts(logins: DataFrame, threshold: int = 5, minutes: float = 15, forget_days: int | None = None) -> DataFrame:
+def lockouts(logins: DataFrame, threshold: int = 5, minutes: float = 15, forget_days: float | None = None, buckets: int = 1024) -> DataFrame:
     """(user_id, id, outcome, failures): what each login of a stream (user_id, id, at in epoch seconds, ok) meets: ok, failed, locks or locked.
 
     An attempt during a lock is turned away and changes nothing. A success starts anew; an expired lock leaves the number of
-    failures. Logins of a batch are taken in the order of their time, then id. The state of a user is two typed values; with
-    forget_days, that of one who has not come for so long is dropped.
+    failures. Logins of a batch are taken in the order of their time, then id; one without a time comes last and starts no
+    lock. Users are dealt to buckets by a hash, and a bucket is one key of the stream, since a key costs more than a login;
+    its state lists its users with two values each, and when they came last. A task holds one bucket's logins of a batch.
+    With forget_days, users who have not come for so long are dropped when their bucket is next visited, or by its timer.
+    The number of buckets stays as it was when the stream first ran.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        failures, until = state.get if state.exists else (0, 0.0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        for number, at, ok in zip(rows["id"].tolist(), rows["at"].tolist(), rows["ok"].tolist()):
+        now = state.getCurrentProcessingTimeMs()
+        oldest = now - int(forget_days * 86_400_000) if forget_days is not None else None
+        known = {user: (failures, until, seen) for user, failures, until, seen in zip(*state.get) if oldest is None or seen > oldest} if state.exists else {}
+        rows = pd.concat(list(frames))
+        rows = rows.iloc[np.lexsort([rows[c] for c in ("id", "no_id", "at", "user_id", "no_user")])]
+        users = np.where(rows["no_user"], None, rows["user_id"])
+        outcomes, counts = [], []
+        last, failures, until = object(), 0, 0.0
+        for user, at, ok in zip(users.tolist(), rows["at"].tolist(), rows["ok"].tolist()):
+            if user != last:
+                failures, until, _ = known.get(user, (0, 0.0, now))
+                last = user
             if at < until:
-                out.append((key[0], number, "locked", failures))
-                continue
-            failures = 0 if ok else failures + 1
-            if failures >= threshold:
-                until = at + 60.0 * minutes
-            out.append((key[0], number, "ok" if ok else "locks" if failures >= threshold else "failed", failures))
-        state.update((failures, until))
+                outcomes.append("locked")
+            else:
+                failures = 0 if ok else failures + 1
+                if failures >= threshold and at >= until:
+                    until = at + 60.0 * minutes
+                outcomes.append("ok" if ok else "locks" if failures >= threshold else "failed")
+            known[user] = failures, until, now
+            counts.append(failures)
+        state.update(tuple(map(list, zip(*((user, *values) for user, values in known.items())))))
         if forget_days is not None:
-            state.setTimeoutDuration(forget_days * 86_400_000)
-        yield pd.DataFrame(out, columns=["user_id", "id", "outcome", "failures"])
+            state.setTimeoutDuration(int(forget_days * 86_400_000))
+        ids = pd.array(rows["id"], "Int64")
+        ids[rows["no_id"].to_numpy()] = pd.NA
+        yield pd.DataFrame({"user_id": pd.array(users, "Int64"), "id": ids, "outcome": outcomes, "failures": np.array(counts, np.int32)})
 
+    whole = {c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("user_id", "id")}  # pandas would make floats of integers among nulls
+    dealt = logins.select(
+        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"), whole["user_id"].alias("user_id"), F.col("user_id").isNull().alias("no_user"), whole["id"].alias("id"), F.col("id").isNull().alias("no_id"),
+        F.col("at").cast("double").alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"),
+    )
     timeout = GroupStateTimeout.NoTimeout if forget_days is None else GroupStateTimeout.ProcessingTimeTimeout
-    return logins.groupBy("user_id").applyInPandasWithState(step, "user_id long, id long, outcome string, failures int", "failures int, until double", "append", timeout)
+    return dealt.groupBy("bucket").applyInPandasWithState(
+        step, "user_id long, id long, outcome string, failures int", "users array<long>, failures array<int>, until array<double>, seen array<long>", "append", timeout
+    )
