@@ -50,8 +50,10 @@ def _taken(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def _events(spark: SparkSession, d: str, at: str, files: int) -> DataFrame:
+def _events(spark: SparkSession, d: str, at: str, least: int) -> DataFrame:
+    """Events as one batch; its files follow their number."""
     rows = V.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    files = max(least, -(-rows.count() // FILE))
     rows.repartitionByRange(files, "ts").write.parquet(f"{at}/in")
     return files_as_stream(spark, f"{at}/in", rows.schema, files)
 
@@ -61,14 +63,16 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _taken(quiet_sessions(_events(spark, d, at, 4), "user_id", "ts", 6 * 3600), at)
 
 
+#: Rows of a bucket of users, about.
+BUCKET = 1 << 12
+
+
 def stream_liveness(spark: SparkSession, d: str) -> DataFrame:
+    """Heartbeats in one batch; the buckets of jobs follow their number."""
     at = folder(spark, "liveness-stream")
+    buckets = max(1, -(-V.table(spark, d, "events").count() // BUCKET))
     beats = _events(spark, d, at, 2).select(F.col("user_id").alias("job_id"), (F.unix_micros("ts") / 1e6).alias("at"))
-    return _taken(transitions(beats, 86_400, timers=False), at)
-
-
-#: Logins of a bucket of users, about.
-BUCKET = 1 << 12
+    return _taken(transitions(beats, 86_400, timers=False, buckets=buckets), at)
 
 
 def login_lockouts(spark: SparkSession, d: str) -> DataFrame:

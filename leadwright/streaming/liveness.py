@@ -14,35 +14,58 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SILENCE_S = 150
 
 
-def transitions(beats: DataFrame, silence_s: int = SILENCE_S, timers: bool = True) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, buckets: int, *whole: str) -> DataFrame:
+    """rows with the bucket of their key. Integers that may be null get a flag, no_<name>, and 0, since pandas would make floats of integers among nulls."""
+    columns = {c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in (key, *whole)} | {f"no_{c}": F.col(c).isNull() for c in (key, *whole)}
+    return rows.withColumns(columns | {"bucket": F.pmod(F.xxhash64(key), F.lit(buckets))})
+
+
+def _lists(known: dict) -> tuple:
+    """The state of a bucket: its keys, and a list for each of their values."""
+    return tuple(map(list, zip(*((key, *values) for key, values in known.items()))))
+
+
+def transitions(beats: DataFrame, silence_s: int = SILENCE_S, timers: bool = True, buckets: int = 1024) -> DataFrame:
     """(job_id, status, at, beats): each change of a job's state, from a stream of (job_id, at in epoch seconds, queued).
 
     The first report makes a job run; silence interrupts it, seen in the reports' own times or by a timer while none come;
-    a later report, however late, makes it run again. The state of a job is three numbers. Without timers only reports
-    change states, so that a run over what is there comes to an end.
+    a later report, however late, makes it run again. Jobs are dealt to buckets like the users of lockouts; the state of a
+    job is four numbers, the last of them when it was heard of, and a bucket's timer is that of its job that waits longest.
+    Without timers only reports change states, so that a run over what is there comes to an end.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        running, last, count = state.get if state.exists else (False, 0.0, 0)
+        now, wait = state.getCurrentProcessingTimeMs(), int(silence_s * 1000)
+        known = {job: tuple(values) for job, *values in zip(*state.get)} if state.exists else {}
         out = []
-        if state.hasTimedOut:
-            if running:
-                out.append((key[0], "interrupted", last + silence_s, count))
-            state.update((False, last, count))
-        else:
-            for at in sorted(a for frame in frames for a in frame["at"].tolist()):
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            rows = rows.iloc[np.lexsort([rows[c] for c in ("at", "job_id", "no_job_id")])]
+            for job, at in zip(np.where(rows["no_job_id"], None, rows["job_id"]).tolist(), rows["at"].tolist()):
+                running, last, count, _ = known.get(job, (False, 0.0, 0, now))
                 if running and at - last > silence_s:
-                    out.append((key[0], "interrupted", last + silence_s, count))
+                    out.append((job, "interrupted", last + silence_s, count))
                     running = False
                 if not running:
-                    out.append((key[0], "running", at, count + 1))
-                running, last, count = True, max(last, at), count + 1
-            state.update((running, last, count))
-            if timers:
-                state.setTimeoutDuration(silence_s * 1000)
-        yield pd.DataFrame(out, columns=["job_id", "status", "at", "beats"])
+                    out.append((job, "running", at, count + 1))
+                known[job] = True, max(last, at), count + 1, now
+        if timers:
+            for job, (running, last, count, seen) in known.items():
+                if running and seen + wait <= now:
+                    out.append((job, "interrupted", last + silence_s, count))
+                    known[job] = False, last, count, seen
+            heard = [seen for running, _, _, seen in known.values() if running]
+            if heard:
+                state.setTimeoutDuration(min(heard) + wait - now)
+        state.update(_lists(known))
+        jobs, status, at, count = map(list, zip(*out)) if out else ([], [], [], [])
+        yield pd.DataFrame({"job_id": pd.array(jobs, "Int64"), "status": status, "at": np.array(at, float), "beats": np.array(count, np.int64)})
 
-    return beats.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, at double, beats long", "running boolean, last double, beats long", "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
+    dealt = _dealt(beats, "job_id", buckets).select("bucket", "job_id", "no_job_id", F.col("at").cast("double").alias("at"))
+    return dealt.groupBy("bucket").applyInPandasWithState(
+        step, "job_id long, status string, at double, beats long", "jobs array<long>, running array<boolean>, last array<double>, beats array<long>, seen array<long>", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout,
+    )
 
 
 def lockouts(logins: DataFrame, threshold: int = 5, minutes: float = 15, forget_days: float | None = None, buckets: int = 1024) -> DataFrame:
@@ -64,8 +87,8 @@ def lockouts(logins: DataFrame, threshold: int = 5, minutes: float = 15, forget_
         oldest = now - int(forget_days * 86_400_000) if forget_days is not None else None
         known = {user: (failures, until, seen) for user, failures, until, seen in zip(*state.get) if oldest is None or seen > oldest} if state.exists else {}
         rows = pd.concat(list(frames))
-        rows = rows.iloc[np.lexsort([rows[c] for c in ("id", "no_id", "at", "user_id", "no_user")])]
-        users = np.where(rows["no_user"], None, rows["user_id"])
+        rows = rows.iloc[np.lexsort([rows[c] for c in ("id", "no_id", "at", "user_id", "no_user_id")])]
+        users = np.where(rows["no_user_id"], None, rows["user_id"])
         outcomes, counts = [], []
         last, failures, until = object(), 0, 0.0
         for user, at, ok in zip(users.tolist(), rows["at"].tolist(), rows["ok"].tolist()):
@@ -81,18 +104,14 @@ def lockouts(logins: DataFrame, threshold: int = 5, minutes: float = 15, forget_
                 outcomes.append("ok" if ok else "locks" if failures >= threshold else "failed")
             known[user] = failures, until, now
             counts.append(failures)
-        state.update(tuple(map(list, zip(*((user, *values) for user, values in known.items())))))
+        state.update(_lists(known))
         if forget_days is not None:
             state.setTimeoutDuration(int(forget_days * 86_400_000))
         ids = pd.array(rows["id"], "Int64")
         ids[rows["no_id"].to_numpy()] = pd.NA
         yield pd.DataFrame({"user_id": pd.array(users, "Int64"), "id": ids, "outcome": outcomes, "failures": np.array(counts, np.int32)})
 
-    whole = {c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("user_id", "id")}  # pandas would make floats of integers among nulls
-    dealt = logins.select(
-        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"), whole["user_id"].alias("user_id"), F.col("user_id").isNull().alias("no_user"), whole["id"].alias("id"), F.col("id").isNull().alias("no_id"),
-        F.col("at").cast("double").alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"),
-    )
+    dealt = _dealt(logins, "user_id", buckets, "id").select("bucket", "user_id", "no_user_id", "id", "no_id", F.col("at").cast("double").alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))
     timeout = GroupStateTimeout.NoTimeout if forget_days is None else GroupStateTimeout.ProcessingTimeTimeout
     return dealt.groupBy("bucket").applyInPandasWithState(
         step, "user_id long, id long, outcome string, failures int", "users array<long>, failures array<int>, until array<double>, seen array<long>", "append", timeout
